@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from premia.llm import bpe, mixing, quality, simhash, spotsigs, sstable, token_count
+from premia.llm import bpe, mixing, quality, simhash, spotsigs, sstable, suffix_dedup, token_count
 from premia.llm._common import scratch, table, written
 
 
@@ -28,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_column(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.in_order(mixing.plan(table(spark, sf_dir, "documents")))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,5 +52,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_simhash, op6_mixing, op7_spotsigs, op9_sstable, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_simhash, op5_suffix_dedup, op6_mixing, op7_spotsigs, op9_sstable, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
