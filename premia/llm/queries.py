@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from premia.llm import bpe, mixing, quality, simhash, spotsigs, sstable, suffix_dedup, token_count
+from premia.llm import bpe, langid, mixing, quality, simhash, spotsigs, sstable, suffix_dedup, token_count
 from premia.llm._common import scratch, table, written
 
 
@@ -23,6 +23,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_column(found["fp"]).alias("fingerprint"), "component_id")
@@ -52,5 +58,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_simhash, op5_suffix_dedup, op6_mixing, op7_spotsigs, op9_sstable, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_langid, op4_simhash, op5_suffix_dedup, op6_mixing, op7_spotsigs, op9_sstable, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
