@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,3 +66,23 @@ def words(text):
 def bind(value, fn):
     """Evaluate the column `value` once and pass it on: fn sees a lambda variable, not the expression again."""
     return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of steps that are done: it does so once the driver's garbage is collected.
+
+    The first collection lets go of what Python held, the second of the shuffles behind it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by `written` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/premia-" in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

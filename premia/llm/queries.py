@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from premia.llm import bpe, langid, mixing, quality, simhash, spotsigs, sstable, suffix_dedup, token_count
+from premia.llm import bpe, compact_windows, langid, mixing, quality, simhash, spotsigs, sstable, suffix_dedup, token_count
 from premia.llm._common import scratch, table, written
 
 
@@ -47,6 +47,10 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     sstable.write_shards(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -58,5 +62,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_langid, op4_simhash, op5_suffix_dedup, op6_mixing, op7_spotsigs, op9_sstable, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_langid, op4_simhash, op5_suffix_dedup, op6_mixing, op7_spotsigs, op8_compact_windows, op9_sstable, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -22,7 +22,9 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -41,6 +43,11 @@ MAGIC = 0x5AB1E501
 FOOTER = struct.Struct("<QQQQQQQQ")  # index place, length; filter place, length; documents, tokens, shard, magic
 BLOCK = 1 << 16
 BITS_PER_KEY, PROBES = 10, 7
+MAX_WORDS = 800_000
+# A space next to other white space on both sides, where cutting could change the pre-split.
+INNER = re.compile(r"\s \s|\s \Z").search
+# Letters, then plain punctuation or nothing: two words or one in every Unicode version.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&*-/:-@]*)").fullmatch
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -176,19 +183,107 @@ class Shard:
         return out
 
 
-_TOKENIZERS: dict = {}
+class LibraryEncoder:
+    """The tokenizers library, asked once for each word that comes again.
 
+    Texts are cut at spaces between other characters, where byte-level pre-splitting always cuts; the library encodes
+    the pieces not seen before, in one batch, and their packed ids are joined. Texts with added special strings or
+    with spaces inside longer white space go to the library whole.
+    """
 
-def library_tokenizer(path: str):
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _TOKENIZERS[path] = t
-    return _TOKENIZERS[path]
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.line = self.lib.encode("\n", add_special_tokens=False).ids
+        self.cuts = self.cuts and len(self.line) == 1
+        self.cache: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, words: list[str]) -> None:
+        """Encode plain words, many to a call: a line end between two of them is a word, and a token, of its own."""
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.array(self.lib.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = [0, *(np.flatnonzero(ids == self.line) + 1).tolist(), len(ids) + 1]
+            if len(cuts) != len(some) + 1:
+                raise AssertionError("a word was not encoded by itself")
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            self.cache.update((x, raw[a * width : (b - 1) * width]) for x, a, b in zip(some, cuts, cuts[1:], strict=False))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed little-endian in self.dtype."""
+        cache, found, whole, missing = self.cache, [], [], set()
+        if len(cache) > MAX_WORDS:
+            cache.clear()
+        for i, text in enumerate(texts):
+            if not self.cuts or INNER(text) or any(x in text for x in self.special):
+                whole.append(i)
+                found.append(None)
+            else:
+                first, *parts = text.split(" ")  # the cache holds a piece without the space before it
+                packed = list(map(cache.get, parts))
+                found.append((first, parts, packed))
+                if None in packed:
+                    missing.update(x for x, ids in zip(parts, packed, strict=True) if ids is None)
+        self._learn(missing)
+        firsts = self._library([f[0] for f in found if f])[::-1]
+        out = []
+        for f in found:
+            if f is None:
+                out.append(b"")
+                continue
+            _, parts, packed = f
+            if None in packed:
+                packed = [cache[x] if ids is None else ids for x, ids in zip(parts, packed, strict=True)]
+            out.append(firsts.pop() + b"".join(packed))
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else [], strict=True):
+            out[i] = ids
+        for x in [x for x in missing if len(x) > 64]:
+            del cache[x]
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        """Put the ids of pieces into the cache (each with a space before it)."""
+        cache, plain, marked, other = self.cache, set(), [], []
+        for x in missing:
+            if (m := SIMPLE(x)) is None:
+                other.append(x)
+                continue
+            word, mark = m.groups()
+            if word not in cache:
+                plain.add(word)
+            if mark:
+                marked.append((x, word, mark))
+                if mark not in self.marks:
+                    self.marks[mark] = self._library([mark])[0]
+        cache.update(zip(other, self._library([" " + x for x in other]), strict=True))
+        self._lines(list(plain))
+        for x, word, mark in marked:
+            cache[x] = cache[word] + self.marks[mark]
+        if len(self.marks) > MAX_WORDS:
+            self.marks.clear()
+
+
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = LibraryEncoder(path)
+    return _ENCODERS[path]
 
 
 def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20) -> None:
@@ -201,13 +296,13 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, shar
     rows = rows.sortWithinPartitions(F.asc_nulls_first("doc_id"), "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, out = library_tokenizer(tokenizer), Writer(TaskContext.get().partitionId())
+        t, out = library_encoder(tokenizer), Writer(TaskContext.get().partitionId())
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             made = []
             for i in range(0, len(ids), 32):
-                for doc_id, enc in zip(ids[i : i + 32], t.encode_batch([x or "" for x in texts[i : i + 32]], add_special_tokens=False), strict=True):
-                    made += out.add(key_of(doc_id), np.array([*enc.ids, end_id], np.uint32))
+                for doc_id, packed in zip(ids[i : i + 32], t.encode([x or "" for x in texts[i : i + 32]]), strict=True):
+                    made += out.add(key_of(doc_id), np.append(np.frombuffer(packed, t.dtype), np.array(end_id, t.dtype)))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
         if out.docs:

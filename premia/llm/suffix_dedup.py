@@ -27,7 +27,6 @@ texts lose what is left of a character that was cut in two.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import small_batches, written
+from premia.llm._common import discard, release, small_batches, written
 
 LENGTH, Q = 50, 20
 W = LENGTH - Q + 1
@@ -386,12 +385,6 @@ def united(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[cut].tolist(), hi[np.append(cut[1:], len(lo)) - 1].tolist(), strict=True))
 
 
-def _free(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps; it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removed_spans(rows: DataFrame) -> tuple[DataFrame, int]:
     """Packed removed intervals of rows (doc, row, bytes), and the number of parts they are dealt into."""
     spark = rows.sparkSession
@@ -402,10 +395,11 @@ def removed_spans(rows: DataFrame) -> tuple[DataFrame, int]:
     blobs = "part long, kind int, blob binary"
     sent = rows.mapInArrow(lambda it: find_anchors(it, parts), blobs)
     candidates = written(sent.repartition(tasks, "part").mapInArrow(lambda it: confirm(it, parts), blobs))
-    _free(spark)
+    release(spark)
     cut = with_texts(rows, candidates, parts, tasks).mapInArrow(lambda it: cut_pieces(it, parts), blobs)
     spans = written(cut.repartition(tasks, "part").mapInArrow(lambda it: sort_pieces(it, parts), blobs))
-    _free(spark)
+    discard(candidates)
+    release(spark)
     return spans, parts
 
 
@@ -468,7 +462,7 @@ def deduplicate(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars
 
     tasks = max(1, parts // 4)
     changed = written(with_texts(rows, spans, parts, tasks).mapInArrow(run, "__doc long, __row long, __left string").dropDuplicates(["__doc", "__row"]))
-    _free(df.sparkSession)
+    release(df.sparkSession)
     text = F.col(f"`{text_col}`")
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__row"))
     joined = df.join(changed, on, "left")
