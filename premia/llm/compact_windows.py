@@ -281,7 +281,7 @@ def candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
             full = np.concatenate([[0], count[b : e + 1] >= HASHES, [0]]).astype(np.int8)
             left, right = places[b + np.flatnonzero(np.diff(full) == 1)], places[b + np.flatnonzero(np.diff(full) == -1)]
             widest = int(np.argmax(right - left)) if len(left) else -1
-            if widest >= 0 and right[widest] - left[widest] >= HALF // 2:
+            if widest >= 0 and right[widest] - left[widest] >= STARTS:
                 start.append(int(left[widest] + right[widest]) // 2)
             else:  # not surely alike at one place: look along the whole run
                 start += range(int(places[b]), int(places[e + 1]), HALF)
