@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from premia.sources.scratch import written
+
 
 def running(df: DataFrame, keys: Sequence[Column], totals: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """df with running totals (inclusive) in the order of keys, and `<name>__all`, the grand total of each."""
@@ -21,7 +23,8 @@ def running(df: DataFrame, keys: Sequence[Column], totals: dict[str, Column], ra
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.withColumns({f"__k{i}": k for i, k in enumerate(keys)} | {f"__t_{m}": c.cast("double") for m, c in totals.items()})
     names = [F.col(f"__k{i}") for i in range(len(keys))]
-    rows = rows.repartitionByRange(n, *names).withColumn("__range", F.spark_partition_id())
+    # written once: the ranges come from a sample, and both branches below must see the same ones
+    rows = written(rows.repartitionByRange(n, *names).withColumn("__range", F.spark_partition_id()))
     sums = rows.groupBy("__range").agg(*(F.sum(f"__t_{m}").alias(f"__s_{m}") for m in totals))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -94,7 +97,7 @@ def lorenz(df: DataFrame, y: str, pred: str, weight: str | None = None, exposure
     both = model.select("x", "model", F.lit(None).cast("double").alias("perfect")).unionByName(perfect.select("x", F.lit(None).cast("double").alias("model"), F.col("y").alias("perfect")))
     # the perfect curve at the model's points: between its neighbours, which a range-dealt order finds
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = both.repartitionByRange(n, "x").withColumn("r", F.spark_partition_id())
+    both = written(both.repartitionByRange(n, "x").withColumn("r", F.spark_partition_id()))
     key = F.when(F.col("perfect").isNotNull(), F.struct("x", "perfect"))
     edges = both.groupBy("r").agg(F.max(key).alias("hi"), F.min(key).alias("lo"))
     up, down = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("r").rowsBetween(1, Window.unboundedFollowing)
