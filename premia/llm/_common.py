@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from premia.sources.scratch import scratch, shared_dir, written
+
 # The word separators of the contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\f\r"
 SPLIT = r"[ \t\n\x0B\f\r]+"
@@ -21,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="premia-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/premia-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch of texts holds; long texts make default batches too large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -86,3 +66,6 @@ def discard(df: DataFrame) -> None:
         if "/premia-" in folder:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+__all__ = ["SPACES", "SPLIT", "arrow_map", "bind", "discard", "release", "scratch", "shared_dir", "small_batches", "table", "words", "written"]
