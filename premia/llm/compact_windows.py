@@ -9,13 +9,17 @@ Jaccard similarity of at least SIMILAR.
    passage have any, about two in PASSAGE words; they are the places that are least of some passage, which sliding
    minima give without building the rest of the tree. A window is kept if another text has the same least hash.
 2. Interval join within a text: a window stays if some passage in it has AGREE kept windows of different hashes.
-3. Interval join across texts: windows with one hash are joined as a star with their least text; where the windows of
-   a pair of texts overlap AGREE times along about one diagonal, the passages there are a candidate.
+3. Interval join across texts: windows with one hash are joined as a star with the first of their texts; where the
+   windows of a pair of texts overlap AGREE times along about one diagonal, the passages there are a candidate.
 4. Verification: both passages, and those up to half a window before and after, are taken from the texts and compared
-   exactly. Verified pairs are connected. Then windows with one hash whose texts are not connected yet are paired
-   and verified likewise, so that a text unlike its star is not lost.
+   exactly. Verified pairs are connected. Twice more, windows with one hash whose texts are not connected yet are
+   joined as a star around another of them, so that a text unlike the first star's centre finds its like.
 
-With similarity s, the chance that AGREE of HASHES agree is 0.998 at s = 0.8 and 1 for equal passages; text by text the
+Work and rows grow with the windows, not with the square of a group: a line that thousands of texts share gives each
+text one pair a turn. Two like texts that the stars never bring together would stay unlinked: this needs every hash
+they share to be centred three times on texts unlike one of them.
+
+With similarity s, the chance that AGREE of HASHES agree is 0.99 at s = 0.8 and 1 for equal passages; text by text the
 many passages of a longer repeat raise it further. Texts that are equal as a whole are one class from the start, so
 groups of copies are one text in all steps. A hash that a batch holds more than once is looked up once.
 
@@ -27,6 +31,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,8 @@ from premia.llm.components import connected
 from premia.llm.suffix_dedup import _dealt, _doc_part, _hash_part, _in_batches, _two_docs, _with_texts, unpack, with_texts
 
 PASSAGE, SHINGLE, SIMILAR = 50, 5, 0.8
-HASHES, AGREE = 8, 3
+HASHES, AGREE = 8, 4
+TURNS = 3
 NEAR = 16  # words by which the diagonals of one candidate may differ
 STARTS = PASSAGE - SHINGLE + 1
 HALF = STARTS // 2
@@ -117,7 +123,7 @@ def find_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
         for i, t in enumerate(texts):
             group.append(i)
             size += len(t)
-            if size >= 1 << 23:
+            if size >= 1 << 20:
                 runs.append(group)
                 group, size = [], 0
         for run in [*runs, group]:
@@ -218,43 +224,29 @@ def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out[out["lo"] <= out["hi"]]
 
 
-def stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Each window with the first window, of the least text, that has its hash; dealt by pair of texts."""
-    a = _read(batches, NODE)
+def stars(batches: Iterator[pa.RecordBatch], parts: int, turn: int = 0) -> Iterator[pa.RecordBatch]:
+    """Each window with the first window of its hash, which is of another class; dealt by pair of texts.
+
+    First in the order of the text's number, in another order at each turn.
+    """
+    a = _read(batches, LABELLED)
     if not len(a):
         return
-    a = a[np.lexsort((a["lo"], a["doc"], a["hash"]))]
+    with np.errstate(over="ignore"):
+        rank = _mix(np.ascontiguousarray(a["doc"]).view(np.uint64) * _M[0] + np.uint64(turn))
+    a = a[np.lexsort((a["lo"], a["doc"], rank, a["hash"]))]
     first = np.maximum.accumulate(np.where(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]), np.arange(len(a)), 0))
-    other = a["doc"] != a["doc"][first]
+    other = (a["doc"] != a["doc"][first]) & (a["label"] != a["label"][first])
     p = _joined(a[first[other]], a[other])
+    swap = p["a"] > p["b"]
+    turned = p[swap].copy()
+    turned["a"], turned["b"], turned["delta"] = p["b"][swap], p["a"][swap], -p["delta"][swap]
+    turned["lo"], turned["hi"] = p["lo"][swap] + p["delta"][swap], p["hi"][swap] + p["delta"][swap]
+    p[swap] = turned
     if len(p):
         yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
 
 
-def across(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of windows with equal hashes in texts of different classes."""
-    a = _read(batches, LABELLED)
-    if not len(a):
-        return
-    a = a[np.lexsort((a["lo"], a["doc"], a["label"], a["hash"]))]
-    new = a["hash"][1:] != a["hash"][:-1]
-    group_end = np.append(np.flatnonzero(new) + 1, len(a))
-    group_end = group_end[np.searchsorted(group_end, np.arange(len(a)), side="right")]
-    class_end = np.append(np.flatnonzero(new | (a["label"][1:] != a["label"][:-1])) + 1, len(a))
-    class_end = class_end[np.searchsorted(class_end, np.arange(len(a)), side="right")]
-    count = group_end - class_end  # what comes after a window's own class
-    i = 0
-    while i < len(a):
-        k = max(i + 1, int(np.searchsorted(np.cumsum(count[i:]), 1 << 20)) + i)
-        own = count[i:k]
-        x = np.repeat(np.arange(i, k), own)
-        y = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(class_end[i:k], own)
-        p = _joined(a[x], a[y])
-        if len(p):
-            yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
-        i = k
-
-
 LABELLED = np.dtype([*((n, NODE[n]) for n in NODE.names), ("label", "<i8")])
 
 
@@ -322,10 +314,20 @@ def passages(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Is a passage of x like the one at the same place of y?"""
-    for i in range(max(1, min(len(x), len(y)) - STARTS + 1)):
-        a, b = np.unique(x[i : i + STARTS]), np.unique(y[i : i + STARTS])
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        if min(len(x), len(y)) >= STARTS and both >= SIMILAR * (len(a) + len(b) - both):
+    n = min(len(x), len(y))
+    if n < STARTS:
+        return False
+    x, y = x[:n], y[:n]
+    places = np.arange(n - STARTS + 1)
+    if len(np.unique(x)) == n and len(np.unique(y)) == n:  # without repeats, at most a fifth may be missing
+        need = math.ceil(STARTS * 2 * SIMILAR / (1 + SIMILAR) - 1e-9)
+        for own, other in ((x, y), (y, x)):
+            here = np.concatenate([[0], np.cumsum(np.isin(own, other))])
+            places = places[here[places + STARTS] - here[places] >= need]
+    for i in places.tolist():
+        a, b = set(x[i : i + STARTS].tolist()), set(y[i : i + STARTS].tolist())
+        both = len(a & b)
+        if both >= SIMILAR * (len(a) + len(b) - both):
             return True
     return False
 
@@ -373,14 +375,18 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
         release(spark)
         return out
 
-    found = checked(dealt(kept, lambda it: stars(it, parts)))
-    label = written(connected(found, "a", "b"))
     opened = kept.mapInArrow(_rows_of, "hash long, doc long, lo long, span int, at int")
-    named = opened.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = named.groupBy("hash").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("hash")
-    left = named.join(mixed, "hash").withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)))
-    more = checked(left.repartition(tasks, "part").mapInArrow(lambda it: across(_labelled(it), parts), BLOB))
-    return rows.select("doc_id", "doc", (F.size(words(F.col("text"))) >= PASSAGE).alias("long_enough")), found.unionByName(more).distinct()
+    found = spark.createDataFrame([], "a long, b long")
+    for turn in range(TURNS):
+        label = connected(found, "a", "b")
+        named = opened.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        if turn:
+            mixed = named.groupBy("hash").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("hash")
+            named = named.join(mixed, "hash")
+        left = named.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)))
+        fresh = checked(left.repartition(tasks, "part").mapInArrow(lambda it, t=turn: stars(_labelled(it), parts, t), BLOB))
+        found = written(found.unionByName(fresh).distinct())
+    return rows.select("doc_id", "doc", (F.size(words(F.col("text"))) >= PASSAGE).alias("long_enough")), found
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
