@@ -355,7 +355,7 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), F.lit(0).cast("long").alias("row"), text.cast("binary").alias("bytes"), text.alias("text"))
     size = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    tasks = max(1, -(-size // (16 << 20)))
+    tasks = max(1, -(-size // (8 << 20)))
     parts = 4 * tasks
     texts = rows.select("doc", "row", "bytes")
 

@@ -45,7 +45,8 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("span", "u1"), ("known", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
-WORK = 3 << 20  # bytes of pieces that are sorted at once
+RUN = 1 << 20  # bytes of text that are hashed at once
+WORK = 3 << 19  # bytes of pieces that are sorted at once
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -178,13 +179,18 @@ def _hash_part(hashes: np.ndarray, parts: int) -> np.ndarray:
 def find_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: anchors to look up, dealt by hash. Kind 1: candidates that the batch settles, dealt by document."""
     for docs, rows, texts, _ in _in_batches(batches):
-        b, ends, starts = _layout(texts)
-        which, base = np.arange(len(texts)), np.zeros(len(texts), np.int64)
-        if len(b) < 1 << 24:
-            runs = [(b, ends, starts, which, base)]
-        else:  # a very long text is cut, with LENGTH - 1 bytes of overlap
-            step = (8 << 20) - LENGTH + 1
-            runs = [(np.frombuffer(t[at : at + step + LENGTH - 1], np.uint8), np.array([min(len(t) - at, step + LENGTH - 1)]), np.array([0]), np.array([i]), np.array([at])) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - LENGTH + 1), step)]
+        runs, i = [], 0
+        while i < len(texts):  # hashing needs some 60 bytes for each byte of text: take RUN bytes at a time
+            k, size = i, 0
+            while k < len(texts) and (k == i or size + len(texts[k]) <= RUN):
+                size += len(texts[k])
+                k += 1
+            if size <= 2 * RUN:
+                runs.append((*_layout(texts[i:k]), np.arange(i, k), np.zeros(k - i, np.int64)))
+            else:  # a very long text is cut, with LENGTH - 1 bytes of overlap
+                for at in range(0, size - LENGTH + 1, RUN - LENGTH + 1):
+                    runs.append((*_layout([texts[i][at : at + RUN]]), np.array([i]), np.array([at])))
+            i = k
         found = []
         for bb, ee, ss, own, shift in runs:
             h, lo, hi = anchors(bb, ee, ss)
@@ -299,7 +305,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
         for h, lo, span in zip(own["hash"].tolist(), own["lo"].tolist(), own["span"].tolist(), strict=True):
             pieces.add(h, text[lo : lo + span + LENGTH], doc, row, lo)
         size += 64 * len(own)
-        if size > 4 * BATCH:
+        if size > BATCH:
             yield from pieces.packed(parts)
             yield from pieces.removed(parts)
             pieces, size = _Pieces(), 0
@@ -390,7 +396,7 @@ def removed_spans(rows: DataFrame) -> tuple[DataFrame, int]:
     spark = rows.sparkSession
     small_batches(spark)
     size = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    tasks = max(1, -(-size // (16 << 20)))
+    tasks = max(1, -(-size // (8 << 20)))
     parts = 4 * tasks
     blobs = "part long, kind int, blob binary"
     sent = rows.mapInArrow(lambda it: find_anchors(it, parts), blobs)
