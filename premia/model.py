@@ -59,7 +59,7 @@ class Glm:
         columns = [c for t in self.terms for c in t.columns]
         frame = Frame.of(df, y, weight, offset, columns)
         info = frame.check(self.family)
-        source, terms = build(frame, self.terms, self.family, self.spline_penalty)
+        source, terms = build(frame, self.terms, self.family, info["n"], self.spline_penalty)
         return frame, info, source, terms
 
     def _constraints(self, source) -> np.ndarray | None:

@@ -179,8 +179,11 @@ class Partitions(Source):
         return self.reduce(kernel)
 
 
-def build(frame: Frame, terms: Sequence[Term], family: Family, lam: float = 0.1) -> tuple[Source, list[Term]]:
-    """Learn the terms and make the source of sums: cells if the terms allow it, else partitions (kept in memory)."""
+def build(frame: Frame, terms: Sequence[Term], family: Family, n: int, lam: float = 0.1) -> tuple[Source, list[Term]]:
+    """Learn the terms and make the source of sums: cells if the terms or the number of rows allow it, else partitions.
+
+    At most MAX_CELLS cells or rows are collected; with more, the rows stay in Spark and are kept for the iterations.
+    """
     stats = Stats(frame.df, "__w")
     learned: list[Term] = []
     for t in terms:
@@ -194,6 +197,8 @@ def build(frame: Frame, terms: Sequence[Term], family: Family, lam: float = 0.1)
     groupable = True
     for t in learned:
         k = t.key()
+        if k is None and n <= MAX_CELLS:
+            k = [F.col(f"`{c}`") for c in t.columns]
         if k is None:
             groupable = False
             break

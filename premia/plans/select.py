@@ -45,6 +45,7 @@ class CrossValidation:
 def cross_validate(spec: Glm, df: DataFrame, y: str, fold: str, weight: str | None = None, offset=None, *, fit_mode: str = "fit", scoring: Sequence[str] = ("deviance",), oof: bool = False, error_score: float | str = "raise") -> CrossValidation:
     """Fit on all folds but one, score on that one. Fold values are few and collected; rows are not."""
     spark = df.sparkSession
+    df = df.persist()  # every fold reads it
     values = sorted(r[0] for r in df.select(fold).distinct().limit(1001).collect())
     if not 2 <= len(values) <= 1000:
         raise ValueError("the fold column needs 2 to 1000 values")
@@ -77,6 +78,8 @@ def cross_validate(spec: Glm, df: DataFrame, y: str, fold: str, weight: str | No
         mean = sum(x) / len(x)
         pooled = sum(a for a, _ in sums[m]) / sum(b for _, b in sums[m]) if m != "gini" and sums[m] else None
         table.append((m, mean, (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5, pooled))
+    if not oof:
+        df.unpersist()
     whole = parts[0] if parts else None
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -24,7 +24,7 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", **option
 
 def _out(x):
     if dataclasses.is_dataclass(x):
-        return {"kind": type(x).__name__, **{f.name: _out(getattr(x, f.name)) for f in dataclasses.fields(x)}}
+        return {"__type": type(x).__name__, **{f.name: _out(getattr(x, f.name)) for f in dataclasses.fields(x)}}
     if isinstance(x, np.ndarray):
         return {"array": x.tolist()}
     if isinstance(x, tuple | list):
@@ -43,7 +43,7 @@ def _in(x):
         return tuple(_in(v) for v in x["tuple"])
     if "map" in x:
         return {k: _in(v) for k, v in x["map"]}
-    return _KINDS[x["kind"]](**{k: _in(v) for k, v in x.items() if k != "kind"})
+    return _KINDS[x["__type"]](**{k: _in(v) for k, v in x.items() if k != "__type"})
 
 
 def save(model: Model, spark: SparkSession, path: str) -> None:
