@@ -63,4 +63,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_langid, op4_simhash, op5_suffix_dedup, op6_mixing, op7_spotsigs, op8_compact_windows, op9_sstable, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
+r AS (SELECT *, 3.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+c AS (SELECT *, ratio <= (total - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS capped FROM r),
+t AS (SELECT source, source_size, round(CASE WHEN capped THEN 3.0::DOUBLE * source_size ELSE weight * ((total - coalesce(sum(3 * source_size) FILTER (capped) OVER (), 0)) / sum(weight) FILTER (NOT capped) OVER ()) END, 6)::DOUBLE AS target FROM c),
+m AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE size * ((2 * upto - size <= 2 * target)::INT + (2 * (source_size + upto) - size <= 2 * target)::INT + (2 * (2 * source_size + upto) - size <= 2 * target)::INT) END)::BIGINT AS taken FROM m
+""",
+}
