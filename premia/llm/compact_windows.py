@@ -378,9 +378,10 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     opened = kept.mapInArrow(_rows_of, "hash long, doc long, lo long, span int, at int")
     found = spark.createDataFrame([], "a long, b long")
     for turn in range(TURNS):
-        label = connected(found, "a", "b")
-        named = opened.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        named = opened.withColumn("label", F.col("doc"))
         if turn:
+            label = written(connected(found, "a", "b").withColumnRenamed("node", "doc"))
+            named = opened.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
             mixed = named.groupBy("hash").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("hash")
             named = named.join(mixed, "hash")
         left = named.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)))
