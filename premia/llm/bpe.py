@@ -139,14 +139,21 @@ class Automaton:
         self.step: list[dict[int, int]] = [{}]
         self.last, self.size, self.delta = [-1], [0], [0]
         self.open: dict = {}
+        self.futures: dict = {}
 
     def _alive(self, node: int, x: int):
-        """What may still end under the node after token x: None if nothing, else a key equal for equal futures."""
+        """What may still end under the node: None if nothing, else a key equal for equal futures.
+
+        x: the token before, or what may end under the node's parent.
+        """
         found = self.open.get((node, x), 0)
         if found == 0:
             under = self.below[node]
-            found = x if under is None else frozenset(t for t in under if self.allows(x, t)) or None
-            self.open[node, x] = found
+            if x.__class__ is frozenset:
+                found = frozenset(t for t in under if t in x) or None
+            else:
+                found = x if under is None else frozenset(t for t in under if self.allows(x, t)) or None
+            found = self.open[node, x] = self.futures.setdefault(found, found)  # equal ones are one object
         return found
 
     def _make(self, state: int, byte: int) -> int:
@@ -160,7 +167,7 @@ class Automaton:
             if t >= 0 and token < 0 and (t in x if x.__class__ is frozenset else self.allows(x, t)):
                 token, count = t, behind + 1
             if self.trie[nxt]:
-                future = frozenset(y for y in self.below[nxt] if y in x) or None if x.__class__ is frozenset else self._alive(nxt, x)
+                future = self._alive(nxt, x)
                 if future is not None:
                     alive.append((nxt, future, behind))
         if token < 0:

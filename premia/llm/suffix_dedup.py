@@ -40,13 +40,13 @@ from premia.llm._common import discard, release, small_batches, written
 
 LENGTH, Q = 50, 20
 W = LENGTH - Q + 1
-BATCH = 6 << 20
+BATCH = 4 << 20
 LAST = (1 << 63) - 1  # stands for a null doc_id
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("span", "u1"), ("known", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
-RUN = 1 << 20  # bytes of text that are hashed at once
-WORK = 3 << 19  # bytes of pieces that are sorted at once
+RUN = 1 << 19  # bytes of text that are hashed at once
+WORK = 3 << 18  # bytes of pieces that are sorted at once
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
