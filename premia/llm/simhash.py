@@ -33,6 +33,7 @@ from premia.llm._common import arrow_map, written
 from premia.llm.components import connected
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
+LAST = (1 << 63) - 1  # stands for a null doc_id
 _UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -64,13 +65,14 @@ def fingerprint(texts: list[str | None]) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, text_hash, fp (the fingerprint's 64 bits as a signed long)."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.concatenate([fingerprint(batch.column(1)[i : i + 64].to_pylist()) for i in range(0, batch.num_rows, 64)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+        fp = np.concatenate([fingerprint(batch.column(2)[i : i + 64].to_pylist()) for i in range(0, batch.num_rows, 64)])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return arrow_map(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), kernel, "doc_id long, fp long")
+    text = F.col(f"`{text_col}`")
+    return arrow_map(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), kernel, "doc_id long, text_hash long, fp long")
 
 
 def grid(n: int) -> int:
@@ -129,15 +131,24 @@ def labels(classes: DataFrame) -> DataFrame:
     return connected(across.unionByName(known), "fp", "star").select(F.col("node").alias("fp"), "label")
 
 
-def components(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, fp, text_hash, component_id of each row (component_id: the smallest doc_id reachable)."""
-    named = df.select("doc_id", F.col(f"`{text_col}`").alias("text"))
-    base = written(fingerprints(named))
-    classes = written(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _grouped(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp of each row; fp, label, component_id, first of each fingerprint).
+
+    first: doc_id (null as the largest number) and text hash of the component's first row.
+    """
+    base = written(fingerprints(df, text_col))
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("text_hash").alias("h")))
+    classes = written(base.groupBy("fp").agg(F.min("doc_id").alias("least"), least.alias("first")))
     linked = written(labels(classes.select("fp")))
     of_class = classes.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    ids = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
-    return base.join(of_class.join(ids, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    ids = of_class.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("of_all"))
+    return base, of_class.select("fp", "label").join(ids, "label").select("fp", "label", "component_id", F.col("of_all").alias("first"))
+
+
+def components(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id of each row (component_id: the smallest doc_id reachable)."""
+    base, classes = _grouped(df, text_col)
+    return base.join(classes.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_column(fp: Column) -> Column:
@@ -146,11 +157,14 @@ def hex_column(fp: Column) -> Column:
 
 
 def deduplicate(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df without near duplicates: of each component the row with the least doc_id (of equal ids, one)."""
-    named = df.select("doc_id", F.col(f"`{text_col}`").alias("text"))
-    found = components(named)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"), "component_id", F.col("fp").alias("__fp")).distinct()
-    left = df.withColumn("__row", F.col("doc_id").cast("long"))
-    rows = left.join(keep, F.col("__row").eqNullSafe(F.col("__keep")))
-    one = Window.partitionBy("__row").orderBy(F.xxhash64(F.col(f"`{text_col}`")), F.length(F.col(f"`{text_col}`")))
+    """The rows of df without near duplicates: of each component its first row, the one with the least doc_id.
+
+    Of rows with one doc_id in a component the one with the least text hash stays, of equal rows one.
+    """
+    _, classes = _grouped(df, text_col)
+    keep = classes.select(F.col("first.d").alias("__keep"), F.col("first.h").alias("__hash")).distinct()
+    text = F.col(f"`{text_col}`")
+    left = df.withColumns({"__row": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__own": F.xxhash64(text)})
+    rows = left.join(keep, (F.col("__row") == F.col("__keep")) & (F.col("__own") == F.col("__hash")))
+    one = Window.partitionBy("__row", "__own").orderBy(F.length(text))
     return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*(F.col(f"`{c}`") for c in df.columns))
