@@ -15,7 +15,7 @@ from premia.functions import families, links, special
 from premia.functions.families import Family
 from premia.functions.links import Link
 from premia.operators import adequacy, charts, splines
-from premia.operators.frame import Design, Frame, Partitions, build, irls_weights
+from premia.operators.frame import Design, Frame, build, irls_weights
 from premia.operators.terms import Categorical, Interaction, LambdaPolicy, Numeric, OrderedCategorical, Polynomial, Spline, Term, detect
 from premia.plans import solve
 from premia.plans.solve import Fit, GroupPenalty
@@ -58,6 +58,7 @@ class Glm:
     def _ready(self, df: DataFrame, y: str, weight, offset):
         columns = [c for t in self.terms for c in t.columns]
         frame = Frame.of(df, y, weight, offset, columns)
+        frame.df.persist()  # several aggregations read the same few columns
         info = frame.check(self.family)
         source, terms = build(frame, self.terms, self.family, info["n"], self.spline_penalty)
         return frame, info, source, terms
@@ -85,8 +86,7 @@ class Glm:
         return s, lams
 
     def _model(self, fit: Fit, source, terms, info, frame: Frame) -> Model:
-        if isinstance(source, Partitions):
-            source.df.unpersist()
+        frame.df.unpersist()
         return Model(replace(self, terms=tuple(terms)), source.design, fit, info, frame.has_offset)
 
     def fit(self, df: DataFrame, y: str, weight: str | None = None, offset: str | Sequence[str] | None = None) -> Model:
@@ -114,17 +114,20 @@ class Glm:
         return self._model(fit, source, terms, info, frame)
 
     def lambda_max(self, df: DataFrame, y: str, weight=None, offset=None) -> float:
-        _, info, source, _ = self._ready(df, y, weight, offset)
-        return solve.lambda_max(source, self.family, self.link, info, self.penalty or solve.GroupLasso())
+        frame, info, source, _ = self._ready(df, y, weight, offset)
+        out = solve.lambda_max(source, self.family, self.link, info, self.penalty or solve.GroupLasso())
+        frame.df.unpersist()
+        return out
 
     def fit_path(self, df: DataFrame, y: str, weight=None, offset=None, *, n_lambda: int = 50, lambda_ratio: float = 1e-3, lambda_seq: Sequence[float] | None = None) -> DataFrame:
         """lambda, deviance, edf, n_iter, converged, intercept, beta along a falling sequence of group penalties."""
-        _, info, source, _ = self._ready(df, y, weight, offset)
+        frame, info, source, _ = self._ready(df, y, weight, offset)
         penalty = self.penalty or solve.GroupLasso()
         solve.check_features(source, penalty)
         s, _ = self._fixed(source)
         top = solve.lambda_max(source, self.family, self.link, info, penalty)
         fits = solve.path(source, self.family, self.link, info, s, penalty, solve.lambda_sequence(top, n_lambda, lambda_ratio, lambda_seq), tol=max(self.tol, 1e-9), max_iter=self.max_iter)
+        frame.df.unpersist()
         rows = [(f.lambdas["lambda1"], f.deviance, f.edf, f.n_iter, f.converged, f.intercept, f.beta.tolist()) for f in fits]
         return df.sparkSession.createDataFrame(rows, "`lambda` double, deviance double, edf double, n_iter int, converged boolean, intercept double, beta array<double>")
 

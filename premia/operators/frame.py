@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from premia.functions.families import Family
 from premia.functions.links import Link
-from premia.operators.terms import Interaction, Stats, Term
+from premia.operators.terms import Interaction, Numeric, Polynomial, Spline, Stats, Term
 
 MAX_CELLS = 200_000
 ROLES = ("__y", "__w", "__o")
@@ -185,6 +185,8 @@ def build(frame: Frame, terms: Sequence[Term], family: Family, n: int, lam: floa
     At most MAX_CELLS cells or rows are collected; with more, the rows stay in Spark and are kept for the iterations.
     """
     stats = Stats(frame.df, "__w")
+    parts = [p for t in terms for p in ((t.left, t.right) if isinstance(t, Interaction) else (t,))]
+    stats.ranges([c for p in parts if isinstance(p, Numeric | Polynomial | Spline) for c in p.columns])
     learned: list[Term] = []
     for t in terms:
         if isinstance(t, Interaction):
@@ -215,8 +217,7 @@ def build(frame: Frame, terms: Sequence[Term], family: Family, n: int, lam: floa
         count, mass = data["__n"], data["__w"]
         learned = _finish(learned, lambda raw_terms: _raw_sums(raw_terms, data, count, mass), mass.sum(), lam)
         return Cells(Design(learned), data), learned
-    df = frame.df.persist()
-    source = Partitions(Design([]), df)
+    source = Partitions(Design([]), frame.df)
 
     def over_rows(raw_terms):
         return source.reduce(lambda d: _raw_sums(raw_terms, d, np.ones(len(d["__y"])), d["__w"].astype(float)))
