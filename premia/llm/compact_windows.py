@@ -51,6 +51,8 @@ STARTS = PASSAGE - SHINGLE + 1
 HALF = STARTS // 2
 BLOB = "part long, kind int, blob binary"
 NODE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("span", "u1"), ("at", "u1"), ("known", "u1"), ("row", "i1")])
+LABEL = np.dtype([("doc", "<i8"), ("label", "<i8")])
+LABELLED = np.dtype([*((n, NODE[n]) for n in NODE.names), ("label", "<i8")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("delta", "<i4"), ("j", "u1")])
 ASK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "i1"), ("lo", "<u4"), ("n", "<u2"), ("side", "u1"), ("other", "<i8")])
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -192,12 +194,12 @@ def cover(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def agreeing(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Windows with a passage that AGREE windows of different hashes hold, dealt by hash."""
+    """Windows with a passage that AGREE windows of different hashes hold, dealt by text."""
     a = _read(batches, NODE)
     if not len(a):
         return
     a = np.unique(a)  # copies of a text send its windows more than once
-    texts, text = np.unique(a["doc"], return_inverse=True)
+    _, text = np.unique(a["doc"], return_inverse=True)
     base = text.astype(np.int64) << 32
     lo, hi = base + a["lo"], base + a["lo"] + a["span"]
     places, count = cover(lo, hi)
@@ -205,7 +207,37 @@ def agreeing(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     first, last = np.searchsorted(places, lo), np.searchsorted(places, hi, side="right")
     a = a[enough[last] > enough[first]]
     if len(a):
-        yield _dealt(_hash_part(a["hash"], parts), a, 0)
+        yield _dealt(_doc_part(a["doc"], parts), a, 0)
+
+
+def named(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Windows (kind 0) with the class of their text (kind 1), or the text itself as its class; dealt by hash."""
+    windows_, labels = [], []
+    for batch in batches:
+        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            (labels if kind else windows_).append(unpack(blob, LABEL if kind else NODE))
+    if not windows_:
+        return
+    a = np.concatenate(windows_)
+    out = np.zeros(len(a), LABELLED)
+    for n in NODE.names:
+        out[n] = a[n]
+    out["label"] = a["doc"]
+    if labels:
+        known = np.concatenate(labels)
+        known = known[np.argsort(known["doc"])]
+        at = np.minimum(np.searchsorted(known["doc"], a["doc"]), len(known) - 1)
+        out["label"] = np.where(known["doc"][at] == a["doc"], known["label"][at], a["doc"])
+    yield _dealt(_hash_part(out["hash"], parts), out, 0)
+
+
+def pack_labels(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """node, label as packed rows of kind 1, dealt by text."""
+    for batch in batches:
+        if batch.num_rows:
+            out = np.zeros(batch.num_rows, LABEL)
+            out["doc"], out["label"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            yield _dealt(_doc_part(out["doc"], parts), out, 1)
 
 
 def _pair_part(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
@@ -247,9 +279,6 @@ def stars(batches: Iterator[pa.RecordBatch], parts: int, turn: int = 0) -> Itera
         yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
 
 
-LABELLED = np.dtype([*((n, NODE[n]) for n in NODE.names), ("label", "<i8")])
-
-
 def candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Where the windows of a pair of texts overlap AGREE times along near diagonals: asks for both passages."""
     p = _read(batches, PAIR)
@@ -302,14 +331,28 @@ def candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
 def passages(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The shingle hashes of the asked passages, dealt by the ask's key: (part, key, side, doc, shingles)."""
     done: set[int] = set()
+    held: list[tuple[np.ndarray, np.ndarray, int, list[bytes]]] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        key = np.concatenate([h[0] for h in held])
+        side = np.concatenate([h[1] for h in held]).astype(np.int32)
+        doc = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
+        return pa.RecordBatch.from_arrays([pa.array(_hash_part(key, parts), pa.int64()), pa.array(key.view(np.int64), pa.int64()), pa.array(side, pa.int32()), pa.array(doc, pa.int64()), pa.array([x for h in held for x in h[3]], pa.binary())], names=["part", "key", "side", "doc", "shingles"])
+
     for (doc, _, text), own in _with_texts(batches, ASK):
         if not len(own) or doc in done:
             continue
         done.add(doc)
         s = shingle_hashes(word_hashes(text)[0])
-        key, side, lo, n = own["key"], own["side"], own["lo"].astype(np.int64), own["n"].astype(np.int64)
-        some = [s[x : x + m - SHINGLE + 1].tobytes() for x, m in zip(lo.tolist(), n.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(_hash_part(key, parts), pa.int64()), pa.array(key.astype(np.int64), pa.int64()), pa.array(side.astype(np.int32), pa.int32()), pa.array([doc] * len(own), pa.int64()), pa.array(some, pa.binary())], names=["part", "key", "side", "doc", "shingles"])
+        some = [s[x : x + m - SHINGLE + 1].tobytes() for x, m in zip(own["lo"].tolist(), own["n"].tolist(), strict=True)]
+        held.append((np.ascontiguousarray(own["key"]), own["side"], doc, some))
+        size += sum(map(len, some))
+        if size > 1 << 21:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -364,7 +407,7 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
 
     first = written(dealt(texts.mapInArrow(lambda it: find_windows(it, parts), BLOB), lambda it: shared(it, parts)))
     release(spark)
-    kept = written(dealt(first, lambda it: agreeing(it, parts)))
+    kept = written(first.repartition(tasks, "part").mapInArrow(lambda it: agreeing(it, parts), BLOB))
     discard(first)
     release(spark)
 
@@ -375,41 +418,17 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
         release(spark)
         return out
 
-    opened = kept.mapInArrow(_rows_of, "hash long, doc long, lo long, span int, at int")
     found = spark.createDataFrame([], "a long, b long")
     for turn in range(TURNS):
-        named = opened.withColumn("label", F.col("doc"))
+        both = kept
         if turn:
-            label = written(connected(found, "a", "b").withColumnRenamed("node", "doc"))
-            named = opened.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-            mixed = named.groupBy("hash").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("hash")
-            named = named.join(mixed, "hash")
-        left = named.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)))
-        fresh = checked(left.repartition(tasks, "part").mapInArrow(lambda it, t=turn: stars(_labelled(it), parts, t), BLOB))
+            both = kept.unionByName(written(connected(found, "a", "b").select("node", "label").mapInArrow(lambda it: pack_labels(it, parts), BLOB)))
+        by_hash = dealt(both, lambda it: named(it, parts))
+        fresh = checked(dealt(by_hash, lambda it, t=turn: stars(it, parts, t)))
         found = written(found.unionByName(fresh).distinct())
     return rows.select("doc_id", "doc", (F.size(words(F.col("text"))) >= PASSAGE).alias("long_enough")), found
 
 
-def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(2).to_pylist():
-            a = unpack(blob, NODE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a["hash"]).view(np.int64), pa.int64()), pa.array(a["doc"], pa.int64()), pa.array(a["lo"].astype(np.int64), pa.int64()), pa.array(a["span"].astype(np.int32), pa.int32()), pa.array(a["at"].astype(np.int32), pa.int32())], names=["hash", "doc", "lo", "span", "at"])
-
-
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from premia.llm.suffix_dedup import pack
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a = np.zeros(batch.num_rows, LABELLED)
-        for name in ("doc", "lo", "span", "at", "label"):
-            a[name] = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-        a["hash"] = batch.column(batch.schema.get_field_index("hash")).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        yield _row(0, pack(a))
-
-
 def classes(df: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links (verified links of the text to other texts) of each row."""
     rows, found = links(df, text_col)
