@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.llm._common import words, written
@@ -51,10 +51,6 @@ def targets(sizes: list[int], weights: list[float], budget: float, repeats: int
     return [round(x, 6) for x in out]
 
 
-def shuffle_key(doc_id: Column, text_hash: Column) -> list[Column]:
-    return [F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), text_hash]
-
-
 def plan(df: DataFrame, weigh: Callable[[list], list[float]] = cycle_weights, repeats: int = 3) -> DataFrame:
     """doc_id, source, text_hash, size, source_size, target, copies, taken, finish (of the first copy)."""
     base = written(
