@@ -48,6 +48,8 @@ MAX_WORDS = 800_000
 INNER = re.compile(r"\s \s|\s \Z").search
 # Letters, then plain punctuation or nothing: two words or one in every Unicode version.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&*-/:-@]*)").fullmatch
+# The same, and perhaps a line end, which is a word of its own before a letter, and such words again.
+LINES = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&*-/:-@]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&*-/:-@]*))?").fullmatch
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -208,20 +210,21 @@ class LibraryEncoder:
         self.cuts = self.cuts and len(self.line) == 1
         self.cache: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, words: list[str]) -> None:
+    def _lines(self, words: list[str], space: str, into: dict[str, bytes]) -> None:
         """Encode plain words, many to a call: a line end between two of them is a word, and a token, of its own."""
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            ids = np.array(self.lib.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = np.array(self.lib.encode_batch_fast([space + f"\n{space}".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = [0, *(np.flatnonzero(ids == self.line) + 1).tolist(), len(ids) + 1]
             if len(cuts) != len(some) + 1:
                 raise AssertionError("a word was not encoded by itself")
             raw, width = ids.tobytes(), self.dtype.itemsize
-            self.cache.update((x, raw[a * width : (b - 1) * width]) for x, a, b in zip(some, cuts, cuts[1:], strict=False))
+            into.update((x, raw[a * width : (b - 1) * width]) for x, a, b in zip(some, cuts, cuts[1:], strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed little-endian in self.dtype."""
@@ -238,8 +241,9 @@ class LibraryEncoder:
                 found.append((first, parts, packed))
                 if None in packed:
                     missing.update(x for x, ids in zip(parts, packed, strict=True) if ids is None)
-        self._learn(missing)
-        firsts = self._library([f[0] for f in found if f])[::-1]
+        firsts = [f[0] for f in found if f]
+        self._learn(missing, firsts)
+        firsts = [self.start(x) for x in firsts][::-1]
         out = []
         for f in found:
             if f is None:
@@ -255,26 +259,49 @@ class LibraryEncoder:
             del cache[x]
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        """Put the ids of pieces into the cache (each with a space before it)."""
-        cache, plain, marked, other = self.cache, set(), [], []
+    def start(self, piece: str) -> bytes:
+        """The ids of a piece without a space before it, whose words are known if it is plain."""
+        if (m := SIMPLE(piece)) is None:
+            return self._library([piece])[0] if piece else b""
+        return self.bare[m[1]] + (self.marks[m[2]] if m[2] else b"")
+
+    def _learn(self, missing: set[str], firsts: list[str]) -> None:
+        """Put the ids of pieces into the cache (each with a space before it), and the words of firsts into bare."""
+        cache, bare, marks = self.cache, self.bare, self.marks
+        plain, first_words, made, other = set(), set(), [], []
+        if len(bare) > MAX_WORDS // 4:
+            bare.clear()
+        if len(marks) > MAX_WORDS // 4:
+            marks.clear()
+        for x in firsts:
+            if m := SIMPLE(x):
+                first_words.add(m[1])
+                if m[2] and m[2] not in marks:
+                    marks[m[2]] = self._library([m[2]])[0]
         for x in missing:
-            if (m := SIMPLE(x)) is None:
+            if (m := LINES(x)) is None:
                 other.append(x)
                 continue
-            word, mark = m.groups()
+            word, mark, word2, mark2 = m.groups()
             if word not in cache:
                 plain.add(word)
-            if mark:
-                marked.append((x, word, mark))
-                if mark not in self.marks:
-                    self.marks[mark] = self._library([mark])[0]
-        cache.update(zip(other, self._library([" " + x for x in other]), strict=True))
-        self._lines(list(plain))
-        for x, word, mark in marked:
-            cache[x] = cache[word] + self.marks[mark]
-        if len(self.marks) > MAX_WORDS:
-            self.marks.clear()
+            for y in (mark, mark2):
+                if y and y not in marks:
+                    marks[y] = self._library([y])[0]
+            if word2:
+                first_words.add(word2)
+            if mark or word2:
+                made.append((x, word, mark, word2, mark2))
+        if other:
+            cache.update(zip(other, self._library([" " + x for x in other]), strict=True))
+        self._lines(list(plain), " ", cache)
+        self._lines([w for w in first_words if w not in bare], "", bare)
+        line = np.array(self.line, self.dtype).tobytes()
+        for x, word, mark, word2, mark2 in made:
+            ids = cache[word] + marks[mark] if mark else cache[word]
+            if word2:
+                ids += line + bare[word2] + (marks[mark2] if mark2 else b"")
+            cache[x] = ids
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
