@@ -14,10 +14,14 @@ Jaccard similarity of at least SIMILAR.
 4. Verification: both passages, and those up to half a window before and after, are taken from the texts and compared
    exactly. Verified pairs are connected. Twice more, windows with one hash whose texts are not connected yet are
    joined as a star around another of them, so that a text unlike the first star's centre finds its like.
+5. Last join. What the stars leave (windows whose hash still has two classes, at passages with AGREE of them) is
+   joined all with all by hash, between different classes; its candidates are verified as before. So every pair of
+   texts with AGREE windows in common is either tried or in one class already.
 
-Work and rows grow with the windows, not with the square of a group: a line that thousands of texts share gives each
-text one pair a turn. Two like texts that the stars never bring together would stay unlinked: this needs every hash
-they share to be centred three times on texts unlike one of them.
+The stars' work grows with the windows, not with the square of a group: a line that thousands of texts share gives
+each text one pair a turn. They are there to settle the groups of like texts. The last join grows with the square of
+the classes that share a hash (form letters with own fields); such a hash is split into pairs of blocks of BLOCK
+windows, so that no task holds more than one of them.
 
 With similarity s, the chance that AGREE of HASHES agree is 0.99 at s = 0.8 and 1 for equal passages; text by text the
 many passages of a longer repeat raise it further. Texts that are equal as a whole are one class from the start, so
@@ -46,6 +50,8 @@ from premia.llm.suffix_dedup import _dealt, _doc_part, _hash_part, _in_batches,
 PASSAGE, SHINGLE, SIMILAR = 50, 5, 0.8
 HASHES, AGREE = 8, 4
 TURNS = 3
+BLOCK = 512  # windows of one hash that are joined all with all at once
+CHUNK = 1 << 19  # pairs of windows that are made, or grouped by pair of texts, at once
 NEAR = 16  # words by which the diagonals of one candidate may differ
 STARTS = PASSAGE - SHINGLE + 1
 HALF = STARTS // 2
@@ -53,6 +59,7 @@ BLOB = "part long, kind int, blob binary"
 NODE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("span", "u1"), ("at", "u1"), ("known", "u1"), ("row", "i1")])
 LABEL = np.dtype([("doc", "<i8"), ("label", "<i8")])
 LABELLED = np.dtype([*((n, NODE[n]) for n in NODE.names), ("label", "<i8")])
+CELL = np.dtype([*((n, LABELLED[n]) for n in LABELLED.names), ("cell", "<u8"), ("side", "u1")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("delta", "<i4"), ("j", "u1")])
 ASK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "i1"), ("lo", "<u4"), ("n", "<u2"), ("side", "u1"), ("other", "<i8")])
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -256,10 +263,28 @@ def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out[out["lo"] <= out["hi"]]
 
 
+def _ordered(p: np.ndarray) -> np.ndarray:
+    """The pairs with the lesser text first."""
+    swap = p["a"] > p["b"]
+    turned = p[swap].copy()
+    turned["a"], turned["b"], turned["delta"] = p["b"][swap], p["a"][swap], -p["delta"][swap]
+    turned["lo"], turned["hi"] = p["lo"][swap] + p["delta"][swap], p["hi"][swap] + p["delta"][swap]
+    p[swap] = turned
+    return p
+
+
+def _open(a: np.ndarray) -> np.ndarray:
+    """Of windows sorted by hash: does the hash come with two classes?"""
+    begin = np.flatnonzero(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]))
+    two = np.minimum.reduceat(a["label"], begin) != np.maximum.reduceat(a["label"], begin)
+    return np.repeat(two, np.diff(np.append(begin, len(a))))
+
+
 def stars(batches: Iterator[pa.RecordBatch], parts: int, turn: int = 0) -> Iterator[pa.RecordBatch]:
-    """Each window with the first window of its hash, which is of another class; dealt by pair of texts.
+    """Kind 0: each window with the first window of its hash, which is of another class; dealt by pair of texts.
 
-    First in the order of the text's number, in another order at each turn.
+    First in the order of the text's number, in another order at each turn. Kind 1, after the first turn: the windows
+    whose hash has two classes, dealt by text; only they matter from here on.
     """
     a = _read(batches, LABELLED)
     if not len(a):
@@ -269,14 +294,97 @@ def stars(batches: Iterator[pa.RecordBatch], parts: int, turn: int = 0) -> Itera
     a = a[np.lexsort((a["lo"], a["doc"], rank, a["hash"]))]
     first = np.maximum.accumulate(np.where(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]), np.arange(len(a)), 0))
     other = (a["doc"] != a["doc"][first]) & (a["label"] != a["label"][first])
-    p = _joined(a[first[other]], a[other])
-    swap = p["a"] > p["b"]
-    turned = p[swap].copy()
-    turned["a"], turned["b"], turned["delta"] = p["b"][swap], p["a"][swap], -p["delta"][swap]
-    turned["lo"], turned["hi"] = p["lo"][swap] + p["delta"][swap], p["hi"][swap] + p["delta"][swap]
-    p[swap] = turned
+    p = _ordered(_joined(a[first[other]], a[other]))
     if len(p):
         yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
+    if turn:
+        yield from _kept(a, parts, 1)
+
+
+def _kept(a: np.ndarray, parts: int, kind: int) -> Iterator[pa.RecordBatch]:
+    a = a[_open(a)]
+    if len(a):
+        out = np.zeros(len(a), NODE)
+        for n in NODE.names:
+            out[n] = a[n]
+        yield _dealt(_doc_part(out["doc"], parts), out, kind)
+
+
+def unsettled(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The windows whose hash has two classes, dealt by text."""
+    a = _read(batches, LABELLED)
+    if len(a):
+        yield from _kept(a[np.argsort(a["hash"], kind="stable")], parts, 0)
+
+
+def spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The windows of each hash with two classes, in cells: pairs of blocks of them. pairs: those of the cells."""
+    a = _read(batches, LABELLED)
+    if not len(a):
+        return
+    a = a[np.lexsort((a["lo"], a["doc"], a["label"], a["hash"]))]
+    a = a[_open(a)]
+    if not len(a):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]))
+    size = np.diff(np.append(begin, len(a)))
+    block = (np.arange(len(a)) - np.repeat(begin, size)) // BLOCK
+    blocks = np.repeat(-(-size // BLOCK), size)
+    for k in range(0, int(blocks.max())):  # each window meets block k of its hash
+        some = a[blocks > k]
+        own, out = block[blocks > k], np.zeros(np.count_nonzero(blocks > k), CELL)
+        for n in LABELLED.names:
+            out[n] = some[n]
+        low, high = np.minimum(own, k).astype(np.uint64), np.maximum(own, k).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            out["cell"] = _mix(some["hash"] * _M[0] + (low << np.uint64(32)) + high + np.uint64(1))
+        out["side"] = np.where(own == k, 0, np.where(own > k, 2, 1))  # 1: the lesser block of two, 2: the greater
+        whole = out[out["side"] == 0]
+        yield _dealt(_hash_part(whole["cell"], parts), whole, 0)
+        if k or int(blocks.max()) > 1:
+            rest = out[out["side"] > 0]
+            if len(rest):
+                yield _dealt(_hash_part(rest["cell"], parts), rest, 0)
+
+
+def all_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of windows of a cell that are of different texts and classes, dealt by pair of texts."""
+    a = _read(batches, CELL)
+    if not len(a):
+        return
+    a = a[np.lexsort((a["doc"], a["label"], a["side"], a["cell"]))]
+    n = len(a)
+    edge = np.concatenate([[True], (a["cell"][1:] != a["cell"][:-1])])
+    stop = np.append(np.flatnonzero(edge)[1:], n)[np.cumsum(edge) - 1]
+    # within a block: with the windows of later labels; across two: with all of the greater block
+    run = np.concatenate([[True], edge[1:] | (a["side"][1:] != a["side"][:-1]) | (a["label"][1:] != a["label"][:-1])])
+    side_edge = np.concatenate([[True], edge[1:] | (a["side"][1:] != a["side"][:-1])])
+    after = np.append(np.flatnonzero(run)[1:], n)[np.cumsum(run) - 1]
+    greater = np.append(np.flatnonzero(side_edge)[1:], n)[np.cumsum(side_edge) - 1]
+    start = np.where(a["side"] == 0, after, np.where(a["side"] == 1, greater, stop))
+    count = np.maximum(stop - start, 0)
+    total = np.concatenate([[0], np.cumsum(count)])
+    i = 0
+    while i < n:
+        k = max(i + 1, int(np.searchsorted(total, total[i] + CHUNK, side="right")) - 1)
+        c = count[i:k]
+        if c.any():
+            x = np.repeat(np.arange(i, k), c)
+            y = np.arange(len(x)) - np.repeat(total[i:k] - total[i], c) + np.repeat(start[i:k], c)
+            ok = (a["label"][x] != a["label"][y]) & (a["doc"][x] != a["doc"][y])
+            p = _ordered(_joined(a[x[ok]], a[y[ok]]))
+            if len(p):
+                yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
+        i = k
+
+
+def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n: at most how many pairs the cells of a partition give."""
+    a = _read(batches, CELL)
+    if len(a):
+        _, which = np.unique(a["cell"], return_inverse=True)
+        n = [np.bincount(which, a["side"] == s) for s in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array([int((n[0] * (n[0] - 1) / 2 + n[1] * n[2]).sum())], pa.int64())], names=["n"])
 
 
 def candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -411,21 +519,34 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     discard(first)
     release(spark)
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        asks = written(dealt(pairs, lambda it: candidates(it, parts)))
+    def checked(pairs: DataFrame, parts: int = parts, tasks: int = tasks) -> DataFrame:
+        asks = written(pairs.repartition(tasks, "part").mapInArrow(lambda it: candidates(it, parts), BLOB))
         got = with_texts(texts, asks, parts, tasks).mapInArrow(lambda it: passages(it, parts), "part long, key long, side int, doc long, shingles binary")
         out = written(got.repartition(tasks, "part").sortWithinPartitions("key", "side").mapInArrow(verified, "a long, b long").distinct())
         release(spark)
         return out
 
-    found = spark.createDataFrame([], "a long, b long")
+    def labels(found: DataFrame) -> DataFrame:
+        return written(connected(found, "a", "b").select("node", "label").mapInArrow(lambda it: pack_labels(it, parts), BLOB))
+
+    def by_hash(windows_: DataFrame, known: DataFrame | None) -> DataFrame:
+        return dealt(windows_ if known is None else windows_.unionByName(known), lambda it: named(it, parts))
+
+    found, known = spark.createDataFrame([], "a long, b long"), None
     for turn in range(TURNS):
-        both = kept
+        step = dealt(by_hash(kept, known), lambda it, t=turn: stars(it, parts, t))
         if turn:
-            both = kept.unionByName(written(connected(found, "a", "b").select("node", "label").mapInArrow(lambda it: pack_labels(it, parts), BLOB)))
-        by_hash = dealt(both, lambda it: named(it, parts))
-        fresh = checked(dealt(by_hash, lambda it, t=turn: stars(it, parts, t)))
-        found = written(found.unionByName(fresh).distinct())
+            step = written(step)
+            kept = step.filter("kind = 1").select("part", F.lit(0).alias("kind"), "blob")
+        found = written(found.unionByName(checked(step.filter("kind = 0"))).distinct())
+        known = labels(found)
+    rest = written(dealt(dealt(by_hash(kept, known), lambda it: unsettled(it, parts)), lambda it: agreeing(it, parts)))
+    cells = written(dealt(by_hash(rest, known), lambda it: spread(it, parts)))
+    pairs = cells.repartition(tasks, "part").mapInArrow(pair_counts, "n long").agg(F.sum("n")).first()[0] or 0
+    if pairs:
+        more = max(tasks, -(-pairs // CHUNK))
+        every = cells.repartition(min(more, parts), "part").mapInArrow(lambda it: all_pairs(it, 4 * more), BLOB)
+        found = written(found.unionByName(checked(every, 4 * more, more)).distinct())
     return rows.select("doc_id", "doc", (F.size(words(F.col("text"))) >= PASSAGE).alias("long_enough")), found
 
 

@@ -358,6 +358,32 @@ def test_compact_windows(spark, none):
     assert compact_windows.classes(none).count() == 0
 
 
+def test_compact_windows_of_forms_with_own_fields(spark):
+    """Pairs of like texts in one form: most of their hashes are those of all texts, which the stars cannot part."""
+    form, rows = ["form%d" % i for i in range(30)], []
+    for k in range(60):
+        own = ["v%d_%d" % (k, i) for i in range(20)]
+        rows += [(2 * k, " ".join(form + own), None, None), (2 * k + 1, " ".join(form + own[:-1] + ["last"]), None, None)]
+    got = {r["doc_id"]: r["class_id"] for r in compact_windows.classes(table(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
+def test_last_join_of_windows_is_whole(monkeypatch):
+    monkeypatch.setattr(compact_windows, "BLOCK", 16)
+    monkeypatch.setattr(compact_windows, "CHUNK", 50)
+    rng = np.random.default_rng(6)
+    a = np.zeros(300, compact_windows.LABELLED)
+    a["hash"] = np.where(np.arange(300) < 120, 7, rng.integers(1000, 1040, 300)).astype(np.uint64) << np.uint64(16)
+    a["doc"] = rng.permutation(300)
+    a["label"] = a["doc"] // 3
+    cells = list(compact_windows.spread(iter([compact_windows._dealt(np.zeros(300, np.int64), a, 0)]), 4))
+    pairs = compact_windows._read(iter(list(compact_windows.all_pairs(iter(cells), 4))), compact_windows.PAIR)
+    rows = sorted(zip(a["doc"].tolist(), a["hash"].tolist(), a["label"].tolist()))
+    want = [(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] == y[1] and x[2] != y[2]]
+    assert sorted(zip(pairs["a"].tolist(), pairs["b"].tolist())) == sorted(want)
+    assert sum(b.column(0)[0].as_py() for b in compact_windows.pair_counts(iter(cells))) >= len(want)
+
+
 def test_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(4)
     s = rng.integers(0, 1 << 63, 300).astype(np.uint64)
