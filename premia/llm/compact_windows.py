@@ -27,6 +27,9 @@ With similarity s, the chance that AGREE of HASHES agree is 0.99 at s = 0.8 and
 many passages of a longer repeat raise it further. Texts that are equal as a whole are one class from the start, so
 groups of copies are one text in all steps. A hash that a batch holds more than once is looked up once.
 
+The result is the class alone, exact up to the candidates. Links within a class are not counted: texts that are in one
+class already are not compared again.
+
 Defined results: null and empty texts and texts under PASSAGE words have no passage and are a class of their own;
 equal texts of PASSAGE words or more share their class; the class id is the least doc_id in it; null doc_ids
 are a class id only if there is no other; repeated rows are kept; an empty table gives an empty table; extra columns
@@ -551,15 +554,13 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
 
 
 def classes(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links (verified links of the text to other texts) of each row."""
+    """doc_id, class_id of each row."""
     rows, found = links(df, text_col)
-    found = written(found)
     rows = written(rows)
     label = written(connected(found, "a", "b"))
-    degree = found.select(F.col("a").alias("doc")).unionByName(found.select(F.col("b").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
-    texts = rows.filter("long_enough").groupBy("doc").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc")).join(degree, "doc", "left")
+    texts = rows.filter("long_enough").groupBy("doc").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     ids = texts.groupBy("label").agg(F.min("least").alias("class"))
-    of_text = texts.join(ids, "label").select("doc", "class", "n_links")
+    of_text = texts.join(ids, "label").select("doc", "class")
     out = rows.join(of_text, "doc", "left")
     own = F.when(F.col("long_enough"), F.col("class")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", own.alias("class_id"))

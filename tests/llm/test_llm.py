@@ -368,6 +368,11 @@ def test_compact_windows_of_forms_with_own_fields(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_compact_windows_give_the_class_alone(none):
+    """A count of the links that were tried is not the number of links of a text."""
+    assert compact_windows.classes(none).columns == ["doc_id", "class_id"]
+
+
 def test_last_join_of_windows_is_whole(monkeypatch):
     monkeypatch.setattr(compact_windows, "BLOCK", 16)
     monkeypatch.setattr(compact_windows, "CHUNK", 50)
