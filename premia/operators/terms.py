@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premia.operators import splines
+from premia.operators import charts, splines
 
 
 @dataclass(frozen=True)
@@ -168,6 +168,16 @@ class Stats:
         rows = self.df.groupBy(F.col(f"`{column}`").cast("double").alias("x")).count().limit(limit + 1).collect()
         return None if len(rows) > limit else sorted((r["x"], r["count"]) for r in rows)
 
+    def value_quantiles(self, column: str, n: int, alpha: float) -> np.ndarray:
+        """splines.quantile_knots over all distinct values, in Spark: the rows around each target are interpolated."""
+        x = F.col(f"`{column}`").cast("double").alias("x")
+        rows = charts.running(self.df.groupBy(x).count().withColumn("w", F.pow("count", F.lit(float(alpha)))), [F.col("x")], {"cum": F.col("w")})
+        at = rows.select("x", ((F.col("cum") - 0.5 * F.col("w")) / F.col("cum__all")).alias("at"))
+        key, targets = F.struct("at", "x"), [i / (n + 1) for i in range(1, n + 1)]
+        got = at.agg(*(F.max(F.when(F.col("at") <= t, key)).alias(f"a{i}") for i, t in enumerate(targets)), *(F.min(F.when(F.col("at") > t, key)).alias(f"b{i}") for i, t in enumerate(targets))).first()
+        around = [(got[f"a{i}"] or got[f"b{i}"], got[f"b{i}"] or got[f"a{i}"]) for i in range(n)]
+        return np.array([np.interp(t, [a["at"], b["at"]], [a["x"], b["x"]]) for t, (a, b) in zip(targets, around, strict=True)])
+
     def quantiles(self, column: str, probabilities: Sequence[float]) -> list[float]:
         return list(self.df.agg(F.percentile_approx(F.col(f"`{column}`").cast("double"), list(probabilities), 100_000)).first()[0])
 
@@ -409,10 +419,8 @@ class Spline(Term):
             inner = np.array(stats.quantiles(self.column, [i / (n + 1) for i in range(1, n + 1)]))
         else:  # quantiles of distinct values, rows weighing count ** alpha
             found = support and [(x, c) for x, c in support] or stats.support(self.column, 200_000)
-            if found is None:
-                edges = stats.quantiles(self.column, [i / 1000 for i in range(1001)])
-                found = [(x, 1) for x in sorted(set(edges))]
-            inner = splines.quantile_knots([x for x, _ in found], [c for _, c in found], n, self.knot_alpha if self.knot_strategy == "quantile_tempered" else 0.0)
+            alpha = self.knot_alpha if self.knot_strategy == "quantile_tempered" else 0.0
+            inner = splines.quantile_knots([x for x, _ in found], [c for _, c in found], n, alpha) if found else stats.value_quantiles(self.column, n, alpha)
         if len(np.unique(inner)) < len(inner):
             inner = splines.uniform_knots(lo, hi, len(inner))
         if self.kind == "cr_cardinal":

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from premia.functions import families
 from premia.model import Glm, violation
-from premia.operators import adequacy, charts
-from premia.operators.terms import Categorical, Constraint, Interaction, LambdaPolicy, Numeric, OrderedCategorical, Polynomial, Spline, TensorInteraction, collapse_levels, detect, n_knots_from_k
+from premia.operators import adequacy, charts, splines
+from premia.operators.terms import Categorical, Constraint, Interaction, LambdaPolicy, Numeric, OrderedCategorical, Polynomial, Spline, Stats, TensorInteraction, collapse_levels, detect, n_knots_from_k
 from premia.plans import select, solve
 from premia.sources import store
 from premia.streaming import score
@@ -236,3 +236,13 @@ def test_save_load_and_stream(spark, data, tmp_path):
     q = score.drift(stream, again, "y", "ts").writeStream.format("memory").queryName("drift").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select * from drift").count() == 4
+
+
+@pytest.mark.parametrize(("strategy", "alpha"), [("quantile", 0.0), ("quantile_tempered", 0.7)])
+def test_knots_of_many_distinct_values_weigh_values_by_count(spark, strategy, alpha):
+    often, once = np.arange(2000) / 100.0, 1000.0 + np.arange(199_500)
+    x = F.when(F.col("id") < 40_000, (F.col("id") % 2000) / 100.0).otherwise(F.col("id") - 39_000.0)
+    df = spark.range(239_500).select(x.alias("x"))
+    got = Spline("x", n_knots=5, knot_strategy=strategy, knot_alpha=alpha).learned(Stats(df, "x")).interior()
+    want = splines.quantile_knots(np.concatenate([often, once]), [20] * 2000 + [1] * 199_500, 5, alpha)
+    assert np.allclose(got, want, rtol=1e-9)
