@@ -13,6 +13,7 @@ from premia.functions import families, special
 from premia.model import Model
 from premia.operators import adequacy, charts
 from premia.operators.terms import Spline
+from premia.sources.scratch import written
 
 
 def exposure_histogram(df: DataFrame, column: str, weight: str | None = None, n_bins: int = 200) -> DataFrame:
@@ -113,13 +114,19 @@ def stratified_sample(df: DataFrame, mu: str, n: int, seed: int = 42, strata: in
 def diagnostic_panels(model: Model, df: DataFrame, y: str, weight: str | None = None, offset=None, n_sim: int = 100, max_points: int = 2000, seed: int = 42, ties: Sequence[str] = ()) -> dict[str, DataFrame]:
     """calibration, qq (quantile residuals with a simulated envelope), residuals (with a trend), leverage points.
 
-    The points of the last three are a sample stratified by the mean, of about max_points rows.
+    All rows count. Up to max_points rows are points of their own (n = 1); above that residuals are cells of a grid
+    (means and n), leverage has the max_points rows of the largest Cook distance and cells for the others, and qq
+    has max_points ranks of all rows, both ends included. Only the envelope and the trend come from a sample,
+    stratified by the mean, of about max_points rows.
     """
     spark = df.sparkSession
     scored = model.predict(df, offset, "__mu")
     out = {"calibration": charts.calibration(scored, y, "__mu", weight, ties=ties)}
-    some = stratified_sample(model.influence(df, y, weight, offset).withColumn("__mu", F.col("mu")), "__mu", max_points, seed)
-    res = adequacy.quantile_residuals(some, y, "__mu", model.family, weight, "qres", model.fit.phi, seed).withColumn("__w", adequacy._w(weight)).select("__mu", "qres", "leverage", "std_deviance_residual", "cooks_distance", "__w").toPandas()
+    every = adequacy.quantile_residuals(model.influence(df, y, weight, offset).withColumn("__mu", F.col("mu")), y, "__mu", model.family, weight, "qres", model.fit.phi, seed)
+    every = written(every.select("__mu", "qres", "leverage", F.col("std_deviance_residual").alias("residual"), "cooks_distance", adequacy._w(weight).alias("__w")))
+    total = every.count()
+    many = total > max_points
+    res = (stratified_sample(every, "__mu", max_points, seed) if many else every).toPandas()
     rng = np.random.default_rng(seed)
     mu, w = res["__mu"].to_numpy(), res["__w"].to_numpy()
     sims = []
@@ -129,14 +136,35 @@ def diagnostic_panels(model: Model, df: DataFrame, y: str, weight: str | None =
         sims.append(np.sort(special.norm_ppf(np.clip(lo + rng.random(len(lo)) * (hi - lo), 1e-10, 1 - 1e-10))))
     low, high = np.quantile(sims, [0.025, 0.975], axis=0)
     theory = special.norm_ppf((np.arange(len(res)) + 0.5) / len(res))
-    out["qq"] = spark.createDataFrame([tuple(map(float, r)) for r in zip(theory, np.sort(res["qres"]), low, high, strict=True)], "theoretical double, observed double, lower double, upper double")
+    observed, at = np.sort(res["qres"]), theory
+    if many:
+        ranks = np.unique(np.linspace(1, total, max_points).astype(np.int64))
+        ranked = charts.running(every.select("qres"), [F.col("qres")], {"rank": F.lit(1.0)}).filter(F.col("rank").isin([float(r) for r in ranks]))
+        observed, at = np.array([r["qres"] for r in ranked.orderBy("rank").select("qres").collect()]), special.norm_ppf((ranks - 0.5) / total)
+    out["qq"] = spark.createDataFrame([tuple(map(float, r)) for r in zip(at, observed, np.interp(at, theory, low), np.interp(at, theory, high), strict=True)], "theoretical double, observed double, lower double, upper double")
     order = np.argsort(mu)
-    trend = lowess(mu[order], res["std_deviance_residual"].to_numpy()[order]) if len(res) > 3 else np.zeros(len(res))
-    out["residuals"] = spark.createDataFrame([tuple(map(float, r)) for r in zip(mu[order], res["std_deviance_residual"].to_numpy()[order], trend, strict=True)], "mu double, residual double, trend double")
-    out["leverage"] = spark.createDataFrame([tuple(map(float, r)) for r in res[["leverage", "std_deviance_residual", "cooks_distance"]].to_numpy()], "leverage double, residual double, cooks_distance double")
+    trend = lowess(mu[order], res["residual"].to_numpy()[order]) if len(res) > 3 else np.zeros(len(res))
+    points = (_cells(every, "__mu", "residual", ["__mu", "residual"]) if many else every.select("__mu", "residual", F.lit(1).cast("long").alias("n"))).orderBy("__mu").collect()
+    out["residuals"] = spark.createDataFrame([(float(r["__mu"]), float(r["residual"]), float(np.interp(r["__mu"], mu[order], trend)), r["n"]) for r in points], "mu double, residual double, trend double, n long")
+    names = ["leverage", "residual", "cooks_distance"]
+    single = every.select(*names, F.lit(1).cast("long").alias("n"))
+    if many:
+        least = every.select("cooks_distance").orderBy(F.desc("cooks_distance")).limit(max_points).agg(F.min("cooks_distance")).first()[0]
+        top = F.coalesce(F.col("cooks_distance") >= least, F.lit(False))
+        single = single.filter(top).unionByName(_cells(every.filter(~top), "leverage", "residual", names))
+    out["leverage"] = single
     return out
 
 
+def _cells(df: DataFrame, a: str, b: str, means: Sequence[str], size: int = 80) -> DataFrame:
+    """The means and the number n of the rows in each cell of a grid over the ranges of a and b."""
+    lo_a, hi_a, lo_b, hi_b = df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
+    if lo_a is None:
+        return df.select(*means, F.lit(1).cast("long").alias("n"))
+    place = [F.least(F.floor((F.col(c) - lo) / ((hi - lo) or 1.0) * size), F.lit(size - 1)).alias(k) for k, c, lo, hi in (("__i", a, lo_a, hi_a), ("__j", b, lo_b, hi_b))]
+    return df.groupBy(*place).agg(*(F.avg(c).alias(c) for c in means), F.count("*").alias("n")).drop("__i", "__j")
+
+
 def extreme_weights(model: Model, df: DataFrame, weight: str | None = None, offset=None, n: int = 5) -> DataFrame:
     """The n rows with the largest and the n with the smallest working weights."""
     eta = model.link.stabilise(model.eta(offset))

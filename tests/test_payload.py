@@ -35,6 +35,15 @@ def test_payloads(spark, data):
     assert set(panels) == {"calibration", "qq", "residuals", "leverage"} and ((qq["observed"] >= qq["lower"] - 0.5) & (qq["observed"] <= qq["upper"] + 0.5)).mean() > 0.9
 
 
+def test_panels_hold_all_rows(data):
+    model = Glm("poisson", [Spline("a", n_knots=4)]).fit(data, "y", "w")
+    panels = payload.diagnostic_panels(model, data, "y", "w", n_sim=5, max_points=50)
+    rows = model.influence(data, "y", "w").agg(F.max("cooks_distance"), F.max("leverage")).first()
+    assert [panels[k].agg(F.sum("n")).first()[0] for k in ("residuals", "leverage")] == [600, 600]
+    assert panels["leverage"].agg(F.max("cooks_distance")).first()[0] == pytest.approx(rows[0])
+    assert panels["leverage"].filter("n = 1").count() >= 50 and panels["qq"].count() == 50
+
+
 def test_lowess_follows_a_line():
     x = np.linspace(0, 1, 60)
     y = 2 * x + np.random.default_rng(0).normal(scale=0.05, size=60)
