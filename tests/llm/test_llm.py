@@ -170,15 +170,57 @@ def test_quality_em_recovers_the_classes():
     assert right > 0.97 * 4000 and abs(model[0] - 0.9) < 0.05
 
 
-def test_quality_keeps_clean_documents(spark, sf):
-    docs, labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
-    got = quality.scores(docs).join(labels, "doc_id").toPandas()
-    fine = got[~got["base_failed"]]
-    assert fine[fine["quality"] == 1]["kept"].mean() > 0.99 and fine[fine["quality"] == 0]["kept"].mean() < 0.1
+def em_by_arrays(patterns, rounds):
+    """The same model written with products of probabilities instead of log-odds."""
+    votes = np.array([[np.nan if x is None else x for x in v] for v, _ in patterns], float)
+    m, cast, bad = np.array([c for _, c in patterns], float)[:, None], ~np.isnan(votes), votes == 0
+    good = np.clip((np.nansum(votes, axis=1) / cast.sum(axis=1)) ** 3, 0.02, 0.98)[:, None]
+    for _ in range(rounds):
+        prior = ((good * m).sum() + 1) / (m.sum() + 2)
+        of_good = ((good * m * bad).sum(axis=0) + 1) / ((good * m * cast).sum(axis=0) + 2)
+        of_bad = (((1 - good) * m * bad).sum(axis=0) + 1) / (((1 - good) * m * cast).sum(axis=0) + 2)
+        like = [np.where(cast, np.where(bad, p, 1 - p), 1).prod(axis=1)[:, None] for p in (of_good, of_bad)]
+        good = prior * like[0] / (prior * like[0] + (1 - prior) * like[1])
+    return good[:, 0]
+
+
+def test_quality_verdict_is_that_of_em(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    counted = quality.with_counts(docs).filter("NOT base_failed")
+    seen = counted.select("doc_id", *(v.alias(k) for k, v in quality.votes().items())).join(quality.scores(docs).select("doc_id", "posterior", "kept"), "doc_id").join(labels, "doc_id", "left").toPandas()
+    patterns = Counter(tuple(None if pd.isna(x) else int(x) for x in row) for row in seen[list(quality.RULES)].itertuples(index=False))
+    want = dict(zip(patterns, em_by_arrays(list(patterns.items()), quality.ROUNDS)))
+    for row, posterior in zip(seen[list(quality.RULES)].itertuples(index=False), seen["posterior"]):
+        assert abs(want[tuple(None if pd.isna(x) else int(x) for x in row)] - posterior) < 1e-9
+    vetoed = (seen[list(quality.RULES)] == 0).any(axis=1)
+    assert (seen["kept"] & vetoed).sum() > 20 and (~seen["kept"]).sum() > 20  # neither all-must-pass nor keep-all
+    fired = (seen[list(quality.RULES)] == 0).sum()
+    assert (fired > 0).sum() >= 6
+    assert seen[seen["quality"] == 1]["kept"].mean() > 0.99 and seen[seen["quality"] == 0]["kept"].mean() < 0.1
+
+
+def test_quality_classes_cannot_change_places():
+    """A start that takes bad for good ends with the class whose rules vote bad more often as the bad one."""
+    n = Counter({(0, 0, 1): 900, (0, 0, 0): 60, (1, 1, 1): 40})
+    good, rules = quality.fit(sorted(n.items()))
+    assert sum(b - g for b, g in rules) > 0 and quality.posterior(good, rules, (1, 1, 1)) > 0.5
+
+
+def test_quality_filter_keeps_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = quality.filter_documents(docs.withColumn("__q_n_words", F.lit(1)))
     assert kept.columns == [*docs.columns, "__q_n_words"] and kept.count() == quality.scores(docs).filter("kept").count()
 
 
+def test_quality_sql(spark, sf):
+    got = queries.op2_quality(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op2_quality"]).df().sort_values("doc_id").reset_index(drop=True)
+    for c in got.columns:
+        assert got[c].tolist() == want[c].tolist(), c
+
+
 # -- languages -------------------------------------------------------------------------------------------------------
 def test_langid_on_held_out(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
