@@ -4,25 +4,67 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A phase's shuffle files go once the table that it writes is there; a later phase reads the table alone.
+PHASE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the length of a block; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir as the session has it; a temporary folder only in a local session where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="premia-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/premia-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder; it is deleted when the driver ends, if not before."""
+    folder = f"{shared_dir(spark).rstrip('/')}/premia-{uuid.uuid4().hex}"
+    fs, path = _path(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark)
+    with settings(spark, PHASE):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by `written` that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/premia-" in folder:
+            fs, path = _path(df.sparkSession, folder)
+            fs.delete(path, True)
