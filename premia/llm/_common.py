@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-import gc
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.sources.scratch import scratch, shared_dir, written
+from premia.sources import scratch as _scratch
+from premia.sources.scratch import discard, scratch, settings, shared_dir
 
 # The word separators of the contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\f\r"
 SPLIT = r"[ \t\n\x0B\f\r]+"
+# Rows of an Arrow batch in the phases that end in a table: long texts make default batches large.
+ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch of texts holds; long texts make default batches too large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def written(df: DataFrame) -> DataFrame:
+    """Write df into the shared folder, in small Arrow batches, and read it back."""
+    with settings(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS)}):
+        return _scratch.written(df)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a kernel that turns one batch into one batch."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield kernel(batch)
+        for batch in slices(batches):
+            yield kernel(batch)
 
     return df.mapInArrow(run, schema)
 
@@ -48,24 +55,16 @@ def bind(value, fn):
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark drop the shuffle files of steps that are done: it does so once the driver's garbage is collected.
-
-    The first collection lets go of what Python held, the second of the shuffles behind it.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+def free_prefix(columns: Sequence[str], prefix: str) -> str:
+    """The prefix, lengthened until no column begins with it (column names are equal in any case)."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix += "_"
+    return prefix
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/premia-" in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def named(c: str) -> Column:
+    """A column by its name as it is, dots and all."""
+    return F.col(f"`{c.replace('`', '``')}`")
 
 
-__all__ = ["SPACES", "SPLIT", "arrow_map", "bind", "discard", "release", "scratch", "shared_dir", "small_batches", "table", "words", "written"]
+__all__ = ["SPACES", "SPLIT", "arrow_map", "bind", "discard", "free_prefix", "named", "scratch", "settings", "shared_dir", "slices", "table", "words", "written"]

@@ -156,7 +156,27 @@ class Automaton:
             found = self.open[node, x] = self.futures.setdefault(found, found)  # equal ones are one object
         return found
 
-    def _make(self, state: int, byte: int) -> int:
+    def trim(self) -> None:
+        """Start the table anew once it is full; only between words, as states' numbers change."""
+        if len(self.keys) > MAX_STATES:
+            self._reset()
+
+    def _number(self, key: tuple, count: int) -> int:
+        found = self.index.get((key, count))
+        if found is None:
+            found = self.index[key, count] = len(self.keys)
+            self.keys.append(key)
+            self.step.append({})
+            self.last.append(key[0])
+            self.size.append(len(self.labels[key[0]]))
+            self.delta.append(count)
+        return found
+
+    def state_of(self, key: tuple) -> int:
+        """A table state with this key; keys, unlike numbers, are the same in all workers."""
+        return 0 if key == self.keys[0] else self._number(key, 0)
+
+    def make(self, state: int, byte: int) -> int:
         """The table state after `byte`; by uniqueness just one token can end here."""
         token, count, alive = -1, 0, []
         for node, x, behind in self.keys[state][1]:
@@ -173,27 +193,18 @@ class Automaton:
         if token < 0:
             raise AssertionError("no token ends here: the merges do not cover the bytes")
         key = (token, (*((node, x, behind - count) for node, x, behind in alive), (0, token, 0)))
-        found = self.index.get((key, count))
-        if found is None:
-            found = self.index[key, count] = len(self.keys)
-            self.keys.append(key)
-            self.step.append({})
-            self.last.append(token)
-            self.size.append(len(self.labels[token]))
-            self.delta.append(count)
-        self.step[state][byte] = found
+        found = self.step[state][byte] = self._number(key, count)
         return found
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """Ids of one pre-split word: forward over the table, then back over the tokens that end."""
-        if len(self.keys) > MAX_STATES:
-            self._reset()
+        self.trim()
         step, state, path = self.step, 0, []
         for b in word:
             try:
                 state = step[state][b]
             except KeyError:
-                state = self._make(state, b)
+                state = self.make(state, b)
             path.append(state)
         out, at, last, size = [], len(path) - 1, self.last, self.size
         while at >= 0:
@@ -204,14 +215,13 @@ class Automaton:
 
     def count_word(self, word: bytes) -> int:
         """Tokens of one pre-split word: the sum of what its transitions emit."""
-        if len(self.keys) > MAX_STATES:
-            self._reset()
+        self.trim()
         step, delta, state, n = self.step, self.delta, 0, 0
         for b in word:
             try:
                 state = step[state][b]
             except KeyError:
-                state = self._make(state, b)
+                state = self.make(state, b)
             n += delta[state]
         return n
 

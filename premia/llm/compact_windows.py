@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import discard, release, small_batches, words, written
+from premia.llm._common import discard, words, written
 from premia.llm.components import connected
 from premia.llm.suffix_dedup import _dealt, _doc_part, _hash_part, _in_batches, _two_docs, _with_texts, unpack, with_texts
 
@@ -505,7 +505,6 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows doc_id, doc, long_enough; verified links a, b between texts, named by the hash of the text)."""
     spark = df.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), F.lit(0).cast("long").alias("row"), text.cast("binary").alias("bytes"), text.alias("text"))
     size = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -517,16 +516,13 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
         return src.repartition(tasks, "part").mapInArrow(fn, BLOB)
 
     first = written(dealt(texts.mapInArrow(lambda it: find_windows(it, parts), BLOB), lambda it: shared(it, parts)))
-    release(spark)
     kept = written(first.repartition(tasks, "part").mapInArrow(lambda it: agreeing(it, parts), BLOB))
     discard(first)
-    release(spark)
 
     def checked(pairs: DataFrame, parts: int = parts, tasks: int = tasks) -> DataFrame:
         asks = written(pairs.repartition(tasks, "part").mapInArrow(lambda it: candidates(it, parts), BLOB))
         got = with_texts(texts, asks, parts, tasks).mapInArrow(lambda it: passages(it, parts), "part long, key long, side int, doc long, shingles binary")
         out = written(got.repartition(tasks, "part").sortWithinPartitions("key", "side").mapInArrow(verified, "a long, b long").distinct())
-        release(spark)
         return out
 
     def labels(found: DataFrame) -> DataFrame:

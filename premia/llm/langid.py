@@ -9,8 +9,9 @@ if the runner-up's loss is close or if more bits disagree than the code can corr
 Codes: with up to 6 languages, all 2 ** (k - 1) - 1 ways to split them; beyond, random codewords of 10 log2(k) bits or
 more, the best of several draws by least distance.
 
-The classifiers are fitted on a sample of at most about `per_language` labelled rows of each language, chosen by a
-hash of the doc_id. Everything else covers all rows and whole texts; a prediction's only input is the text.
+The classifiers are fitted on a sample of at most about `per_language` labelled rows of each language and `sample` rows
+in all (what the driver holds is sample x BUCKETS numbers, however many languages there are), chosen by a hash of the
+doc_id. Everything else covers all rows and whole texts; a prediction's only input is the text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled row all texts are
 `und`; with one language all others are that language with score 1; rows with equal texts get equal answers; a null
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import arrow_map, small_batches
+from premia.llm._common import arrow_map
 
 BUCKETS = 1 << 13
-PER_LANGUAGE = 500
+PER_LANGUAGE, SAMPLE = 500, 16_000
 _ASCII = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -125,13 +126,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def learn(df: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """Fit on a sample of the rows that are not held out and have a label."""
-    small_batches(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not sizes:
         return fit([])
+    per_language = max(1, min(per_language, sample // len(sizes)))
     limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 30, math.ceil((1 << 30) * per_language / n)))))
     some = rows.filter(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < limits[F.col("lang")]).select("doc_id", "lang", "text")
 

@@ -37,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from premia.llm._common import small_batches
+from premia.llm._common import ROWS, settings, slices
+from premia.sources.scratch import PHASE
 
 MAGIC = 0x5AB1E501
 FOOTER = struct.Struct("<QQQQQQQQ")  # index place, length; filter place, length; documents, tokens, shard, magic
@@ -315,8 +316,6 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 16 << 20) -> None:
     """Encode doc_id, text with the tokenizers library, append end_id, write shards of about shard_bytes of text."""
-    spark = df.sparkSession
-    small_batches(spark)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(max(1, -(-size // shard_bytes)), F.asc_nulls_first("doc_id"), "h")
@@ -324,19 +323,18 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, shar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, out = library_encoder(tokenizer), Writer(TaskContext.get().partitionId())
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch in slices(batches, 32):
             made = []
-            for i in range(0, len(ids), 32):
-                for doc_id, packed in zip(ids[i : i + 32], t.encode([x or "" for x in texts[i : i + 32]]), strict=True):
-                    made += out.add(key_of(doc_id), np.append(np.frombuffer(packed, t.dtype), np.array(end_id, t.dtype)))
+            for doc_id, packed in zip(batch.column(0).to_pylist(), t.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                made += out.add(key_of(doc_id), np.append(np.frombuffer(packed, t.dtype), np.array(end_id, t.dtype)))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
         if out.docs:
             yield pa.RecordBatch.from_arrays([pa.array(list(out.finish()), pa.binary())], names=["value"])
 
     # a cast from binary to string keeps the bytes as they are, and the text writer writes them as they are
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    with settings(df.sparkSession, PHASE | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS)}):
+        rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

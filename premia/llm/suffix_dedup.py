@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import discard, release, small_batches, written
+from premia.llm._common import discard, slices, written
 
 LENGTH, Q = 50, 20
 W = LENGTH - Q + 1
@@ -101,7 +101,7 @@ def anchors(b: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
     """(doc, row, texts as bytes, extra) of about BATCH bytes."""
     docs, rows, texts, extra, size = [], [], [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         more = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
         for doc, row, text, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), more, strict=True):
             if size + len(text) > BATCH and docs:
@@ -232,7 +232,7 @@ def confirm(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
 def _with_texts(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[tuple, np.ndarray]]:
     """Rows sorted by part, packed arrays (kind 0) before texts: each text with its own entries of the arrays."""
     part, held, index = None, [], None
-    for batch in batches:
+    for batch in slices(batches):
         cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
         for row in zip(*cols, strict=True):
             if row[0] != part:
@@ -393,19 +393,15 @@ def united(spans: np.ndarray) -> list[tuple[int, int]]:
 
 def removed_spans(rows: DataFrame) -> tuple[DataFrame, int]:
     """Packed removed intervals of rows (doc, row, bytes), and the number of parts they are dealt into."""
-    spark = rows.sparkSession
-    small_batches(spark)
     size = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
     tasks = max(1, -(-size // (8 << 20)))
     parts = 4 * tasks
     blobs = "part long, kind int, blob binary"
     sent = rows.mapInArrow(lambda it: find_anchors(it, parts), blobs)
     candidates = written(sent.repartition(tasks, "part").mapInArrow(lambda it: confirm(it, parts), blobs))
-    release(spark)
     cut = with_texts(rows, candidates, parts, tasks).mapInArrow(lambda it: cut_pieces(it, parts), blobs)
     spans = written(cut.repartition(tasks, "part").mapInArrow(lambda it: sort_pieces(it, parts), blobs))
     discard(candidates)
-    release(spark)
     return spans, parts
 
 
@@ -468,7 +464,6 @@ def deduplicate(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars
 
     tasks = max(1, parts // 4)
     changed = written(with_texts(rows, spans, parts, tasks).mapInArrow(run, "__doc long, __row long, __left string").dropDuplicates(["__doc", "__row"]))
-    release(df.sparkSession)
     text = F.col(f"`{text_col}`")
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__row"))
     joined = df.join(changed, on, "left")
