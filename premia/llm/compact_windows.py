@@ -8,19 +8,22 @@ Jaccard similarity of at least SIMILAR.
    node's compact window (first start, last start, place of the least hash). Only nodes whose subtree is as long as a
    passage have any, about two in PASSAGE words; they are the places that are least of some passage, which sliding
    minima give without building the rest of the tree. A window is kept if another text has the same least hash.
-2. Interval join within a text: a window stays if some passage in it has AGREE kept windows of different hashes.
+2. Interval join within a text: a window stays if some passage in it has AGREE kept windows of different hashes. The
+   words around such passages (*regions*) are all that is needed of the texts from here on.
 3. Interval join across texts: windows with one hash are joined as a star with the first of their texts; where the
-   windows of a pair of texts overlap AGREE times along about one diagonal, the passages there are a candidate.
-4. Verification: both passages, and those up to half a window before and after, are taken from the texts and compared
-   exactly. Verified pairs are connected. Twice more, windows with one hash whose texts are not connected yet are
-   joined as a star around another of them, so that a text unlike the first star's centre finds its like.
-5. Last join. What the stars leave (windows whose hash still has two classes, at passages with AGREE of them) is
-   joined all with all by hash, between different classes; its candidates are verified as before. So every pair of
-   texts with AGREE windows in common is either tried or in one class already.
-
-The stars' work grows with the windows, not with the square of a group: a line that thousands of texts share gives
-each text one pair a turn. They are there to settle the groups of like texts. The last join grows with the square of
-the classes that share a hash (form letters with own fields); such a hash is split into pairs of blocks of BLOCK
+   windows of a pair of texts overlap AGREE times along about one diagonal, the passages there are a candidate. The
+   best place of each pair of texts is verified: both passages, and those up to half a window before and after, are
+   taken from the regions and compared exactly. Verified pairs are connected.
+4. What the star leaves: passages with AGREE windows whose hash still has two classes. If two of them are near
+   duplicates and of different classes, 4 in 5 of their shingles occur in another class; most passages fail that
+   count, as they only share a line or a short quotation. For those that pass, order the shingles by the number of
+   classes that have them: near duplicates share one of the first few (6 of 46). The windows of these rare shingles,
+   narrow and short, are joined by shingle: once as stars, which settle groups of like texts, then all with all
+   between classes that are still different, and every place of every pair is verified.
+
+So every pair of texts with AGREE windows in common is either found alike or compared exactly wherever it can be alike:
+nothing is cut off after some turns, at some size or at one place. The first star's work grows with the windows. The
+last join is between classes that share a rare shingle; a shingle with many is split into pairs of blocks of BLOCK
 windows, so that no task holds more than one of them.
 
 With similarity s, the chance that AGREE of HASHES agree is 0.99 at s = 0.8 and 1 for equal passages; text by text the
@@ -32,42 +35,50 @@ class already are not compared again.
 
 Defined results: null and empty texts and texts under PASSAGE words have no passage and are a class of their own;
 equal texts of PASSAGE words or more share their class; the class id is the least doc_id in it; null doc_ids
-are a class id only if there is no other; repeated rows are kept; an empty table gives an empty table; extra columns
-are ignored.
+are a class id only if there is no other; repeated rows are kept; texts of any length are taken whole, a piece at a
+time; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import discard, words, written
+from premia.llm._common import discard, slices, words, written
 from premia.llm.components import connected
 from premia.llm.suffix_dedup import _dealt, _doc_part, _hash_part, _in_batches, _two_docs, _with_texts, unpack, with_texts
 
 PASSAGE, SHINGLE, SIMILAR = 50, 5, 0.8
 HASHES, AGREE = 8, 4
-TURNS = 3
 BLOCK = 512  # windows of one hash that are joined all with all at once
 CHUNK = 1 << 19  # pairs of windows that are made, or grouped by pair of texts, at once
+REPEATS, PLAIN = -2, -1  # marks in `row`: a shingle of a passage with repeated shingles, of one without, to meet such
 NEAR = 16  # words by which the diagonals of one candidate may differ
 STARTS = PASSAGE - SHINGLE + 1
 HALF = STARTS // 2
+FULL = math.ceil(STARTS * 2 * SIMILAR / (1 + SIMILAR) - 1e-9)  # shingles that two passages without repeats must share
+PIECE = 1 << 20  # bytes of text, or words of it, that are hashed at once
 BLOB = "part long, kind int, blob binary"
 NODE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("span", "u1"), ("at", "u1"), ("known", "u1"), ("row", "i1")])
 LABEL = np.dtype([("doc", "<i8"), ("label", "<i8")])
 LABELLED = np.dtype([*((n, NODE[n]) for n in NODE.names), ("label", "<i8")])
 CELL = np.dtype([*((n, LABELLED[n]) for n in LABELLED.names), ("cell", "<u8"), ("side", "u1")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("delta", "<i4"), ("j", "u1")])
-ASK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "i1"), ("lo", "<u4"), ("n", "<u2"), ("side", "u1"), ("other", "<i8")])
+ASK = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2"), ("side", "u1")])
+REGION = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("words", "<u4"), ("size", "<u4")])
+ASKED = np.dtype([("hash", "<u8"), ("texts", "<u4"), ("least", "<i8"), ("most", "<i8"), ("part", "<u4")])
+ANSWER = np.dtype([("hash", "<u8"), ("texts", "<u4")])
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BETWEEN = re.compile(rb"[\t\n\x0b\f\r ]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -101,6 +112,19 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return _mix(np.add.reduceat(own * _PW[place], first) + (end - begin).astype(np.uint64)), begin
 
 
+def hashes_of(text: bytes) -> np.ndarray:
+    """The hash of each word of a text of any length, cut between words."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            found = _BETWEEN.search(text, end)
+            end = found.start() if found else len(text)
+        out.append(word_hashes(text[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingle_hashes(w: np.ndarray) -> np.ndarray:
     n = len(w) - SHINGLE + 1
     if n < 1:
@@ -133,30 +157,36 @@ def find_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
         found = []
         group, size, runs = [], 0, []
         for i, t in enumerate(texts):
+            if len(t) >= PIECE:
+                runs.append([i])
+                continue
             group.append(i)
             size += len(t)
-            if size >= 1 << 20:
+            if size >= PIECE:
                 runs.append(group)
                 group, size = [], 0
         for run in [*runs, group]:
-            w, begin = word_hashes(b"\n".join(texts[i] for i in run))
+            if len(run) == 1:
+                w = hashes_of(texts[run[0]])
+                first = np.array([0, len(w)])
+            else:
+                w, begin = word_hashes(b"\n".join(texts[i] for i in run))
+                first = np.searchsorted(begin, np.cumsum([0, *(len(texts[i]) + 1 for i in run)]))  # of each text, its first word
             if len(w) < PASSAGE:
                 continue
-            if len(w) >= 1 << 24:
-                raise ValueError("a text has more than 16 million words; cut it first")
-            starts = np.cumsum([0, *(len(texts[i]) + 1 for i in run)])
-            first = np.searchsorted(begin, starts)  # of each text, its first word
             own = np.searchsorted(first, np.arange(len(w)), side="right") - 1
-            valid = np.flatnonzero(np.arange(len(w)) + PASSAGE <= first[own + 1])
-            if not len(valid):
-                continue
+            every = np.flatnonzero(np.arange(len(w)) + PASSAGE <= first[own + 1])
             s = shingle_hashes(w)
-            for j in range(HASHES):
-                h, lo, hi, c = windows(s, valid, j)
-                out = np.zeros(len(h), NODE)
-                d = own[lo]
-                out["hash"], out["doc"], out["lo"], out["span"], out["at"] = h, np.array(docs, np.int64)[np.array(run)[d]], lo - first[d], hi - lo, c - lo
-                found.append(out)
+            for valid in np.split(every, range(PIECE, len(every), PIECE)):
+                if not len(valid):
+                    continue
+                base = valid[0]
+                for j in range(HASHES):
+                    h, lo, hi, c = windows(s[base : valid[-1] + STARTS], valid - base, j)
+                    out = np.zeros(len(h), NODE)
+                    d = own[lo + base]
+                    out["hash"], out["doc"], out["lo"], out["span"], out["at"] = h, np.array(docs, np.int64)[np.array(run)[d]], lo + base - first[d], hi - lo, c - lo
+                    found.append(out)
         if not found:
             continue
         out = np.concatenate(found)
@@ -203,11 +233,10 @@ def cover(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, np.cumsum(np.bincount(which, step)).astype(np.int64)
 
 
-def agreeing(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Windows with a passage that AGREE windows of different hashes hold, dealt by text."""
-    a = _read(batches, NODE)
+def _agree(a: np.ndarray) -> np.ndarray:
+    """The windows with a passage that AGREE of them, of different hashes, hold."""
     if not len(a):
-        return
+        return a
     a = np.unique(a)  # copies of a text send its windows more than once
     _, text = np.unique(a["doc"], return_inverse=True)
     base = text.astype(np.int64) << 32
@@ -215,30 +244,43 @@ def agreeing(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     places, count = cover(lo, hi)
     enough = np.concatenate([[0], np.cumsum(count >= AGREE)])
     first, last = np.searchsorted(places, lo), np.searchsorted(places, hi, side="right")
-    a = a[enough[last] > enough[first]]
+    return a[enough[last] > enough[first]]
+
+
+def agreeing(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Windows with a passage that AGREE windows of different hashes hold, dealt by text."""
+    a = _agree(_read(batches, NODE))
     if len(a):
         yield _dealt(_doc_part(a["doc"], parts), a, 0)
 
 
-def named(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Windows (kind 0) with the class of their text (kind 1), or the text itself as its class; dealt by hash."""
+def _labelled(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """Windows (kind 0) with the class of their text (kind 1), or the text itself as its class."""
     windows_, labels = [], []
     for batch in batches:
         for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             (labels if kind else windows_).append(unpack(blob, LABEL if kind else NODE))
-    if not windows_:
-        return
-    a = np.concatenate(windows_)
+    a = np.concatenate(windows_) if windows_ else np.zeros(0, NODE)
     out = np.zeros(len(a), LABELLED)
     for n in NODE.names:
         out[n] = a[n]
-    out["label"] = a["doc"]
-    if labels:
-        known = np.concatenate(labels)
-        known = known[np.argsort(known["doc"])]
-        at = np.minimum(np.searchsorted(known["doc"], a["doc"]), len(known) - 1)
-        out["label"] = np.where(known["doc"][at] == a["doc"], known["label"][at], a["doc"])
-    yield _dealt(_hash_part(out["hash"], parts), out, 0)
+    out["label"] = _labels_of(a["doc"], np.concatenate(labels) if labels else np.zeros(0, LABEL))
+    return out
+
+
+def _labels_of(doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    if not len(labels):
+        return doc
+    labels = labels[np.argsort(labels["doc"])]
+    at = np.minimum(np.searchsorted(labels["doc"], doc), len(labels) - 1)
+    return np.where(labels["doc"][at] == doc, labels["label"][at], doc)
+
+
+def named(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Windows with their classes, dealt by hash."""
+    out = _labelled(batches)
+    if len(out):
+        yield _dealt(_hash_part(out["hash"], parts), out, 0)
 
 
 def pack_labels(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -283,41 +325,81 @@ def _open(a: np.ndarray) -> np.ndarray:
     return np.repeat(two, np.diff(np.append(begin, len(a))))
 
 
-def stars(batches: Iterator[pa.RecordBatch], parts: int, turn: int = 0) -> Iterator[pa.RecordBatch]:
-    """Kind 0: each window with the first window of its hash, which is of another class; dealt by pair of texts.
-
-    First in the order of the text's number, in another order at each turn. Kind 1, after the first turn: the windows
-    whose hash has two classes, dealt by text; only they matter from here on.
-    """
-    a = _read(batches, LABELLED)
-    if not len(a):
-        return
-    with np.errstate(over="ignore"):
-        rank = _mix(np.ascontiguousarray(a["doc"]).view(np.uint64) * _M[0] + np.uint64(turn))
+def _star(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of each window with the first of its hash, if that is of another class; the first ones)."""
+    rank = _mix(np.ascontiguousarray(a["doc"]).view(np.uint64))
     a = a[np.lexsort((a["lo"], a["doc"], rank, a["hash"]))]
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]), np.arange(len(a)), 0))
+    fresh = np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
     other = (a["doc"] != a["doc"][first]) & (a["label"] != a["label"][first])
-    p = _ordered(_joined(a[first[other]], a[other]))
-    if len(p):
-        yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
-    if turn:
-        yield from _kept(a, parts, 1)
+    return _ordered(_joined(a[first[other]], a[other])), a[fresh]
 
 
-def _kept(a: np.ndarray, parts: int, kind: int) -> Iterator[pa.RecordBatch]:
-    a = a[_open(a)]
+def local_stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Stars within a task, dealt by pair of texts (kind 0), and their centres, dealt by hash (kind 1).
+
+    However many texts have a hash, a task sends one of them on.
+    """
+    a = _labelled(batches)
+    a = a[a["row"] >= 0]
     if len(a):
-        out = np.zeros(len(a), NODE)
-        for n in NODE.names:
-            out[n] = a[n]
-        yield _dealt(_doc_part(out["doc"], parts), out, kind)
+        p, centres = _star(a)
+        if len(p):
+            yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
+        yield _dealt(_hash_part(centres["hash"], parts), centres, 1)
 
 
-def unsettled(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The windows whose hash has two classes, dealt by text."""
+def stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The stars of the tasks' centres, dealt by pair of texts."""
     a = _read(batches, LABELLED)
     if len(a):
-        yield from _kept(a[np.argsort(a["hash"], kind="stable")], parts, 0)
+        p, _ = _star(a)
+        if len(p):
+            yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
+
+
+def _asked(hashes: np.ndarray, doc: np.ndarray, label: np.ndarray, part: int) -> np.ndarray:
+    """One row for each hash of a part: how many of its texts have it, and the least and the greatest class."""
+    order = np.lexsort((doc, hashes))
+    hashes, doc, label = hashes[order], doc[order], label[order]
+    fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    begin = np.flatnonzero(fresh)
+    change = fresh | np.concatenate([[True], doc[1:] != doc[:-1]])
+    out = np.zeros(len(begin), ASKED)
+    out["hash"], out["texts"], out["least"], out["most"], out["part"] = hashes[begin], np.add.reduceat(change.astype(np.int64), begin), np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin), part
+    return out
+
+
+def ask_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The hashes of the windows of each part with their classes, dealt by hash."""
+    for part, (a, labels), _ in _by_part(batches, (NODE, LABEL)):
+        if len(a):
+            out = _asked(a["hash"], a["doc"], _labels_of(a["doc"], labels), part)
+            yield _dealt(_hash_part(out["hash"], parts), out, 0)
+
+
+def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each part that asked, the hashes that come with two classes anywhere, and how many texts have them (kind 1)."""
+    a = _read(batches, ASKED)
+    if not len(a):
+        return
+    a = a[np.argsort(a["hash"], kind="stable")]
+    begin = np.flatnonzero(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]))
+    size = np.diff(np.append(begin, len(a)))
+    two = np.minimum.reduceat(a["least"], begin) != np.maximum.reduceat(a["most"], begin)
+    some = np.repeat(two, size)
+    if some.any():
+        out = np.zeros(np.count_nonzero(some), ANSWER)
+        out["hash"], out["texts"] = a["hash"][some], np.repeat(np.minimum(np.add.reduceat(a["texts"].astype(np.int64), begin), (1 << 32) - 1), size)[some]
+        yield _dealt(a["part"][some].astype(np.int64), out, 1)
+
+
+def open_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The windows whose hash has two classes, at passages with AGREE of them; dealt by text."""
+    for _, (a, two), _ in _by_part(batches, (NODE, ANSWER)):
+        a = _agree(a[np.isin(a["hash"], two["hash"])])
+        if len(a):
+            yield _dealt(_doc_part(a["doc"], parts), a, 0)
 
 
 def spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -327,6 +409,10 @@ def spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         return
     a = a[np.lexsort((a["lo"], a["doc"], a["label"], a["hash"]))]
     a = a[_open(a)]
+    mixed = a["row"] < 0  # a shingle of passages with repeats: only pairs that have one of these matter
+    if mixed.any():
+        some = np.unique(a["hash"][a["row"] == REPEATS])
+        a = a[~mixed | np.isin(a["hash"], some)]
     if not len(a):
         return
     begin = np.flatnonzero(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]))
@@ -374,7 +460,7 @@ def all_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
         if c.any():
             x = np.repeat(np.arange(i, k), c)
             y = np.arange(len(x)) - np.repeat(total[i:k] - total[i], c) + np.repeat(start[i:k], c)
-            ok = (a["label"][x] != a["label"][y]) & (a["doc"][x] != a["doc"][y])
+            ok = (a["label"][x] != a["label"][y]) & (a["doc"][x] != a["doc"][y]) & ((a["row"][x] != PLAIN) | (a["row"][y] != PLAIN))
             p = _ordered(_joined(a[x[ok]], a[y[ok]]))
             if len(p):
                 yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
@@ -390,8 +476,11 @@ def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int((n[0] * (n[0] - 1) / 2 + n[1] * n[2]).sum())], pa.int64())], names=["n"])
 
 
-def candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Where the windows of a pair of texts overlap AGREE times along near diagonals: asks for both passages."""
+def candidates(batches: Iterator[pa.RecordBatch], parts: int, need: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """Where the windows of a pair of texts overlap `need` times along near diagonals: asks for both passages.
+
+    best: of each pair of texts only the place with most windows; else places all along, HALF words apart.
+    """
     p = _read(batches, PAIR)
     if not len(p):
         return
@@ -399,71 +488,274 @@ def candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
     p = p[np.lexsort((p["b"], p["a"]))]
     number = np.cumsum(np.concatenate([[False], (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1])])).astype(np.int64)
     for shift in (0, NEAR // 2):
-        group = np.unique(np.stack([number, (p["delta"].astype(np.int64) + shift) // NEAR]), axis=1, return_inverse=True)[1].ravel()
+        key = number * (1 << 32) + (p["delta"].astype(np.int64) + shift) // NEAR
+        _, group = np.unique(key, return_inverse=True)
+        of_group = np.zeros(group.max() + 1, np.int64)
+        of_group[group] = number
         base = group.astype(np.int64) << 32
         lo, hi = base + p["lo"], base + p["hi"]
         places, count = cover(lo, hi)
-        ok = count >= AGREE
-        begin = np.flatnonzero(ok & ~np.concatenate([[False], ok[:-1]]))
-        end = np.flatnonzero(ok & ~np.concatenate([ok[1:], [False]]))
-        if not len(begin):
+        ok = count >= need
+        if not ok.any():
             continue
-        start = []
-        for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-            full = np.concatenate([[0], count[b : e + 1] >= HASHES, [0]]).astype(np.int8)
-            left, right = places[b + np.flatnonzero(np.diff(full) == 1)], places[b + np.flatnonzero(np.diff(full) == -1)]
-            widest = int(np.argmax(right - left)) if len(left) else -1
-            if widest >= 0 and right[widest] - left[widest] >= STARTS:
-                start.append(int(left[widest] + right[widest]) // 2)
-            else:  # not surely alike at one place: look along the whole run
-                start += range(int(places[b]), int(places[e + 1]), HALF)
-        start = np.array(start, np.int64)
+        if best:
+            at = np.flatnonzero(ok)
+            pair = of_group[places[at] >> 32]
+            at = at[np.lexsort((-at, count[at], pair))]
+            pair = of_group[places[at] >> 32]
+            at = at[np.concatenate([pair[1:] != pair[:-1], [True]])]
+            start = (places[at] + places[at + 1] - 1) // 2
+            votes = count[at]
+        else:
+            begin = np.flatnonzero(ok & ~np.concatenate([[False], ok[:-1]]))
+            end = np.flatnonzero(ok & ~np.concatenate([ok[1:], [False]]))
+            first, steps = places[begin], -(-(places[end + 1] - places[begin]) // HALF)
+            start = np.repeat(first, steps) + HALF * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
+            votes = np.zeros(len(start), np.int64)
         order = np.argsort(lo, kind="stable")
         near = order[np.searchsorted(lo[order], start, side="right") - 1]  # the last window that begins there or before
         out = np.zeros(len(start), PAIR)
-        out["a"], out["b"], out["delta"] = p["a"][near], p["b"][near], p["delta"][near]
+        out["a"], out["b"], out["delta"], out["j"] = p["a"][near], p["b"][near], p["delta"][near], np.minimum(votes, 255)
         out["lo"] = start & 0xFFFFFFFF
         asks.append(out)
     if not asks:
         return
     q = np.unique(np.concatenate(asks))
+    if best:
+        q = q[np.lexsort((q["j"], q["b"], q["a"]))]
+        q = q[np.concatenate([(q["a"][1:] != q["a"][:-1]) | (q["b"][1:] != q["b"][:-1]), [True]])]
     with np.errstate(over="ignore"):
         key = _mix(_mix(np.ascontiguousarray(q["a"]).view(np.uint64)) + _M[0] * _mix(np.ascontiguousarray(q["b"]).view(np.uint64)) + _M[5] * q["lo"].astype(np.uint64) + _M[6] * q["delta"].astype(np.uint64))
     both = []
-    for side, doc, other, at in ((0, q["a"], q["b"], q["lo"].astype(np.int64)), (1, q["b"], q["a"], q["lo"].astype(np.int64) + q["delta"])):
+    for side, doc, at in ((0, q["a"], q["lo"].astype(np.int64)), (1, q["b"], q["lo"].astype(np.int64) + q["delta"])):
         out = np.zeros(len(q), ASK)
         before = np.minimum(np.minimum(q["lo"], q["lo"].astype(np.int64) + q["delta"]), HALF)
-        out["key"], out["doc"], out["other"], out["side"], out["lo"], out["n"] = key, doc, other, side, at - before, before + HALF + PASSAGE
+        out["key"], out["doc"], out["side"], out["lo"], out["n"] = key, doc, side, at - before, before + HALF + PASSAGE
         both.append(out)
     out = np.concatenate(both)
     yield _dealt(_doc_part(out["doc"], parts), out, 0)
 
 
-def passages(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The shingle hashes of the asked passages, dealt by the ask's key: (part, key, side, doc, shingles)."""
+def distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row, bytes) without the texts that the task has sent already: a group of copies is sent once a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for doc in batch.column(0).to_pylist():
+            fresh.append(doc not in seen)
+            seen.add(doc)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Closed intervals, ascending by lo, united where they meet."""
+    top = np.maximum.accumulate(hi)
+    cut = np.flatnonzero(np.concatenate([[True], lo[1:] > top[:-1] + 1]))
+    return list(zip(lo[cut].tolist(), top[np.append(cut[1:], len(lo)) - 1].tolist(), strict=True))
+
+
+def regions(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The words of passages with AGREE windows, and half a window more on either side; dealt by text, kind 2."""
     done: set[int] = set()
-    held: list[tuple[np.ndarray, np.ndarray, int, list[bytes]]] = []
+    held: dict[int, list[tuple[int, int, int, bytes]]] = {}
     size = 0
 
-    def batch() -> pa.RecordBatch:
-        key = np.concatenate([h[0] for h in held])
-        side = np.concatenate([h[1] for h in held]).astype(np.int32)
-        doc = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
-        return pa.RecordBatch.from_arrays([pa.array(_hash_part(key, parts), pa.int64()), pa.array(key.view(np.int64), pa.int64()), pa.array(side, pa.int32()), pa.array(doc, pa.int64()), pa.array([x for h in held for x in h[3]], pa.binary())], names=["part", "key", "side", "doc", "shingles"])
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = [(part, _pack_regions(some)) for part, some in held.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([2] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "kind", "blob"])
 
-    for (doc, _, text), own in _with_texts(batches, ASK):
+    for (doc, _, text), own in _with_texts(batches, NODE):
         if not len(own) or doc in done:
             continue
         done.add(doc)
-        s = shingle_hashes(word_hashes(text)[0])
-        some = [s[x : x + m - SHINGLE + 1].tobytes() for x, m in zip(own["lo"].tolist(), own["n"].tolist(), strict=True)]
-        held.append((np.ascontiguousarray(own["key"]), own["side"], doc, some))
-        size += sum(map(len, some))
-        if size > 1 << 21:
-            yield batch()
-            held, size = [], 0
-    if held:
-        yield batch()
+        places, count = cover(own["lo"].astype(np.int64), own["lo"].astype(np.int64) + own["span"])
+        ok = np.flatnonzero(count >= AGREE)
+        if not len(ok):
+            continue
+        starts, ends = word_places(text)
+        runs = _merged(np.maximum(places[ok] - STARTS, 0), np.minimum(places[ok + 1] - 1 + HALF + PASSAGE, len(starts)) - 1)
+        part = int(_doc_part(np.array([doc]), parts)[0])
+        for lo, hi in runs:
+            words_ = text[starts[lo] : ends[hi]]
+            held.setdefault(part, []).append((doc, lo, hi - lo + 1, words_))
+            size += len(words_)
+        if size > 1 << 22:
+            yield from out()
+            held, size = {}, 0
+    yield from out()
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    starts, ends = [], []
+    for at in range(0, len(text), 1 << 22):
+        inside = ~_SPACE[np.frombuffer(text[max(0, at - 1) : at + (1 << 22)], np.uint8)]
+        before = inside[:-1] if at else np.concatenate([[False], inside[:-1]])
+        here = inside[1:] if at else inside
+        starts.append(np.flatnonzero(here & ~before) + at)
+        ends.append(np.flatnonzero(before & ~here) + at)
+    if len(text) and not _SPACE[text[-1]]:
+        ends.append(np.array([len(text)]))
+    return (np.concatenate(starts), np.concatenate(ends)) if starts else (np.zeros(0, np.int64),) * 2
+
+
+def _pack_regions(rows: list[tuple[int, int, int, bytes]]) -> bytes:
+    head = np.array([(doc, lo, n, len(x)) for doc, lo, n, x in rows], REGION)
+    return len(rows).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(x[3] for x in rows))
+
+
+def _read_regions(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(regions ascending by text and place, the place of each one's first word in the hashes, hashes of all words)."""
+    heads, parts = [], []
+    for blob in blobs:
+        n, raw = int.from_bytes(blob[:4], "little"), zstandard.ZstdDecompressor().decompress(blob[4:])
+        head = np.frombuffer(raw, REGION, count=n)
+        at = REGION.itemsize * n + np.cumsum(np.concatenate([[0], head["size"].astype(np.int64)]))
+        heads.append(head)
+        parts += [raw[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+    head = np.concatenate(heads)
+    order = np.lexsort((head["lo"], head["doc"]))
+    head = head[order]
+    begin = np.concatenate([[0], np.cumsum(head["words"].astype(np.int64))])
+    return head, begin, hashes_of(b"\n".join(parts[i] for i in order.tolist()))
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], dtypes: tuple[np.dtype, ...]) -> Iterator[tuple[int, list[np.ndarray], list[bytes]]]:
+    """Rows sorted by part: the part, its arrays of each kind, and its regions (kind 2)."""
+    part, held, blobs = None, [[] for _ in dtypes], []
+
+    def read() -> tuple[int, list[np.ndarray], list[bytes]]:
+        return part, [np.concatenate(h) if h else np.zeros(0, d) for h, d in zip(held, dtypes, strict=True)], blobs
+
+    for batch in slices(batches):
+        for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            if p != part:
+                if part is not None:
+                    yield read()
+                part, held, blobs = p, [[] for _ in dtypes], []
+            if kind == 2:
+                blobs.append(blob)
+            else:
+                held[kind].append(unpack(blob, dtypes[kind]))
+    if part is not None:
+        yield read()
+
+
+def _find(head: np.ndarray, begin: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Where words lo of texts doc lie among the regions' words; -1 where no region has them."""
+    _, codes = np.unique(np.concatenate([head["doc"], doc]), return_inverse=True)
+    own = codes[: len(head)].astype(np.int64) * (1 << 33) + head["lo"]
+    at = np.searchsorted(own, codes[len(head) :].astype(np.int64) * (1 << 33) + lo, side="right") - 1
+    at0 = np.maximum(at, 0)
+    inside = (at >= 0) & (head["doc"][at0] == doc) & (lo < head["lo"][at0].astype(np.int64) + head["words"][at0])
+    return np.where(inside, begin[at0] + lo - head["lo"][at0], -1)
+
+
+def passages(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The shingle hashes of the asked passages, dealt by the ask's key: (part, key, side, doc, shingles)."""
+    for _, (asks,), blobs in _by_part(batches, (ASK,)):
+        if not len(asks) or not blobs:
+            continue
+        asks = np.unique(asks)
+        head, begin, w = _read_regions(blobs)
+        s = shingle_hashes(w)
+        at = _find(head, begin, asks["doc"], asks["lo"].astype(np.int64))
+        asks, at = asks[at >= 0], at[at >= 0]
+        end = begin[np.searchsorted(begin, at, side="right")]
+        last = np.minimum(at + asks["n"], end) - SHINGLE + 1
+        for i in range(0, len(asks), 2048):
+            some, rows = asks[i : i + 2048], [s[a:b].tobytes() for a, b in zip(at[i : i + 2048].tolist(), last[i : i + 2048].tolist(), strict=True)]
+            key = np.ascontiguousarray(some["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_hash_part(key, parts), pa.int64()), pa.array(key.view(np.int64), pa.int64()), pa.array(some["side"].astype(np.int32), pa.int32()), pa.array(some["doc"], pa.int64()), pa.array(rows, pa.binary())], names=["part", "key", "side", "doc", "shingles"])
+
+
+# -- what the first star leaves ----------------------------------------------------------------------------------------
+def _alive(head: np.ndarray, begin: np.ndarray, n: int, a: np.ndarray) -> np.ndarray:
+    """Which places among the regions' words are starts of passages with AGREE of the windows a."""
+    lo = _find(head, begin, a["doc"], a["lo"].astype(np.int64))
+    a, lo = a[lo >= 0], lo[lo >= 0]
+    step = np.bincount(lo, minlength=n + 1) - np.bincount(np.minimum(lo + a["span"] + 1, n), minlength=n + 1)
+    out = np.cumsum(step)[:n] >= AGREE
+    whole = np.zeros(n, bool)
+    end = np.repeat(begin[1:], np.diff(begin))
+    whole[: len(end)] = np.arange(len(end)) + PASSAGE <= end
+    return out & whole
+
+
+def ask_shingles(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of the passages that are left in each part, with the classes of their texts, dealt by shingle."""
+    for part, (a, labels), blobs in _by_part(batches, (NODE, LABEL)):
+        if not len(a) or not blobs:
+            continue
+        head, begin, w = _read_regions(blobs)
+        s = shingle_hashes(w)
+        starts = np.flatnonzero(_alive(head, begin, len(w), a))
+        held = np.bincount(starts, minlength=len(w) + STARTS + 1) - np.bincount(starts + STARTS, minlength=len(w) + STARTS + 1)
+        at = np.flatnonzero(np.cumsum(held)[: len(s)] > 0)
+        if len(at):
+            doc = head["doc"][np.searchsorted(begin, at, side="right") - 1]
+            out = _asked(s[at] & ~np.uint64(0xFFFF), doc, _labels_of(doc, labels), part)
+            yield _dealt(_hash_part(out["hash"], parts), out, 0)
+
+
+def rare_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The windows of the rarest shingles of the passages whose shingles other classes have, dealt by text.
+
+    A passage without repeats must share FULL shingles with another without, so it has fewer than STARTS - FULL + 1
+    of its own, and one of the first STARTS - FULL + 1 in order of classes is shared. One of n shingles, some repeated,
+    must share 4 in 5 of them with any; such windows are marked REPEATS, and PLAIN those of passages without repeats
+    that are to meet them. (The order is by texts, not classes; any order that is the same everywhere will do.)
+    """
+    for _, (a, often), blobs in _by_part(batches, (NODE, ANSWER)):
+        if not len(a) or not len(often) or not blobs:
+            continue
+        often = often[np.argsort(often["hash"])]
+        head, begin, w = _read_regions(blobs)
+        s = shingle_hashes(w)
+        n = len(w)
+        place = np.minimum(np.searchsorted(often["hash"], s & ~np.uint64(0xFFFF)), len(often) - 1)
+        texts = np.where(often["hash"][place] == s & ~np.uint64(0xFFFF), np.minimum(np.maximum(often["texts"][place], 2), 65535), 1)  # 1: no other class has it
+        key = np.zeros(n, np.uint64)
+        key[: len(s)] = (texts.astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
+        order = np.argsort(s, kind="stable")
+        again = np.zeros(n, np.int64)  # a shingle that came less than a passage ago
+        close = (s[order][1:] == s[order][:-1]) & (np.diff(order) < STARTS)
+        again[order[1:][close]] = 1
+        total = lambda x: np.concatenate([[0], np.cumsum(x)])
+        alone, repeats = total(np.append(texts == 1, np.zeros(n - len(s), bool))), total(again)
+        starts = np.flatnonzero(_alive(head, begin, n, a))
+        most = STARTS - math.ceil(SIMILAR * STARTS)
+        starts = starts[alone[starts + STARTS] - alone[starts] <= most + repeats[starts + STARTS] - repeats[starts]]
+        found = []
+        for i in range(0, len(starts), 4096):
+            some = starts[i : i + 4096]
+            view = np.lib.stride_tricks.sliding_window_view(key, STARTS)[some]
+            rank = np.argsort(view, axis=1, kind="stable")
+            ordered = np.take_along_axis(view, rank, axis=1)
+            fresh = np.concatenate([np.ones((len(some), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+            size = fresh.sum(axis=1)
+            number = np.cumsum(fresh, axis=1)  # of distinct shingles so far
+            single = (ordered >> np.uint64(48)) == 1
+            own = (single & fresh).sum(axis=1)
+            plain = size == STARTS
+            for mark, rows, first in ((0, plain & (own <= STARTS - FULL), np.full(len(some), STARTS - FULL + 1)), (REPEATS, ~plain & (own <= size - np.ceil(SIMILAR * size - 1e-9)), size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1), (PLAIN, plain & (own <= most), np.full(len(some), most + 1))):
+                r, c = np.nonzero(rows[:, None] & (number <= first[:, None]) & ~single)
+                found.append(np.stack([np.full(len(r), mark), some[r] + rank[r, c], some[r]]))
+        if not found:
+            continue
+        mark, place, start = np.concatenate(found, axis=1)
+        order = np.lexsort((start, place, mark))
+        mark, place, start = mark[order], place[order], start[order]
+        cut = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (place[1:] != place[:-1])])) if len(mark) else np.zeros(0, np.int64)
+        if not len(cut):
+            continue
+        lo, hi, place, mark = start[cut], start[np.append(cut[1:], len(start)) - 1], place[cut], mark[cut]
+        own = np.searchsorted(begin, lo, side="right") - 1
+        out = np.zeros(len(cut), NODE)
+        out["hash"] = (s[place] & ~np.uint64(0xFFFF)) | (mark < 0).astype(np.uint64)
+        out["doc"], out["lo"], out["span"], out["at"], out["row"] = head["doc"][own], head["lo"][own] + lo - begin[own], hi - lo, place - lo, mark
+        yield _dealt(_doc_part(out["doc"], parts), out, 0)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -515,37 +807,46 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     def dealt(src: DataFrame, fn) -> DataFrame:
         return src.repartition(tasks, "part").mapInArrow(fn, BLOB)
 
+    def together(*src: DataFrame) -> DataFrame:
+        every = src[0]
+        for x in src[1:]:
+            every = every.unionByName(x)
+        return every.repartition(tasks, "part").sortWithinPartitions("part", "kind")
+
     first = written(dealt(texts.mapInArrow(lambda it: find_windows(it, parts), BLOB), lambda it: shared(it, parts)))
-    kept = written(first.repartition(tasks, "part").mapInArrow(lambda it: agreeing(it, parts), BLOB))
+    kept = written(dealt(first, lambda it: agreeing(it, parts)))
     discard(first)
+    around = written(with_texts(texts.mapInArrow(distinct_texts, "doc long, row long, bytes binary"), kept, parts, tasks).mapInArrow(lambda it: regions(it, parts), BLOB))
 
-    def checked(pairs: DataFrame, parts: int = parts, tasks: int = tasks) -> DataFrame:
-        asks = written(pairs.repartition(tasks, "part").mapInArrow(lambda it: candidates(it, parts), BLOB))
-        got = with_texts(texts, asks, parts, tasks).mapInArrow(lambda it: passages(it, parts), "part long, key long, side int, doc long, shingles binary")
-        out = written(got.repartition(tasks, "part").sortWithinPartitions("key", "side").mapInArrow(verified, "a long, b long").distinct())
-        return out
+    def checked(pairs: DataFrame, need: int, best: bool, parts: int = parts, tasks: int = tasks) -> DataFrame:
+        asks = pairs.repartition(tasks, "part").mapInArrow(lambda it: candidates(it, of_texts, need, best), BLOB)
+        got = together(asks, around).mapInArrow(lambda it: passages(it, parts), "part long, key long, side int, doc long, shingles binary")
+        return written(got.repartition(tasks, "part").sortWithinPartitions("key", "side").mapInArrow(verified, "a long, b long").distinct())
+
+    of_texts = parts
 
     def labels(found: DataFrame) -> DataFrame:
         return written(connected(found, "a", "b").select("node", "label").mapInArrow(lambda it: pack_labels(it, parts), BLOB))
 
-    def by_hash(windows_: DataFrame, known: DataFrame | None) -> DataFrame:
-        return dealt(windows_ if known is None else windows_.unionByName(known), lambda it: named(it, parts))
-
-    found, known = spark.createDataFrame([], "a long, b long"), None
-    for turn in range(TURNS):
-        step = dealt(by_hash(kept, known), lambda it, t=turn: stars(it, parts, t))
-        if turn:
-            step = written(step)
-            kept = step.filter("kind = 1").select("part", F.lit(0).alias("kind"), "blob")
-        found = written(found.unionByName(checked(step.filter("kind = 0"))).distinct())
+    def starred(windows_: DataFrame, known: DataFrame | None) -> DataFrame:
+        own = written(dealt(windows_ if known is None else windows_.unionByName(known), lambda it: local_stars(it, parts)))
+        return own.filter("kind = 0").unionByName(dealt(own.filter("kind = 1"), lambda it: stars(it, parts)))
+
+    found = checked(starred(kept, None), AGREE, True)
+    known = labels(found)
+    two = dealt(together(kept, known).mapInArrow(lambda it: ask_windows(it, parts), BLOB), answers)
+    rest = written(together(kept, two).mapInArrow(lambda it: open_windows(it, parts), BLOB))
+    often = dealt(together(rest, known, around).mapInArrow(lambda it: ask_shingles(it, parts), BLOB), answers)
+    rare = written(together(rest, often, around).mapInArrow(lambda it: rare_windows(it, parts), BLOB))
+    if not rare.isEmpty():
+        found = written(found.unionByName(checked(starred(rare, known), 1, True)).distinct())
         known = labels(found)
-    rest = written(dealt(dealt(by_hash(kept, known), lambda it: unsettled(it, parts)), lambda it: agreeing(it, parts)))
-    cells = written(dealt(by_hash(rest, known), lambda it: spread(it, parts)))
-    pairs = cells.repartition(tasks, "part").mapInArrow(pair_counts, "n long").agg(F.sum("n")).first()[0] or 0
-    if pairs:
-        more = max(tasks, -(-pairs // CHUNK))
-        every = cells.repartition(min(more, parts), "part").mapInArrow(lambda it: all_pairs(it, 4 * more), BLOB)
-        found = written(found.unionByName(checked(every, 4 * more, more)).distinct())
+        cells = written(dealt(dealt(rare.unionByName(known), lambda it: named(it, parts)), lambda it: spread(it, parts)))
+        pairs = cells.repartition(tasks, "part").mapInArrow(pair_counts, "n long").agg(F.sum("n")).first()[0] or 0
+        if pairs:
+            more = max(tasks, -(-pairs // CHUNK))
+            every = cells.repartition(min(more, parts), "part").mapInArrow(lambda it: all_pairs(it, 4 * more), BLOB)
+            found = written(found.unionByName(checked(every, 1, False, 4 * more, more)).distinct())
     return rows.select("doc_id", "doc", (F.size(words(F.col("text"))) >= PASSAGE).alias("long_enough")), found
 
 

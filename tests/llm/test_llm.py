@@ -410,6 +410,69 @@ def test_compact_windows_of_forms_with_own_fields(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_compact_windows_of_quotations(spark):
+    """Many texts that quote the same 40 words are not near duplicates, and are not tried one by one."""
+    quoted = ["quote%d" % i for i in range(40)]
+    rows = [(k, " ".join([f"a{k}_{i}" for i in range(30)] + quoted + [f"b{k}_{i}" for i in range(30)]), None, None) for k in range(80)]
+    rows += [(100, " ".join([f"a3_{i}" for i in range(30)] + quoted), None, None)]
+    got = {r["doc_id"]: r["class_id"] for r in compact_windows.classes(table(spark, rows)).collect()}
+    assert got == {k: k for k in range(80)} | {100: 3}
+
+
+def test_compact_windows_of_repeated_words(spark):
+    """Passages whose own shingles repeat, alone and against a passage without repeats."""
+    some = ["r%d" % i for i in range(30)]
+    rows = [(0, " ".join(some * 3), None, None), (1, " ".join(["x"] * 20 + some * 3), None, None), (2, " ".join(["q"] * 60), None, None), (3, "z " + " ".join(["q"] * 70), None, None), (4, " ".join(some + [f"n{i}" for i in range(60)]), None, None)]
+    got = {r["doc_id"]: r["class_id"] for r in compact_windows.classes(table(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+
+
+def test_compact_windows_over_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(compact_windows, "PIECE", 1 << 12)
+    rng = random.Random(9)
+    long = ["w%d" % rng.randrange(10**6) for _ in range(30_000)]
+    rows = [(0, " ".join(long[17_000:17_060]), None, None), (1, " ".join(long), None, None), (2, " ".join(["other"] + long[29_900:]), None, None), (3, " ".join("u%d" % i for i in range(80)), None, None)]
+    assert {r["doc_id"]: r["class_id"] for r in compact_windows.classes(table(spark, rows)).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    text = (" ".join(long)).encode()
+    starts, ends = compact_windows.word_places(text + b" ")
+    assert [text[a:b].decode() for a, b in zip(starts[:50], ends[:50])] == long[:50] and len(starts) == len(ends) == 30_000
+    assert (compact_windows.hashes_of(text) == compact_windows.word_hashes(text)[0]).all()
+
+
+def linked_along_diagonals(x, y):
+    """Have two shingle lists passages alike, at places that a shared shingle puts side by side?"""
+    where = {}
+    for j, g in enumerate(y):
+        where.setdefault(g, []).append(j)
+    for d in {j - i for i, g in enumerate(x) for j in where.get(g, ())}:
+        for i in range(max(0, -d), min(len(x), len(y) - d) - 45):
+            a, b = set(x[i : i + 46]), set(y[i + d : i + d + 46])
+            n = len(a & b)
+            if n >= 0.8 * (len(a) + len(b) - n):
+                return True
+    return False
+
+
+def test_compact_windows_recall(spark, sf):
+    """Against all pairs of texts that share 37 shingles, the least that near duplicates can share."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    texts = {}
+    for r in docs.select("doc_id", "text").collect():
+        texts.setdefault(r["text"] or "", []).append(r["doc_id"])
+    grams = {min(ids): [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for t, ids in texts.items() for w in [WORDS.findall(t.lower())] if len(w) >= 50}
+    having = {}
+    for i, g in grams.items():
+        for x in set(g):
+            having.setdefault(x, []).append(i)
+    common = Counter((a, b) for ids in having.values() for k, a in enumerate(ids) for b in ids[:k])
+    pairs = [p for p, n in common.items() if n >= 37 and linked_along_diagonals(grams[p[0]], grams[p[1]])]
+    got = {r["doc_id"]: r["class_id"] for r in compact_windows.classes(docs).collect()}
+    assert len(pairs) > 30 and sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    number = {i: k for k, i in enumerate(sorted(grams))}
+    whole = least([(number[a], number[b]) for a, b in pairs], len(number))
+    assert all(got[a] != got[b] or whole[number[a]] == whole[number[b]] for a in grams for b in grams if a < b)
+
+
 def test_compact_windows_give_the_class_alone(none):
     """A count of the links that were tried is not the number of links of a text."""
     assert compact_windows.classes(none).columns == ["doc_id", "class_id"]
