@@ -100,7 +100,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDE
 r AS (SELECT *, 3.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER ()::DOUBLE AS total FROM s),
 c AS (SELECT *, ratio <= (total - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS capped FROM r),
 t AS (SELECT source, source_size, round(CASE WHEN capped THEN 3.0::DOUBLE * source_size ELSE weight * ((total - coalesce(sum(3 * source_size) FILTER (capped) OVER (), 0)) / sum(weight) FILTER (NOT capped) OVER ()) END, 6)::DOUBLE AS target FROM c),
-m AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE size * ((2 * upto - size <= 2 * target)::INT + (2 * (source_size + upto) - size <= 2 * target)::INT + (2 * (2 * source_size + upto) - size <= 2 * target)::INT) END)::BIGINT AS taken FROM m
+m AS (SELECT d.doc_id, d.k, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT doc_id, size, sum(size) OVER (ORDER BY (2 * (e * source_size + upto) - size) / (2 * target), k, doc_id, e ROWS UNBOUNDED PRECEDING) AS cum, sum(size) FILTER (e = 0) OVER () AS budget FROM m, range(3) x(e) WHERE size > 0 AND target > 0),
+n AS (SELECT doc_id, count(*) AS copies FROM q WHERE 2 * cum - size <= 2 * budget GROUP BY 1)
+SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM m LEFT JOIN n USING (doc_id)
 """,
 }

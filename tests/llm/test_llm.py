@@ -545,10 +545,27 @@ def test_spotsigs_pairs(spark, sf):
 
 
 # -- mixing ----------------------------------------------------------------------------------------------------------
-def test_targets():
-    got = mixing.targets([100, 10, 10], [1, 2, 3], 120)
-    assert got == [60.0, 30.0, 30.0]
-    assert mixing.targets([0, 0], [1, 2], 0) == [0.0, 0.0] and mixing.targets([], [], 0) == []
+def shared_out(sizes, weights, budget, repeats=3):
+    """Targets by filling up, round by round."""
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), min(float(budget), repeats * sum(sizes))
+    while open_:
+        rate = left / sum(weights[i] for i in open_)
+        full = {i for i in open_ if weights[i] * rate >= repeats * sizes[i]}
+        for i in full or open_:
+            out[i] = float(repeats * sizes[i]) if full else weights[i] * rate
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        open_ -= full
+    return out
+
+
+def test_targets(spark):
+    for sizes in ([100, 10, 10], [0, 0], [5], [1000, 1, 1, 1, 0, 300, 7], []):
+        per = spark.createDataFrame([(f"={i}", n) for i, n in enumerate(sizes)], "s string, source_size long")
+        got = {r["s"]: r["target"] for r in mixing.targets(per).collect()}
+        want = shared_out(sizes, [i % 3 + 1 for i in range(len(sizes))], sum(sizes))
+        assert len(got) == len(sizes) and all(abs(got[f"={i}"] - t) < 1e-5 for i, t in enumerate(want)), sizes
 
 
 def test_mixing(spark, docs, none):
@@ -558,8 +575,23 @@ def test_mixing(spark, docs, none):
     again = mixing.plan(docs.repartition(5)).toPandas()
     key = ["doc_id", "text_hash", "taken"]
     assert got[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
-    assert (got["taken"] <= 3 * got["size"]).all() and mixing.plan(none).count() == 0
-    assert mixing.mix(docs).count() == got["copies"].sum() and mixing.mix(docs).columns == docs.columns
+    assert (got["taken"] <= 3 * got["size"]).all() and mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
+    out = mixing.mix(docs.withColumns({"mix_row": F.lit(1), "MIX__time": F.lit("x"), "a.b": F.lit(2)}))
+    assert out.count() == got["copies"].sum() and out.columns == [*docs.columns, "mix_row", "MIX__time", "a.b"]
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(1, "a b c", None, "x")] * 40 + [(2, "d e", None, "x"), (None, "f g h i", None, None)]
+    planned = mixing.plan(table(spark, rows)).toPandas()
+    assert abs(planned["taken"].sum() - planned["size"].sum()) <= 4
+    assert mixing.mix(table(spark, rows)).count() == planned["copies"].sum()
+
+
+def test_mixing_before_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 4)
+    rows = [(s, i, (7 * i) % 5) for s in ("=a", "") for i in range(30)]
+    got = {(r["s"], r["i"]): r["before"] for r in mixing.before(spark.createDataFrame(rows, "s string, i long, n long"), ["s"], "i", "n").collect()}
+    assert got == {(s, i): sum(m for t, k, m in rows if t == s and k < i) for s, i, _ in rows}
 
 
 def test_mixing_sql(spark, sf):
@@ -569,4 +601,4 @@ def test_mixing_sql(spark, sf):
     want = con.sql(queries.ORACLE_SQL["op6_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
     assert got["taken"].tolist() == want["taken"].tolist() and np.allclose(got["target"], want["target"])
     near = got.assign(source=spark.read.parquet(f"{sf}/documents.parquet").toPandas().sort_values("doc_id")["source"].tolist()).groupby("source").agg(t=("target", "first"), k=("taken", "sum"), m=("size", "max"))
-    assert ((near["k"] - near["t"]).abs() <= near["m"]).all()
+    assert ((near["k"] - near["t"]).abs() <= near["m"]).all() and abs(got["taken"].sum() - got["size"].sum()) <= got["size"].max()
