@@ -2,6 +2,8 @@
 
 Each round is written to the shared folder, so a lost executor costs at most one round and the plan stays short. No
 links or labels come to the driver, only a row count and a checksum that tell whether a round has changed anything.
+The least neighbours are summed up before the shuffle and written, so that the join that follows has two plain
+shuffles as its sides: then the adaptive planner can split a centre that most links meet in.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     """Links (u > v). Large star: neighbours above u go to the least of u's neighbourhood; small star: those below."""
     if small:
         near = links
-        least = near.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(near.groupBy("u").agg(F.min("v").alias("m")))
         rest = near.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
     near = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 

@@ -4,10 +4,11 @@ Fingerprint: words of the lower-cased (A-Z) text, 4-word shingles with repeats,
 if it is set in over half of the hashes.
 
 Links: fingerprints at `DISTANCE` or fewer differing bits. A fingerprint is embedded as the vector of the bit counts
-of its 2-bit segments; the Manhattan distance of two such vectors is at most their Hamming distance. The vector's
-coordinates form g groups; if the Manhattan distance is at most d, at least g - d groups are equal. So each
-fingerprint is put into one grid cell for each choice of g - d groups, linked fingerprints share a cell, and the
-exact distance is taken within cells. g grows with the number of fingerprints, to keep cells small.
+of its 2-bit segments; the Manhattan distance of two such vectors is at most the Hamming distance of the fingerprints.
+The vector's coordinates form g groups; if the Manhattan distance is at most d, at least g - d groups are equal. So
+each fingerprint is put into one grid cell for each choice of g - d groups, and linked fingerprints share a cell. Of
+the pairs of a cell only those within the Manhattan distance go on, a lower bound, and these are verified exactly. g
+grows with the number of fingerprints, to keep cells small; a cell of more than `BLOCK` is joined in parts.
 
 Groups of copies: equal fingerprints are one class. Dense groups of near copies would make a square number of pairs,
 so cells are first joined by stars (each member against one member of its cell, another one each round), and pairs
@@ -16,7 +17,8 @@ unconnected classes is skipped.
 
 Defined results: null or empty text, or one without words, has fingerprint zero, linked like any other; null doc_ids
 are linked too but are not a component's id unless it has no other; repeated rows are kept; an empty table gives an
-empty table; extra columns are ignored by `components` and kept by `deduplicate`.
+empty table; extra columns are ignored by `components` and kept by `deduplicate`, whose own columns make way for
+columns of the same name. A row is known by its doc_id (null apart from any number) and its text's 64-bit hash.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from premia.llm._common import arrow_map, written
+from premia.llm._common import arrow_map, free_prefix, named, written
 from premia.llm.components import connected
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
-LAST = (1 << 63) - 1  # stands for a null doc_id
+BLOCK = 4096  # fingerprints of a cell that one side of a join holds
 _UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -71,7 +73,7 @@ def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
         fp = np.concatenate([fingerprint(batch.column(2)[i : i + 64].to_pylist()) for i in range(0, batch.num_rows, 64)])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    text = F.col(f"`{text_col}`")
+    text = named(text_col)
     return arrow_map(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), kernel, "doc_id long, text_hash long, fp long")
 
 
@@ -102,10 +104,20 @@ def cells(classes: DataFrame, n: int) -> DataFrame:
 
 
 def packed_counts(fp: Column) -> Column:
-    """The 32 segment popcounts, two bits each: high bit = both bits set, low bit = just one set."""
+    """The 32 segment popcounts, two bits each: low bit = a bit is set, high bit = both are."""
     odd = F.lit(0x5555555555555555)
     low, high = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    """The Manhattan distance of two vectors of popcounts: each count is written as so many ones."""
+    return F.bit_count(packed_counts(a).bitwiseXOR(packed_counts(b)))
+
+
+def linked(a: Column, b: Column) -> Column:
+    """Within the lower bound, then within the distance itself."""
+    return (manhattan(a, b) <= DISTANCE) & (distance(a, b) <= DISTANCE)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -120,12 +132,16 @@ def labels(classes: DataFrame) -> DataFrame:
     for pick in (F.min, F.max):
         now = placed.join(found, placed["fp"] == found["node"], "left").select("t", "key", "fp", F.coalesce("label", "fp").alias("label"))
         least = now.groupBy("t", "key").agg(pick("fp").alias("star"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("t", "key", "star")
-        rays = now.join(least, ["t", "key"]).filter((F.col("fp") != F.col("star")) & (distance(F.col("fp"), F.col("star")) <= DISTANCE)).select("fp", "star").distinct()
+        rays = now.join(least, ["t", "key"]).filter((F.col("fp") != F.col("star")) & linked(F.col("fp"), F.col("star"))).select("fp", "star").distinct()
         known = found.select(F.col("node").alias("fp"), F.col("label").alias("star"))
         found = written(connected(rays.unionByName(known), "fp", "star"))
     now = written(placed.join(found, placed["fp"] == found["node"], "left").select("t", "key", "fp", F.coalesce("label", "fp").alias("label")))
-    a, b = now.alias("a"), now.alias("b")
-    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.label") != F.col("b.label")) & (distance(F.col("a.fp"), F.col("b.fp")) <= DISTANCE)
+    mixed = written(now.groupBy("t", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).filter("l0 != l1").select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    now = written(now.join(mixed, ["t", "key"]))  # cells with two classes
+    a = now.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("a")
+    b = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "key", "part")]
+    on = same[0] & same[1] & same[2] & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.label") != F.col("b.label")) & linked(F.col("a.fp"), F.col("b.fp"))
     across = a.join(b, on).select(F.col("a.label").alias("fp"), F.col("b.label").alias("star")).distinct()
     known = found.select(F.col("node").alias("fp"), F.col("label").alias("star"))
     return connected(across.unionByName(known), "fp", "star").select(F.col("node").alias("fp"), "label")
@@ -134,14 +150,14 @@ def labels(classes: DataFrame) -> DataFrame:
 def _grouped(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, fp of each row; fp, label, component_id, first of each fingerprint).
 
-    first: doc_id (null as the largest number) and text hash of the component's first row.
+    first: is the doc_id null, the doc_id and the text hash of the component's first row.
     """
     base = written(fingerprints(df, text_col))
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("text_hash").alias("h")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_hash").alias("h")))
     classes = written(base.groupBy("fp").agg(F.min("doc_id").alias("least"), least.alias("first")))
-    linked = written(labels(classes.select("fp")))
-    of_class = classes.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    ids = of_class.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("of_all"))
+    grouped = written(labels(classes.select("fp")))
+    of_class = written(classes.join(grouped, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    ids = written(of_class.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("of_all")))
     return base, of_class.select("fp", "label").join(ids, "label").select("fp", "label", "component_id", F.col("of_all").alias("first"))
 
 
@@ -162,9 +178,9 @@ def deduplicate(df: DataFrame, text_col: str = "text") -> DataFrame:
     Of rows with one doc_id in a component the one with the least text hash stays, of equal rows one.
     """
     _, classes = _grouped(df, text_col)
-    keep = classes.select(F.col("first.d").alias("__keep"), F.col("first.h").alias("__hash")).distinct()
-    text = F.col(f"`{text_col}`")
-    left = df.withColumns({"__row": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__own": F.xxhash64(text)})
-    rows = left.join(keep, (F.col("__row") == F.col("__keep")) & (F.col("__own") == F.col("__hash")))
-    one = Window.partitionBy("__row", "__own").orderBy(F.length(text))
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+    p, text, doc = free_prefix(df.columns, "dedup_"), named(text_col), F.col("doc_id").cast("long")
+    keep = classes.select(*(F.col(f"first.{c}").alias(f"{p}{c}") for c in "ndh")).distinct()
+    left = df.withColumns({f"{p}row_n": doc.isNull(), f"{p}row_d": F.coalesce(doc, F.lit(0)), f"{p}row_h": F.xxhash64(text)})
+    rows = left.join(keep, (F.col(f"{p}row_n") == F.col(f"{p}n")) & (F.col(f"{p}row_d") == F.col(f"{p}d")) & (F.col(f"{p}row_h") == F.col(f"{p}h")))
+    one = Window.partitionBy(f"{p}n", f"{p}d", f"{p}h").orderBy(F.length(text))
+    return rows.withColumn(f"{p}i", F.row_number().over(one)).filter(F.col(f"{p}i") == 1).select(*(named(c) for c in df.columns))

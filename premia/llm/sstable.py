@@ -28,7 +28,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,27 +143,33 @@ class Shard:
 
     def __init__(self, data: bytes):
         self.data = data
-        index, n, bloom, m, self.docs, self.tokens, self.number, magic = FOOTER.unpack_from(data, len(data) - FOOTER.size - 1)
+        self._head(data[len(data) - FOOTER.size - 1 :], lambda at, n: data[at : at + n])
+
+    def _head(self, footer: bytes, read: Callable[[int, int], bytes]) -> None:
+        index, n, bloom, m, self.docs, self.tokens, self.number, magic = FOOTER.unpack_from(footer)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        self.bits, self.bloom = int.from_bytes(data[bloom : bloom + 8], "little"), data[bloom + 8 : bloom + m]
-        self.firsts, self.blocks, at = [], [], index
-        while at < index + n:
-            k, at = read_varint(data, at)
-            self.firsts.append(data[at : at + k])
-            place, at = read_varint(data, at + k)
-            size, at = read_varint(data, at)
+        raw = read(bloom, m)
+        self.bits, self.bloom = int.from_bytes(raw[:8], "little"), raw[8:]
+        self.firsts, self.blocks, raw, at = [], [], read(index, n), 0
+        while at < n:
+            k, at = read_varint(raw, at)
+            self.firsts.append(raw[at : at + k])
+            place, at = read_varint(raw, at + k)
+            size, at = read_varint(raw, at)
             self.blocks.append((place, size))
 
+    def _bytes(self, at: int, n: int) -> bytes:
+        return self.data[at : at + n]
+
     def _block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
-        at, key = self.blocks[i][0], b""
-        end = at + self.blocks[i][1]
-        while at < end:
-            shared, at = read_varint(self.data, at)
-            rest, at = read_varint(self.data, at)
-            size, at = read_varint(self.data, at)
-            key = key[:shared] + self.data[at : at + rest]
-            yield key, self.data[at + rest : at + rest + size]
+        raw, at, key = self._bytes(*self.blocks[i]), 0, b""
+        while at < len(raw):
+            shared, at = read_varint(raw, at)
+            rest, at = read_varint(raw, at)
+            size, at = read_varint(raw, at)
+            key = key[:shared] + raw[at : at + rest]
+            yield key, raw[at + rest : at + rest + size]
             at += rest + size
 
     def entries(self) -> Iterator[tuple[bytes, bytes]]:
@@ -357,19 +363,69 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "shard long, place long, doc_id long, n_tokens long, local_start long, ids_crc32 long")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """doc_id, ids of the asked documents, found by each shard's filter and binary search."""
+class Table:
+    """Point reads from the shards of a folder in any Hadoop file system; only the bytes that are needed are read.
+
+    The shards are in key order, so a key's shards are found by binary search over their first keys. Of a shard the
+    footer, the index and the filter are read once, and then a block for each key that the filter lets pass.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.read_all = jvm.org.apache.commons.io.IOUtils.toByteArray
+        found = [s for s in self.fs.listStatus(folder) if s.isFile() and s.getLen() > 0 and s.getPath().getName().startswith("part-")]
+        self.files = sorted(((s.getPath().getName(), s.getPath(), s.getLen()) for s in found), key=lambda f: f[0])
+        self.heads: dict[int, RangedShard] = {}
+        self.bytes_read = 0
+
+    def read(self, i: int, at: int, n: int) -> bytes:
+        stream = self.fs.open(self.files[i][1])
+        try:
+            stream.seek(at)
+            self.bytes_read += n
+            return bytes(self.read_all(stream, n))
+        finally:
+            stream.close()
+
+    def shard(self, i: int) -> RangedShard:
+        if i not in self.heads:
+            self.heads[i] = RangedShard(lambda at, n: self.read(i, at, n), self.files[i][2])
+        return self.heads[i]
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The id arrays stored under a document id, in the order of the files."""
+        key, lo, hi = key_of(doc_id), 0, len(self.files)
+        while lo < hi:  # the first shard that begins at the key or after it
+            mid = (lo + hi) // 2
+            if self.shard(mid).firsts[0] < key:
+                lo = mid + 1
+            else:
+                hi = mid
+        out = []
+        for i in range(max(0, lo - 1), len(self.files)):
+            if self.shard(i).firsts[0] > key:
+                break
+            out += self.shard(i).get(doc_id)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                s = Shard(data.as_py()) if len(data.as_py()) else None
-                found = [(i, x.tolist()) for i in doc_ids for x in (s.get(i) if s else [])]
-                if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "doc_id long, ids array<long>")
+class RangedShard(Shard):
+    """A shard that is read piece by piece."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        self._head(read(size - FOOTER.size - 1, FOOTER.size), read)
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        return self.read(at, n)
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id, ids of the asked documents. For more ids than a driver should ask for, join `read_shards`."""
+    table = Table(spark, path)
+    return spark.createDataFrame([(i, x.tolist()) for i in doc_ids for x in table.get(i)], "doc_id long, ids array<long>")
 
 
 def with_starts(docs: DataFrame) -> DataFrame:

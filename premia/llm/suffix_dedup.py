@@ -21,8 +21,10 @@ compared. A task holds one batch (BATCH bytes of text) or one partition of packe
 
 Defined results: null text is empty, nothing is removed from texts under LENGTH bytes; a string repeated within one
 document only stays; rows with equal doc_id do not remove each other's bytes; a null doc_id counts as larger than all
-others; an empty table gives an empty table; extra columns are ignored by `digests` and kept by `deduplicate`, whose
-texts lose what is left of a character that was cut in two.
+others (2 ** 63 - 1, which stands for it, is the one number that counts as null); an empty table gives an empty table;
+extra columns are ignored by `digests` and kept by `deduplicate`, whose own columns make way for columns of the same
+name and whose texts lose what is left of a character that was cut in two. A row is known by its doc_id and its text's
+64-bit hash.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import discard, slices, written
+from premia.llm._common import discard, free_prefix, named, slices, written
 
 LENGTH, Q = 50, 20
 W = LENGTH - Q + 1
@@ -414,7 +416,7 @@ def with_texts(rows: DataFrame, packed: DataFrame, parts: int, tasks: int) -> Da
 
 
 def as_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), text.cast("binary").alias("bytes"))
 
 
@@ -460,14 +462,15 @@ def deduplicate(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars
                     kept.append(text[at:lo])
                     at = hi
                 left = b"".join([*kept, text[at:]]).decode("utf-8", "ignore")
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([row], pa.int64()), pa.array([left], pa.string())], names=["__doc", "__row", "__left"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([row], pa.int64()), pa.array([left], pa.string())], names=["doc", "row", "left"])
 
     tasks = max(1, parts // 4)
-    changed = written(with_texts(rows, spans, parts, tasks).mapInArrow(run, "__doc long, __row long, __left string").dropDuplicates(["__doc", "__row"]))
-    text = F.col(f"`{text_col}`")
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__row"))
-    joined = df.join(changed, on, "left")
-    out = {text_col: F.coalesce(F.col("__left"), text)}
+    changed = with_texts(rows, spans, parts, tasks).mapInArrow(run, "doc long, row long, left string").dropDuplicates(["doc", "row"])
+    p, text, doc = free_prefix(df.columns, "cut_"), named(text_col), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    changed = written(changed.select(*(F.col(c).alias(f"{p}{c}") for c in changed.columns)))
+    left = F.col(f"{p}left")
+    joined = df.join(changed, (doc == F.col(f"{p}doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(f"{p}row")), "left")
+    out = {text_col: F.coalesce(left, text)}
     if chars_col in df.columns:
-        out[chars_col] = F.when(F.col("__left").isNotNull(), F.char_length("__left").cast(df.schema[chars_col].dataType)).otherwise(F.col(f"`{chars_col}`"))
-    return joined.select(*((out[c].alias(c) if c in out else F.col(f"`{c}`")) for c in df.columns))
+        out[chars_col] = F.when(left.isNotNull(), F.char_length(left).cast(df.schema[chars_col].dataType)).otherwise(named(chars_col))
+    return joined.select(*((out[c].alias(c) if c in out else named(c)) for c in df.columns))

@@ -103,7 +103,7 @@ def test_token_counts(docs, none, lib):
 
 def test_sstable(spark, docs, none, lib, tmp_path):
     path = f"file://{tmp_path}/shards"
-    sstable.write_shards(docs, path, PATH, shard_bytes=20_000)
+    sstable.write_shards(docs, path, PATH, shard_bytes=4_000)
     got = sstable.with_starts(sstable.read_shards(spark, path)).orderBy("start").collect()
     keys = [r["doc_id"] for r in got]
     assert keys == sorted(keys, key=lambda k: (k is not None, k)) and len(got) == len(awkward())
@@ -118,6 +118,12 @@ def test_sstable(spark, docs, none, lib, tmp_path):
         at += r["n_tokens"]
     found = {(r["doc_id"], tuple(r["ids"])) for r in sstable.lookup(spark, path, [3, 11, None, 999]).collect()}
     assert {k for k, _ in found} == {3, 11, None} and (11, tuple([*lib.encode("a b c").ids, 2])) in found
+    reader = sstable.Table(spark, path)
+    assert len(reader.files) > 3 and len(reader.get(11)) == 2 and len(reader.get(None)) == 4 and reader.get(999) == []
+    assert [x.tolist() for x in reader.get(10)] == [[*lib.encode("x").ids, 2]]
+    ranged, whole = sstable.Table(spark, path), sum(f[2] for f in reader.files)
+    ranged.get(3)
+    assert 0 < ranged.bytes_read < whole / 2 and len(ranged.heads) < len(ranged.files)
     sstable.write_shards(none, f"file://{tmp_path}/none", PATH)
     assert sstable.read_shards(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -275,8 +281,35 @@ def test_simhash(spark, docs, none):
     found = simhash.components(docs)
     got = Counter((r["doc_id"], r["h"], r["component_id"]) for r in found.select("doc_id", simhash.hex_column(F.col("fp")).alias("h"), "component_id").collect())
     assert got == want and simhash.components(none).count() == 0
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(comp))
+    clashing = docs.withColumns({c: F.lit(0) for c in ("dedup_n", "dedup_row_d", "Dedup__h", "__keep", "doc", "a.b", "first")})
+    kept = simhash.deduplicate(clashing)
+    assert kept.columns == clashing.columns and kept.count() == len(set(comp))
+    top = table(spark, [((1 << 63) - 1, "one text that is here"), (None, "and another text there"), (None, "one text that is here")])
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.components(top).collect()} == {((1 << 63) - 1, (1 << 63) - 1), (None, (1 << 63) - 1), (None, None)}
+    assert simhash.deduplicate(top).count() == 2
+
+
+def test_cells_are_joined_in_parts(spark, monkeypatch):
+    """A crowded cell without a star's help: far pairs in one cell, near ones only side by side."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    fps = {int(x) << 40 for x in rng.integers(0, 1 << 23, 120)}
+    fps |= {f ^ 5 for f in list(fps)[:40]}
+    got = simhash.labels(spark.createDataFrame([(f,) for f in fps], "fp long")).toPandas()
+    fps = sorted(fps)
+    want = least([(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 4], len(fps))
+    label = dict(zip(got["fp"], got["label"]))
+    groups = [label.get(f, f) for f in fps]
+    assert all((groups[a] == groups[b]) == (want[a] == want[b]) for a in range(len(fps)) for b in range(a))
+
+
+def test_popcounts_bound_the_distance(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(a) ^ int(b)) for a, b in zip(rng.integers(0, 1 << 62, 300), rng.integers(0, 1 << 12, 300))]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", simhash.manhattan(F.col("a"), F.col("b")).alias("m"), simhash.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    for r in got:
+        counts = [[bin(x >> (2 * i) & 3).count("1") for i in range(32)] for x in (r["a"], r["b"])]
+        assert r["m"] == sum(abs(p - q) for p, q in zip(*counts)) <= r["d"]
 
 
 @pytest.mark.parametrize("g", [6, 7, 8, 10, 12])
@@ -287,7 +320,7 @@ def test_grid_holds_every_link(g):
 
     def packed(x):
         low, high = x & odd, (x >> np.uint64(1)) & odd
-        return (low ^ high) | ((low & high) << np.uint64(1))
+        return (low | high) | ((low & high) << np.uint64(1))
 
     x = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
     y = x.copy()
@@ -338,8 +371,9 @@ def removed(rows):
 def test_suffix_dedup(docs, none):
     got = Counter(tuple(r) for r in suffix_dedup.digests(docs).collect())
     assert got == removed(awkward()) and suffix_dedup.digests(none).count() == 0
-    cut = suffix_dedup.deduplicate(docs)
-    assert cut.columns == docs.columns and cut.count() == docs.count()
+    clashing = docs.withColumns({c: F.lit(0) for c in ("doc", "row", "left", "cut_doc", "CUT__row", "__left", "a.b")})
+    cut = suffix_dedup.deduplicate(clashing)
+    assert cut.columns == clashing.columns and cut.count() == docs.count()
     assert cut.filter("doc_id = 1").first()["text"] == "" and cut.filter("doc_id = 1").first()["n_chars"] == 0
 
 
