@@ -59,7 +59,7 @@ PASSAGE, SHINGLE, SIMILAR = 50, 5, 0.8
 HASHES, AGREE = 8, 4
 BLOCK = 512  # windows of one hash that are joined all with all at once
 CHUNK = 1 << 19  # pairs of windows that are made, or grouped by pair of texts, at once
-REPEATS, PLAIN = -2, -1  # marks in `row`: a shingle of a passage with repeated shingles, of one without, to meet such
+REPEATS, PLAIN = -2, -1  # marks in `row`: windows of passages that repeat themselves, and others that are to meet those
 NEAR = 16  # words by which the diagonals of one candidate may differ
 STARTS = PASSAGE - SHINGLE + 1
 HALF = STARTS // 2
@@ -318,9 +318,9 @@ def _ordered(p: np.ndarray) -> np.ndarray:
     return p
 
 
-def _open(a: np.ndarray) -> np.ndarray:
-    """Of windows sorted by hash: does the hash come with two classes?"""
-    begin = np.flatnonzero(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]))
+def _open(a: np.ndarray, key: str = "hash") -> np.ndarray:
+    """Of windows sorted by hash (or cell): does it come with two classes?"""
+    begin = np.flatnonzero(np.concatenate([[True], a[key][1:] != a[key][:-1]]))
     two = np.minimum.reduceat(a["label"], begin) != np.maximum.reduceat(a["label"], begin)
     return np.repeat(two, np.diff(np.append(begin, len(a))))
 
@@ -407,21 +407,22 @@ def spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
     a = _read(batches, LABELLED)
     if not len(a):
         return
-    a = a[np.lexsort((a["lo"], a["doc"], a["label"], a["hash"]))]
+    a = a[np.lexsort((a["lo"], a["doc"], a["label"], a["row"] == PLAIN, a["hash"]))]
     a = a[_open(a)]
-    mixed = a["row"] < 0  # a shingle of passages with repeats: only pairs that have one of these matter
-    if mixed.any():
-        some = np.unique(a["hash"][a["row"] == REPEATS])
-        a = a[~mixed | np.isin(a["hash"], some)]
     if not len(a):
         return
     begin = np.flatnonzero(np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]]))
     size = np.diff(np.append(begin, len(a)))
     block = (np.arange(len(a)) - np.repeat(begin, size)) // BLOCK
-    blocks = np.repeat(-(-size // BLOCK), size)
+    # windows marked PLAIN, the last of their hash, only meet others: blocks of them alone do not meet each other
+    meets = np.add.reduceat((a["row"] != PLAIN).astype(np.int64), begin)
+    a, block, blocks, lead = (x[np.repeat(meets > 0, size)] for x in (a, block, np.repeat(-(-size // BLOCK), size), np.repeat(-(-meets // BLOCK), size)))
+    if not len(a):
+        return
     for k in range(0, int(blocks.max())):  # each window meets block k of its hash
-        some = a[blocks > k]
-        own, out = block[blocks > k], np.zeros(np.count_nonzero(blocks > k), CELL)
+        here = (blocks > k) & (np.minimum(block, k) < lead)
+        some = a[here]
+        own, out = block[here], np.zeros(len(some), CELL)
         for n in LABELLED.names:
             out[n] = some[n]
         low, high = np.minimum(own, k).astype(np.uint64), np.maximum(own, k).astype(np.uint64)
@@ -429,7 +430,8 @@ def spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
             out["cell"] = _mix(some["hash"] * _M[0] + (low << np.uint64(32)) + high + np.uint64(1))
         out["side"] = np.where(own == k, 0, np.where(own > k, 2, 1))  # 1: the lesser block of two, 2: the greater
         whole = out[out["side"] == 0]
-        yield _dealt(_hash_part(whole["cell"], parts), whole, 0)
+        if len(whole):
+            yield _dealt(_hash_part(whole["cell"], parts), whole, 0)
         if k or int(blocks.max()) > 1:
             rest = out[out["side"] > 0]
             if len(rest):
@@ -442,7 +444,10 @@ def all_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
     if not len(a):
         return
     a = a[np.lexsort((a["doc"], a["label"], a["side"], a["cell"]))]
+    a = a[_open(a, "cell")]
     n = len(a)
+    if not n:
+        return
     edge = np.concatenate([[True], (a["cell"][1:] != a["cell"][:-1])])
     stop = np.append(np.flatnonzero(edge)[1:], n)[np.cumsum(edge) - 1]
     # within a block: with the windows of later labels; across two: with all of the greater block
@@ -470,6 +475,8 @@ def all_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
 def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n: at most how many pairs the cells of a partition give."""
     a = _read(batches, CELL)
+    a = a[np.argsort(a["cell"], kind="stable")]
+    a = a[_open(a, "cell")] if len(a) else a
     if len(a):
         _, which = np.unique(a["cell"], return_inverse=True)
         n = [np.bincount(which, a["side"] == s) for s in range(3)]
@@ -702,10 +709,15 @@ def ask_shingles(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
 def rare_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The windows of the rarest shingles of the passages whose shingles other classes have, dealt by text.
 
-    A passage without repeats must share FULL shingles with another without, so it has fewer than STARTS - FULL + 1
-    of its own, and one of the first STARTS - FULL + 1 in order of classes is shared. One of n shingles, some repeated,
-    must share 4 in 5 of them with any; such windows are marked REPEATS, and PLAIN those of passages without repeats
-    that are to meet them. (The order is by texts, not classes; any order that is the same everywhere will do.)
+    A passage without repeated shingles must share FULL of them with another such, so it has STARTS - FULL of its own at
+    most, and one of the first STARTS - FULL + 1 in order of frequency is shared. A passage of n different shingles
+    must share 4 in 5 of them with any. Three tables, by the last digits of the hash:
+
+    0: passages without repeats among themselves.
+    1: passages with some repeats (n is 4 in 5 of STARTS or more, marked REPEATS) among themselves and with those
+       without (PLAIN). Here as in 0 a window is a shingle's place with the starts of the passages around it.
+    2: passages with more repeats (REPEATS) among themselves and with those of some repeats (PLAIN). A window is the
+       passage itself, and of passages of one text with equal sets of shingles only the first is taken.
     """
     for _, (a, often), blobs in _by_part(batches, (NODE, ANSWER)):
         if not len(a) or not len(often) or not blobs:
@@ -727,7 +739,7 @@ def rare_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
         starts = np.flatnonzero(_alive(head, begin, n, a))
         most = STARTS - math.ceil(SIMILAR * STARTS)
         starts = starts[alone[starts + STARTS] - alone[starts] <= most + repeats[starts + STARTS] - repeats[starts]]
-        found = []
+        found, sets = [], []
         for i in range(0, len(starts), 4096):
             some = starts[i : i + 4096]
             view = np.lib.stride_tricks.sliding_window_view(key, STARTS)[some]
@@ -735,26 +747,46 @@ def rare_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
             ordered = np.take_along_axis(view, rank, axis=1)
             fresh = np.concatenate([np.ones((len(some), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
             size = fresh.sum(axis=1)
-            number = np.cumsum(fresh, axis=1)  # of distinct shingles so far
+            number = np.cumsum(fresh, axis=1)  # of different shingles so far
             single = (ordered >> np.uint64(48)) == 1
-            own = (single & fresh).sum(axis=1)
-            plain = size == STARTS
-            for mark, rows, first in ((0, plain & (own <= STARTS - FULL), np.full(len(some), STARTS - FULL + 1)), (REPEATS, ~plain & (own <= size - np.ceil(SIMILAR * size - 1e-9)), size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1), (PLAIN, plain & (own <= most), np.full(len(some), most + 1))):
+            own, free = (single & fresh).sum(axis=1), size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64)
+            plain, few = size == STARTS, (size < STARTS) & (size >= STARTS - most)
+            for table, mark, rows, first in ((0, 0, plain & (own <= STARTS - FULL), np.full(len(some), STARTS - FULL + 1)), (1, REPEATS, few & (own <= free), free + 1), (1, PLAIN, plain & (own <= most), np.full(len(some), most + 1))):
                 r, c = np.nonzero(rows[:, None] & (number <= first[:, None]) & ~single)
-                found.append(np.stack([np.full(len(r), mark), some[r] + rank[r, c], some[r]]))
-        if not found:
+                found.append(np.stack([np.full(len(r), table), np.full(len(r), mark), some[r] + rank[r, c], some[r]]))
+            rows = np.flatnonzero(~plain & (own <= free))
+            if len(rows):
+                with np.errstate(over="ignore"):
+                    of_set = np.where(fresh[rows], _mix(ordered[rows]), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+                r, c = np.nonzero((number[rows] <= (free[rows] + 1)[:, None]) & fresh[rows] & ~single[rows])
+                sets.append(np.stack([np.where(few[rows[r]], PLAIN, REPEATS), some[rows[r]] + rank[rows[r], c], some[rows[r]], of_set[r].view(np.int64)]))
+        parts_ = []
+        if found:
+            table, mark, place, start = np.concatenate(found, axis=1)
+            order = np.lexsort((start, place, mark, table))
+            table, mark, place, start = table[order], mark[order], place[order], start[order]
+            change = np.concatenate([[True], (table[1:] != table[:-1]) | (mark[1:] != mark[:-1]) | (place[1:] != place[:-1])])[: len(mark)]
+            cut = np.flatnonzero(change)
+            if len(cut):
+                lo = start[cut]
+                parts_.append((table[cut], mark[cut], place[cut], lo, start[np.append(cut[1:], len(start)) - 1] - lo, place[cut] - lo))
+        if sets:
+            mark, place, start, of_set = np.concatenate(sets, axis=1)
+            doc = head["doc"][np.searchsorted(begin, start, side="right") - 1]
+            order = np.lexsort((start, of_set, doc))
+            change = np.concatenate([[True], (of_set[order][1:] != of_set[order][:-1]) | (doc[order][1:] != doc[order][:-1])])[: len(order)]
+            first = np.repeat(start[order][change], np.diff(np.append(np.flatnonzero(change), len(order))))
+            keep = order[start[order] == first]
+            parts_.append((np.full(len(keep), 2), mark[keep], place[keep], start[keep], np.zeros(len(keep), np.int64), np.zeros(len(keep), np.int64)))
+        if not parts_:
             continue
-        mark, place, start = np.concatenate(found, axis=1)
-        order = np.lexsort((start, place, mark))
-        mark, place, start = mark[order], place[order], start[order]
-        cut = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (place[1:] != place[:-1])])) if len(mark) else np.zeros(0, np.int64)
-        if not len(cut):
+        table, mark, place, lo, span, at = (np.concatenate(x) for x in zip(*parts_, strict=True))
+        if not len(lo):
             continue
-        lo, hi, place, mark = start[cut], start[np.append(cut[1:], len(start)) - 1], place[cut], mark[cut]
         own = np.searchsorted(begin, lo, side="right") - 1
-        out = np.zeros(len(cut), NODE)
-        out["hash"] = (s[place] & ~np.uint64(0xFFFF)) | (mark < 0).astype(np.uint64)
-        out["doc"], out["lo"], out["span"], out["at"], out["row"] = head["doc"][own], head["lo"][own] + lo - begin[own], hi - lo, place - lo, mark
+        out = np.zeros(len(lo), NODE)
+        out["hash"] = (s[place] & ~np.uint64(0xFFFF)) | table.astype(np.uint64)
+        out["doc"], out["lo"], out["span"], out["at"], out["row"] = head["doc"][own], head["lo"][own] + lo - begin[own], span, at, mark
         yield _dealt(_doc_part(out["doc"], parts), out, 0)
 
 
