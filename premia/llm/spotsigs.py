@@ -1,53 +1,65 @@
 """Document fingerprints: SpotSigs, in DataFrame functions only.
 
 A spot is a common word (an *anchor*) with the chain of the content words that follow it, common words left out.
-The fingerprint of a text is the set of its spots, each hashed to 32 bits, written in ascending order. So that texts
-without common words of the listed languages have spots too, content words whose hash ends in three zero bits are
-anchors as well. The likeness of two fingerprints is the Jaccard similarity of the sets.
-
-`near_pairs` finds all pairs of texts with a similarity of at least tau: equal fingerprints are one class; classes
-are partitioned by set length so that only neighbouring partitions can reach tau; candidates share one of the first
-|A| - ceil(tau |A|) + 1 spots in ascending order; lengths prune once more before the Jaccard is taken.
+Common are the ANCHORS words that the most documents have, counted over all of them. The fingerprint of a text is the
+set of its spots, each hashed to 32 bits, written in ascending order. The likeness of two fingerprints is the Jaccard
+similarity of the sets.
+
+`near_classes` connects all texts with a likeness of at least tau. Equal fingerprints are one class. Classes are
+partitioned by set length, so that only a partition and the next can reach tau; of a set, only the first
+n - ceil(tau n) + 1 spots, the rarest first, are looked up, one of which two like sets must share; lengths prune once
+more, and what is left is compared exactly. Only ids, lengths and spots travel until then. Rare is what falls into a
+light one of BUCKETS counters of all spots; any order that is the same everywhere will do, and this one puts the
+spots of a line that many texts share last. Sets with one spot are first joined to one of them, which settles groups of
+copies, and then all with all between classes that are still different, crowded spots in parts of BLOCK.
 
 Defined results: null is the empty text; a text without any spot has one spot, the hash of the text, and the empty
 text has none; two empty fingerprints have likeness 1, an empty and another 0; equal texts have equal fingerprints;
-rows with equal doc_id are ordered by their text's hash, null doc_ids come last; an empty table gives an empty
-table, and in a table of one row the next document is the row itself; extra columns are ignored.
+rows with equal doc_id are ordered by their text's hash, null doc_ids come last; the class is the least doc_id in it,
+null if there is none; an empty table gives an empty table, and in a table of one row the next document is the row
+itself; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from premia.llm._common import bind
+from premia.llm._common import bind, written
+from premia.llm.components import connected
 
-# Common words of English, French, German and Spanish.
-COMMON = (
-    "the a an of and to in is was for on with that it as be at by this from "
-    "le la les de des et un une du en que qui dans pour est au aux se "
-    "der die das und ein eine den dem von zu mit ist im nicht auf für "
-    "el los las y del por con para su al lo una"
-).split()
+ANCHORS = 200
 CHAIN = 2
 CELLS = 4096
+BUCKETS = 1 << 14
+BLOCK = 4096
+SPAN = 1024
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
+
 
+def common_words(df: DataFrame, text_col: str = "text", most: int = ANCHORS) -> list[str]:
+    """The words that the most documents have, ties in the order of the words."""
+    rows = df.select(F.explode(F.array_distinct(words(F.col(f"`{text_col}`")))).alias("w")).groupBy("w").count()
+    return [r["w"] for r in rows.orderBy(F.desc("count"), "w").limit(most).collect()]
 
-def spots(text: Column) -> Column:
+
+def spots(text: Column, common: list[str]) -> Column:
     """The sorted set of a text's spots, array<int>."""
     text = F.coalesce(text, F.lit(""))
-    w = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
-    common = sorted(set(COMMON))
 
     def of_words(a: Column) -> Column:
         places = F.filter(F.transform(a, lambda x, i: F.when(x.isin(common), i)), lambda i: i.isNotNull())
         content = F.filter(a, lambda x: ~x.isin(common))
         # before the k-th anchor, at place i, there are i - k content words
-        chains = lambda c: F.transform(places, lambda i, k: F.hash(F.get(a, i), *(F.get(c, i - k + j) for j in range(CHAIN))))
-        own = lambda c: F.filter(F.transform(c, lambda x, i: F.when(F.hash(x).bitwiseAND(7) == 0, F.hash(x, *(F.get(c, i + 1 + j) for j in range(CHAIN))))), lambda h: h.isNotNull())
-        return bind(content, lambda c: F.concat(chains(c), own(c)))
+        return bind(content, lambda c: F.transform(places, lambda i, k: F.hash(F.get(a, i), *(F.get(c, i - k + j) for j in range(CHAIN)))))
 
-    found = bind(w, of_words)
+    found = bind(words(text), of_words) if common else F.array().cast("array<int>")
     return bind(found, lambda s: F.when(F.size(s) > 0, F.array_sort(F.array_distinct(s))).when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text))))
 
 
@@ -63,8 +75,9 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, text, next_text: the text of the next row in descending doc_id, of the first row after the last.
 
-    Ids are cut into equal cells (at most CELLS, one small broadcast row each), crowded cells into more parts, so
-    that a bucket holds about bucket_bytes of text; each bucket also gets the first row of the bucket below.
+    Ids are cut into equal cells (at most CELLS, one small row each), crowded cells into more parts by id, and where a
+    part is one id already, by hash, as are the null ids; so a bucket holds about bucket_bytes of text. Each bucket
+    also gets the first row of the bucket below.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size, n, lo, hi = rows.agg(F.sum(F.octet_length("text")), F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
@@ -73,50 +86,111 @@ def with_next(df: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     cell = F.floor((F.col("doc_id") - lo) / F.lit(width)).cast("int") if hi - lo < 1 << 52 else F.expr(f"int((cast(doc_id as decimal(38,0)) - {lo}) div {width})")
     rows = rows.withColumn("cell", F.coalesce(cell, F.lit(-1))).withColumn("h", F.xxhash64("text"))
     per = max(1, int((n or 1) * bucket_bytes / max(size or 1, 1)))
-    table, at, fill = [], 0, 0
+    table, at = [], 0
+    fill = 0
     for c, m in sorted((r["cell"], r["count"]) for r in rows.groupBy("cell").count().collect()):
-        if c < 0 or m > per or fill + m > per:
-            at, fill = at + 1, 0
-        parts = max(1, min(-(-m // per), width)) if c >= 0 else 1
-        table.append((c, at, parts))
-        at, fill = at + parts - 1, fill + m if parts == 1 else per
-        if c < 0:
+        parts = -(-m // per)
+        by_id = 1 if c < 0 else min(parts, width)
+        by_hash = max(1, -(-parts // by_id)) if by_id == width or c < 0 else 1
+        if c < 0 or parts > 1 or fill + m > per:
             at, fill = at + 1, 0
-    spark = df.sparkSession
-    cells = spark.createDataFrame(table, "cell int, first long, parts long")
-    rows = rows.join(F.broadcast(cells), "cell")  # CELLS + 1 rows at most
-    inside = F.floor((F.col("doc_id") - lo - F.col("cell").cast("long") * width) * F.col("parts") / F.lit(width)).cast("long")
-    rows = rows.withColumn("bucket", F.col("first") + F.coalesce(inside, F.lit(0))).select("doc_id", "text", "h", "bucket")
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), (-F.col("h")).alias("h"))).alias("top"))
-    # one row for each bucket: a bucket's first row also closes the bucket above, the very first the lowest
-    above = heads.select("top", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("closes"))
-    closing = rows.join(F.broadcast(above), (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("top.doc_id")) & (-F.col("h") == F.col("top.h"))).dropDuplicates(["closes"])
+        table.append((c, at, by_id, by_hash))
+        at, fill = (at + by_id * by_hash, 0) if c < 0 or parts > 1 else (at, fill + m)
+    cells = df.sparkSession.createDataFrame(table, "cell int, first long, by_id long, by_hash long")  # CELLS + 1 rows at most
+    rows = rows.join(cells, "cell")
+    inside = F.coalesce(F.floor((F.col("doc_id") - lo - F.col("cell").cast("long") * width) * F.col("by_id") / F.lit(width)).cast("long"), F.lit(0))
+    # within one id, lesser hashes come first, that is in the upper buckets
+    upper = F.col("by_hash") - 1 - F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("by_hash") / F.lit(1 << 32)).cast("long")
+    rows = rows.withColumn("bucket", F.col("first") + inside * F.col("by_hash") + upper).select("doc_id", "text", "h", "bucket")
+    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("doc_id").isNotNull().alias("n"), (-F.col("h")).alias("h"))
+    heads = written(rows.groupBy("bucket").agg(F.max(key).alias("top")))
+    # a bucket's first row also closes the bucket above, the very first the lowest; found in two levels
+    heads = heads.withColumn("g", F.floor(F.col("bucket") / SPAN))
+    groups = heads.groupBy("g").agg(F.min("bucket").alias("least"))
+    above = groups.select("g", F.lead("least").over(Window.orderBy("g")).alias("after"), F.min("least").over(Window.partitionBy()).alias("lowest"))
+    up = F.lead("bucket").over(Window.partitionBy("g").orderBy("bucket"))
+    closes = heads.withColumn("up", up).join(above, "g").select(F.col("bucket").alias("b"), "top", F.coalesce("up", "after", "lowest").alias("closes"))
+    closing = rows.withColumn("key", key).join(closes, (F.col("bucket") == F.col("b")) & (F.col("key") == F.col("top"))).dropDuplicates(["closes"])
     both = rows.withColumn("extra", F.lit(0)).unionByName(closing.select("doc_id", "text", "h", F.col("closes").alias("bucket"), F.lit(1).alias("extra")))
     order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "h")
     return both.withColumn("next_text", F.lead("text").over(order)).filter("extra = 0").select("doc_id", "text", "next_text")
 
 
-def edited_fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each text."""
+def edited_fingerprints(df: DataFrame, tau: float = 0.8) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_class of each text.
+
+    near_class: the least doc_id that can be reached through texts with a likeness of at least tau.
+    """
+    common = common_words(df)
     n = F.char_length("text")
     rows = with_next(df).withColumn("n_chars", n.cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spots(F.col("text")).alias("own"), spots(F.col("edited")).alias("of_edited"), spots(F.col("next_text")).alias("of_next"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", written_out(F.col("own")).alias("fingerprint"), written_out(F.col("of_edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"))
-
-
-def near_pairs(df: DataFrame, tau: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(membership doc_id, class_id; pairs class_a < class_b, similarity >= tau) over doc_id, text."""
-    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), spots(F.col("text")).alias("s")).withColumn("f", F.md5(written_out(F.col("s"))))
-    classes = own.groupBy("f").agg(F.min("doc_id").alias("class_id"), F.first("s").alias("s"))
-    members = own.select("doc_id", "f").join(classes.select("f", "class_id"), "f").select("doc_id", "class_id")
-    sets = classes.filter(F.size("s") > 0).select("class_id", "s", F.size("s").alias("n"))
-    part = F.floor(F.log(F.col("n")) / F.lit(-__import__("math").log(tau)))
-    sets = sets.withColumn("p", part).withColumn("spot", F.explode(F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * F.lit(tau)).cast("int") + 1)))
-    a = sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.explode(F.array("p", F.col("p") + 1)).alias("p"), "spot")
-    b = sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "p", "spot")
-    fits = (F.col("na") <= F.col("nb")) & (F.col("na") >= F.lit(tau) * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    pairs = a.join(b, ["p", "spot"]).filter(fits).dropDuplicates(["a", "b"]).withColumn("similarity", likeness(F.col("sa"), F.col("sb")))
-    return members, pairs.filter(F.col("similarity") >= tau).select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "similarity")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spots(F.col("text"), common).alias("own"), spots(F.col("edited"), common).alias("of_edited"), spots(F.col("next_text"), common).alias("of_next"))
+    rows = written(rows.select("doc_id", "n_chars", "edited_sha256", "own", written_out(F.col("of_edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"), F.xxhash64("own").alias("node")))
+    classes = near_classes(rows.select("doc_id", F.col("own").alias("s"), "node"), tau)
+    out = rows.join(classes, "node")
+    return out.select("doc_id", "n_chars", "edited_sha256", written_out(F.col("own")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "near_class")
+
+
+def near_classes(sets: DataFrame, tau: float = 0.8) -> DataFrame:
+    """node, near_class over doc_id, s (the sorted spots), node (their hash)."""
+    classes = written(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("s").alias("s")))
+    found = None
+    for part in like_pairs(classes.select("node", "s"), tau):
+        found = part
+    label = written(classes.select("node", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    ids = written(label.groupBy("label").agg(F.min("least").alias("near_class")))
+    return label.join(ids, "label").select("node", "near_class")
+
+
+def light(classes: DataFrame) -> Column:
+    """spot -> how many sets have a spot in its counter, as an expression over the lambda variable given to it."""
+    counts = {r["b"]: r["n"] for r in classes.select(F.explode("s").alias("x")).groupBy(F.pmod("x", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
+    table = F.split(F.lit(",".join(str(min(counts.get(b, 0), (1 << 31) - 1)) for b in range(BUCKETS))), ",").cast("array<int>")
+    return lambda x: F.get(table, F.pmod(x, F.lit(BUCKETS)))
+
+
+def placed(classes: DataFrame, tau: float) -> DataFrame:
+    """p, spot, own, node, n: the sets looked up in each partition by each of their rarest spots.
+
+    A set of partition p also visits p + 1 (own = false).
+    """
+    weight = light(classes)
+    n = F.size("s")
+    ranked = F.array_sort(F.transform("s", lambda x: F.struct(weight(x).alias("w"), x.alias("x"))))
+    first = F.slice(ranked, 1, n - F.ceil(n * F.lit(tau) - 1e-9).cast("int") + 1)
+    p = F.floor(F.log(n) / F.lit(-math.log(tau)) + 1e-9).cast("int")
+    rows = classes.filter(n > 0).select("node", n.alias("n"), p.alias("p"), F.explode(first).alias("f")).select("node", "n", "p", F.col("f.x").alias("spot"))
+    return rows.select(F.explode(F.array(F.struct(F.col("p").alias("p"), F.lit(True).alias("own")), F.struct((F.col("p") + 1).alias("p"), F.lit(False).alias("own")))).alias("v"), "spot", "node", "n").select("v.p", "spot", "v.own", "node", "n")
+
+
+def like_pairs(classes: DataFrame, tau: float):
+    """node, label tables, one after each turn: the last one connects all sets (node, s) with a likeness of tau or more."""
+    cells = written(placed(classes, tau))
+    at = ["p", "spot"]
+    star = F.min(F.when(F.col("own"), F.struct("node", "n")))
+    crowded = written(cells.groupBy(*at).agg(star.alias("star"), F.count("*").alias("m")).filter("m > 1 AND star IS NOT NULL"))
+    cells = written(cells.join(crowded, at))
+    fits = lambda a, b: F.least(a, b) >= F.lit(tau) * F.greatest(a, b) - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left = one.join(classes.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        both = left.join(classes.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        return both.filter(likeness(F.col("sa"), F.col("sb")) >= tau).select("a", "b")
+
+    rays = cells.filter((F.col("node") != F.col("star.node")) & fits(F.col("n"), F.col("star.n"))).select(F.col("node").alias("a"), F.col("star.node").alias("b"))
+    found = written(connected(verified(rays), "a", "b"))
+    yield found
+    now = cells.join(found, "node", "left").select(*at, "own", "node", "n", F.coalesce("label", "node").alias("label"))
+    now = written(now)
+    mixed = written(now.groupBy(*at).agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).filter("l0 != l1").select(*at, F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    now = written(now.join(mixed, at))
+    a = now.filter("own").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("a")
+    b = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.p") == F.col("b.p")) & (F.col("a.spot") == F.col("b.spot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.label") != F.col("b.label")) & (~F.col("b.own") | (F.col("a.node") < F.col("b.node"))) & fits(F.col("a.n"), F.col("b.n"))
+    across = verified(a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    known = found.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    yield written(connected(across.unionByName(known), "a", "b"))

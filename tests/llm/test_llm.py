@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -542,40 +543,87 @@ def test_windows_are_the_cartesian_tree():
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------------
+def spot_chains(text, common):
+    """The spots of a text as word chains, without hashing."""
+    w = [x for x in regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).split(" ") if x]
+    out = set()
+    for i, x in enumerate(w):
+        if x in common:
+            after = [y for y in w[i + 1 :] if y not in common][:2]
+            out.add((x, *after, *[None] * (2 - len(after))))
+    return out or ({("", text)} if text else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_spotsigs(docs, none, spark):
     got = spotsigs.edited_fingerprints(docs).toPandas()
     rows = sorted(awkward(), key=lambda r: (r[0] is None, -(r[0] or 0)))
     texts = [t or "" for _, t, *_ in rows]
-    assert len(got) == len(rows) and got["near_edited"].between(0, 1).all() and got["near_next"].between(0, 1).all()
+    having = Counter(x for _, t, *_ in awkward() for x in {y for y in regex.sub(r"[^\p{L}\p{N}]+", " ", (t or "").lower()).split(" ") if y})
+    common = set(sorted(having, key=lambda x: (-having[x], x.encode()))[: spotsigs.ANCHORS])
+    assert set(spotsigs.common_words(docs)) == common
+    sets = {t: spot_chains(t, common) for t in texts}
+    assert len(got) == len(rows)
     for k, (i, _, *_) in enumerate(rows):
         if i is not None and i != 11 and rows[(k + 1) % len(rows)][0] is not None:
             t, n = texts[k], texts[(k + 1) % len(rows)]
             m = len(t) // 2
+            edited = t[: len(t) - m] + n[:m]
             own = got[got["doc_id"] == i].iloc[0]
-            assert own["n_chars"] == len(t) and own["edited_sha256"] == hashlib.sha256((t[: len(t) - m] + n[:m]).encode()).hexdigest()
+            assert own["n_chars"] == len(t) and own["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert abs(own["near_edited"] - jaccard(sets[t], spot_chains(edited, common))) < 1e-9 and abs(own["near_next"] - jaccard(sets[t], sets[n])) < 1e-9
+            assert len([x for x in own["fingerprint"].split(",") if x]) == len(sets[t])
     assert got[got["doc_id"].isin([0, 1])]["fingerprint"].nunique() == 1
     assert spotsigs.edited_fingerprints(none).count() == 0
-    assert spotsigs.edited_fingerprints(table(spark, [(1, "the quick brown fox")])).first()["near_next"] == 1.0
+    one = spotsigs.edited_fingerprints(table(spark, [(1, "the quick brown fox")])).first()
+    assert one["near_next"] == 1.0 and one["near_class"] == 1
 
 
 def test_spotsigs_order_over_buckets(spark):
-    rows = [(int(i), f"text number {i} of the list") for i in np.random.default_rng(2).choice(10**12, 500, replace=False)]
-    got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(table(spark, rows), bucket_bytes=500).collect()}
-    order = sorted(rows, reverse=True)
-    assert got == {order[k][0]: order[(k + 1) % 500][1] for k in range(500)}
+    rng = np.random.default_rng(2)
+    for ids in (rng.choice(10**12, 300, replace=False).tolist(), [7] * 100 + [None] * 150 + [8, 9], [3] * 80):
+        rows = [(None if i is None else int(i), f"text number {k} {i} of the list") for k, i in enumerate(ids)]
+        df = table(spark, rows)
+        got = {r["text"]: r["next_text"] for r in spotsigs.with_next(df, bucket_bytes=500).collect()}
+        h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))
+        assert got == {order[k][1]: order[(k + 1) % len(order)][1] for k in range(len(order))}
 
 
-def test_spotsigs_pairs(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    members, pairs = spotsigs.near_pairs(docs)
-    sets = {r["doc_id"]: set(r["s"]) for r in docs.select("doc_id", spotsigs.spots(F.col("text")).alias("s")).collect()}
-    rep = {}
-    for i in sorted(sets):
-        rep.setdefault(frozenset(sets[i]), i)
-    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {i: rep[frozenset(s)] for i, s in sets.items()}
-    reps = [(i, s) for s, i in rep.items() if s]
-    want = {(min(a, b), max(a, b)) for k, (a, s) in enumerate(reps) for b, t in reps[:k] if len(s & t) >= 0.8 * len(s | t)}
-    assert {(r["class_a"], r["class_b"]) for r in pairs.collect()} == want
+def test_spotsigs_classes(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    common = spotsigs.common_words(docs)
+    assert "the" in common and "de" in common
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spotsigs.spots(F.col("text"), common).alias("s")).withColumn("node", F.xxhash64("s"))
+    rows = [(r["doc_id"], frozenset(r["s"]), r["node"]) for r in sets.collect()]
+    having = {}
+    for k, (_, s, _) in enumerate(rows):
+        for x in s or {None}:
+            having.setdefault(x, []).append(k)
+    tried = {(a, b) for ids in having.values() for i, a in enumerate(ids) for b in ids[:i]}
+    whole = least([(a, b) for a, b in tried if jaccard(rows[a][1], rows[b][1]) >= 0.8], len(rows))
+    want = {rows[k][0]: min(rows[m][0] for m in range(len(rows)) if whole[m] == whole[k]) for k in range(len(rows))}
+    classes = {r["node"]: r["near_class"] for r in spotsigs.near_classes(sets).collect()}
+    assert {i: classes[node] for i, _, node in rows} == want and len(set(want.values())) < len(rows)
+
+
+def test_spotsigs_turns(spark, monkeypatch):
+    """Sets that the stars leave apart, over two partitions of lengths and in crowded spots."""
+    monkeypatch.setattr(spotsigs, "BLOCK", 4)
+    rng = random.Random(4)
+    base = [sorted(rng.sample(range(1, 10**6), 20)) for _ in range(12)]
+    sets = []
+    for b in base:
+        for drop in range(3):
+            sets.append(sorted(set(b[drop:]) | {10**7 + rng.randrange(10**6) for _ in range(drop)}))
+    sets += [[5], [5, 6], [5, 6, 7, 8], [5, 6, 7, 8, 9]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "doc_id long, s array<int>").withColumn("node", F.xxhash64("s"))
+    got = {r["node"]: r["near_class"] for r in spotsigs.near_classes(df).collect()}
+    whole = least([(a, b) for a in range(len(sets)) for b in range(a) if jaccard(set(sets[a]), set(sets[b])) >= 0.8], len(sets))
+    assert [got[r["node"]] for r in df.orderBy("doc_id").collect()] == whole
 
 
 # -- mixing ----------------------------------------------------------------------------------------------------------
