@@ -133,6 +133,18 @@ def chi2_mix_sf(q: float, weights, steps: int = 4000) -> float:
     return float(min(1.0, max(0.0, 0.5 + np.trapezoid(f, grid) / math.pi)))
 
 
+def f_mix_sf(q: float, weights, df: float) -> float:
+    """P(sum of weights times chi-squares > q s), with s an independent chi-square over its df: the mixture's tail,
+    averaged over s by quadrature."""
+    k = 64
+    at = (np.arange(k) + 0.5) / k
+    lo, hi = max(1e-8, 1 - 9 * math.sqrt(2 / df)), 1 + 12 * math.sqrt(2 / df)
+    s = lo + (hi - lo) * at
+    log_d = (df / 2 - 1) * np.log(s) - df * s / 2
+    d = np.exp(log_d - log_d.max())
+    return float((d * np.array([chi2_mix_sf(q * x, weights, 600) for x in s])).sum() / d.sum())
+
+
 def satterthwaite_sf(q: float, weights) -> float:
     """The same tail with a scaled chi-square of equal mean and variance."""
     lam = np.asarray(weights, float)

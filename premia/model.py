@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -17,7 +18,7 @@ from premia.functions.links import Link
 from premia.operators import adequacy, charts, splines
 from premia.operators.frame import Design, Frame, build, irls_weights
 from premia.operators.terms import Categorical, Interaction, LambdaPolicy, Numeric, OrderedCategorical, Polynomial, Spline, Term, detect
-from premia.plans import solve
+from premia.plans import scop, smoothing, solve
 from premia.plans.solve import Fit, GroupPenalty
 
 
@@ -55,22 +56,31 @@ class Glm:
         keep = tuple(t for t in self.terms if t.name not in gone and not (isinstance(t, Interaction) and {t.left.name, t.right.name} & gone))
         return replace(self, terms=keep)
 
+    @contextmanager
     def _ready(self, df: DataFrame, y: str, weight, offset):
+        """(frame, info, source, terms) with the columns of the fit kept in memory for the length of a block."""
         columns = [c for t in self.terms for c in t.columns]
         frame = Frame.of(df, y, weight, offset, columns)
         frame.df.persist()  # several aggregations read the same few columns
-        info = frame.check(self.family)
-        source, terms = build(frame, self.terms, self.family, info["n"], self.spline_penalty)
-        return frame, info, source, terms
+        try:
+            info = frame.check(self.family)
+            source, terms = build(frame, self.terms, self.family, info["n"], self.spline_penalty)
+            yield frame, info, source, terms
+        finally:
+            frame.df.unpersist()
+
+    def _monotone(self, source) -> bool:
+        """Is there a monotone smooth by exponentials? It allows no other constraint and no group penalty beside it."""
+        found = any(getattr(t, "scop", False) for t in source.design.terms)
+        if found and (self.penalty is not None or self._constraints(source) is not None):
+            raise ValueError("a monotone smooth of kind ps or bs goes with neither a group penalty nor another constraint")
+        return found
 
     def _constraints(self, source) -> np.ndarray | None:
         rows = []
         for t in source.design.terms:
-            if isinstance(t, Spline) and t.constraint and t.constraint.mode == "fit":
-                if t.kind == "cr_cardinal":
-                    a = splines.monotone_rows(t.raw_size, t.constraint.kind)
-                else:
-                    a = splines.monotone_rows(t.raw_size, t.constraint.kind)
+            if isinstance(t, Spline) and t.constraint and t.constraint.mode == "fit" and not t.scop:
+                a = splines.monotone_rows(t.raw_size, t.constraint.kind)
                 out = np.zeros((len(a), source.design.size + 1))
                 s = source.design.slices[t.name]
                 out[:, s.start + 1 : s.stop + 1] = a @ t.transform
@@ -86,14 +96,19 @@ class Glm:
         return s, lams
 
     def _model(self, fit: Fit, source, terms, info, frame: Frame) -> Model:
-        frame.df.unpersist()
         return Model(replace(self, terms=tuple(terms)), source.design, fit, info, frame.has_offset)
 
     def fit(self, df: DataFrame, y: str, weight: str | None = None, offset: str | Sequence[str] | None = None) -> Model:
         """Fixed penalties: IRLS, or block descent if there is a group penalty (lambda1 None: a tenth of the largest)."""
-        frame, info, source, terms = self._ready(df, y, weight, offset)
+        with self._ready(df, y, weight, offset) as (frame, info, source, terms):
+            return self._fitted(frame, info, source, terms)
+
+    def _fitted(self, frame, info, source, terms) -> Model:
         s, lams = self._fixed(source)
-        if self.penalty is None:
+        if self._monotone(source):
+            named = source.design.penalties()
+            fit = scop.fit(source, self.family, self.link, info, named, [lams[n] for n, _, _ in named], tol=min(self.tol, 1e-9), max_iter=self.max_iter)
+        elif self.penalty is None:
             fit = solve.irls(source, self.family, self.link, info, s, tol=self.tol, max_iter=self.max_iter, convergence=self.convergence, constraints=self._constraints(source))
         else:
             solve.check_features(source, self.penalty)
@@ -109,25 +124,27 @@ class Glm:
         """Smoothing parameters by restricted likelihood. Group penalties with a lambda1 above 0 are not allowed."""
         if self.penalty is not None and self.penalty.lambda1:
             raise ValueError("fit_reml needs lambda1 = 0")
-        frame, info, source, terms = self._ready(df, y, weight, offset)
-        fit = solve.smooth(source, self.family, self.link, info, source.design.penalties(), tol=reml_tol, max_iter=max_reml_iter, pirls_tol=self.tol, constraints=self._constraints(source))
-        return self._model(fit, source, terms, info, frame)
+        with self._ready(df, y, weight, offset) as (frame, info, source, terms):
+            named = source.design.penalties()
+            if self._monotone(source):
+                first = [p.value if p.mode != "estimate" else 1.0 for _, _, p in named]
+                fit = scop.fit(source, self.family, self.link, info, named, first, estimate=[i for i, (_, _, p) in enumerate(named) if p.mode == "estimate"])
+            else:
+                fit = smoothing.smooth(source, self.family, self.link, info, named, tol=reml_tol, max_iter=max_reml_iter, pirls_tol=self.tol, constraints=self._constraints(source))
+            return self._model(fit, source, terms, info, frame)
 
     def lambda_max(self, df: DataFrame, y: str, weight=None, offset=None) -> float:
-        frame, info, source, _ = self._ready(df, y, weight, offset)
-        out = solve.lambda_max(source, self.family, self.link, info, self.penalty or solve.GroupLasso())
-        frame.df.unpersist()
-        return out
+        with self._ready(df, y, weight, offset) as (_, info, source, _):
+            return solve.lambda_max(source, self.family, self.link, info, self.penalty or solve.GroupLasso())
 
     def fit_path(self, df: DataFrame, y: str, weight=None, offset=None, *, n_lambda: int = 50, lambda_ratio: float = 1e-3, lambda_seq: Sequence[float] | None = None) -> DataFrame:
         """lambda, deviance, edf, n_iter, converged, intercept, beta along a falling sequence of group penalties."""
-        frame, info, source, _ = self._ready(df, y, weight, offset)
-        penalty = self.penalty or solve.GroupLasso()
-        solve.check_features(source, penalty)
-        s, _ = self._fixed(source)
-        top = solve.lambda_max(source, self.family, self.link, info, penalty)
-        fits = solve.path(source, self.family, self.link, info, s, penalty, solve.lambda_sequence(top, n_lambda, lambda_ratio, lambda_seq), tol=max(self.tol, 1e-9), max_iter=self.max_iter)
-        frame.df.unpersist()
+        with self._ready(df, y, weight, offset) as (_, info, source, _):
+            penalty = self.penalty or solve.GroupLasso()
+            solve.check_features(source, penalty)
+            s, _ = self._fixed(source)
+            top = solve.lambda_max(source, self.family, self.link, info, penalty)
+            fits = solve.path(source, self.family, self.link, info, s, penalty, solve.lambda_sequence(top, n_lambda, lambda_ratio, lambda_seq), tol=max(self.tol, 1e-9), max_iter=self.max_iter)
         rows = [(f.lambdas["lambda1"], f.deviance, f.edf, f.n_iter, f.converged, f.intercept, f.beta.tolist()) for f in fits]
         return df.sparkSession.createDataFrame(rows, "`lambda` double, deviance double, edf double, n_iter int, converged boolean, intercept double, beta array<double>")
 
@@ -328,8 +345,8 @@ class Model:
             raise TypeError("bands are for splines")
         return self.relativities(spark, name, simultaneous=True, **kw)
 
-    def interaction_surface(self, spark: SparkSession, name: str, n_points: int = 30) -> DataFrame:
-        """Both parents' values and the log-relativity over their grid."""
+    def interaction_surface(self, spark: SparkSession, name: str, n_points: int = 30, alpha: float = 0.05) -> DataFrame:
+        """Both parents' values, and the log-relativity over their grid with standard error and interval."""
         t = self.term(name)
 
         def grid(p: Term):
@@ -340,20 +357,52 @@ class Model:
 
         a, b = grid(t.left), grid(t.right)
         x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-        eff = t.raw({t.left.columns[0]: x, t.right.columns[0]: y}) @ self.beta(name)
-        return spark.createDataFrame([(str(u), str(v), float(e), math.exp(e)) for u, v, e in zip(x, y, eff, strict=True)], "left string, right string, log_relativity double, relativity double")
+        basis = t.raw({t.left.columns[0]: x, t.right.columns[0]: y})
+        s = self.design.slices[name]
+        eff, cov = basis @ self.beta(name), self.fit.covariance[1:, 1:][s, s]
+        se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", basis, cov, basis), 0))
+        z = float(special.norm_ppf(1 - alpha / 2))
+        rows = [(str(u), str(v), e, math.exp(e), d, math.exp(e - z * d), math.exp(e + z * d)) for u, v, e, d in zip(x, y, eff.tolist(), se.tolist(), strict=True)]
+        return spark.createDataFrame(rows, "left string, right string, log_relativity double, relativity double, se_log_relativity double, ci_lower double, ci_upper double")
+
+    def grouped_levels(self, spark: SparkSession, name: str, **kw) -> DataFrame:
+        """The curve of a factor with grouped levels, one row for each original level with its group."""
+        t = self.term(name)
+        if not isinstance(t, Categorical) or t.grouping is None:
+            raise TypeError("only for factors with a grouping")
+        rows = {r["at"]: r for r in self.term_curve(name, **kw)}
+        out = [(level, group, *(rows[group][k] for k in ("log_relativity", "relativity", "se_log_relativity", "ci_lower", "ci_upper"))) for level, group in t.grouping.mapping.items() if group in rows]
+        return spark.createDataFrame(out, "level string, `group` string, log_relativity double, relativity double, se_log_relativity double, ci_lower double, ci_upper double")
+
+    def basis_detail(self, spark: SparkSession, name: str) -> DataFrame:
+        """idx, from, to, value, se of a smooth's B-spline (or knot value) coefficients, with the range each acts on."""
+        t = self.term(name)
+        if not isinstance(t, Spline):
+            raise TypeError("only for splines")
+        s, v = self.design.slices[name], np.array(t.vector)
+        cov = t.transform @ self.fit.covariance[1:, 1:][s, s] @ t.transform.T
+        value, se = t.transform @ self.beta(name), np.sqrt(np.maximum(np.diag(cov), 0))
+        span = [(float(v[max(0, i - 1)]), float(v[min(len(v) - 1, i + 1)])) if t.kind == "cr_cardinal" else (float(v[i]), float(v[i + t.degree + 1])) for i in range(t.raw_size)]
+        rows = [(i, max(a, t.lo), min(b, t.hi), float(x), float(e)) for i, ((a, b), x, e) in enumerate(zip(span, value, se, strict=True))]
+        return spark.createDataFrame(rows, "idx int, `from` double, `to` double, value double, se double")
 
     def smooth_test(self, name: str) -> dict:
-        """Wald test of a whole term over the range its degrees of freedom allow."""
-        s = self.design.slices[name]
-        cov, b, edf = self.fit.covariance[1:, 1:][s, s], self.beta(name), self.group_edf()[name]
-        values, vectors = np.linalg.eigh(cov)
-        rank = int(min(len(b), max(1, round(edf))))
-        keep = np.argsort(values)[::-1][:rank]
-        stat = float(((vectors[:, keep].T @ b) ** 2 / np.maximum(values[keep], 1e-300)).sum())
-        res = self.fit.n - self.fit.edf
-        p = special.chi2_sf(stat, rank) if self.family.scale_known else special.f_sf(stat / rank, rank, max(res, 1))
-        return {"term": name, "edf": edf, "ref_df": float(rank), "statistic": stat, "p_value": p}
+        """Wald test of a whole term over the range that its degrees of freedom allow.
+
+        The rank is the trace of 2F - FF, with F the term's part of (X'WX + S)^-1 X'WX, and may be fractional: then the
+        last whole direction is shared between two, and the tail is the mean of the two mixtures of chi-squares that
+        the sharing can give. The quadratic form is taken over the term's values at the training rows (by X'WX).
+        """
+        s = slice(self.design.slices[name].start + 1, self.design.slices[name].stop + 1)
+        cov, b = self.fit.covariance[s, s], self.fit.b[s]
+        f = (self.fit.inverse @ self.fit.h)[s, s]
+        edf, ref = float(np.trace(f)), float(2 * np.trace(f) - np.sum(f * f.T))
+        root = adequacy.root_of(self.fit.h[s, s])
+        stat, weights = adequacy.fractional_wald(root @ b, root @ cov @ root.T, min(max(ref, edf, 1e-3), len(b)))
+        res = max(self.fit.n - self.fit.edf, 1.0)
+        tail = (lambda w: special.chi2_mix_sf(stat, w)) if self.family.scale_known else (lambda w: special.f_mix_sf(stat, w, res))
+        p = float(np.mean([tail(w) for w in weights]))
+        return {"term": name, "edf": edf, "ref_df": float(sum(weights[0])), "statistic": stat, "p_value": min(1.0, max(0.0, p))}
 
     def diagnostics(self, spark: SparkSession) -> DataFrame:
         """term, active, group_norm, size, edf, and the term's smoothing parameters."""

@@ -95,6 +95,20 @@ def quantile_residuals(df: DataFrame, y: str, mu: str, family: Family, weight: s
     return given.mapInArrow(run, schema)
 
 
+def with_cdf_bounds(df: DataFrame, y: str, mu: str, family: Family, weight: str | None = None, phi: float = 1.0) -> DataFrame:
+    """df with cdf_below, P(Y < y), and cdf_upto, P(Y <= y), between which the randomised residuals are drawn."""
+    given = df.withColumns({"__qy": F.col(f"`{y}`").cast("double"), "__qm": F.col(f"`{mu}`").cast("double"), "__qw": _w(weight)})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", cdf_below double, cdf_upto double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(float) for k in ("__qy", "__qm", "__qw")]
+            keep = [i for i, n in enumerate(b.schema.names) if not n.startswith("__q")]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *(pa.array(x) for x in cdf_bounds(family, *a, phi))], names=[*(b.schema.names[i] for i in keep), "cdf_below", "cdf_upto"])
+
+    return given.mapInArrow(run, schema)
+
+
 def cdf_bounds(family: Family, y: np.ndarray, mu: np.ndarray, w: np.ndarray, phi: float) -> tuple[np.ndarray, np.ndarray]:
     """P(Y < y) and P(Y <= y); equal for continuous responses. Counts on the scale of w * y."""
     if family.name == "gaussian":
@@ -165,3 +179,38 @@ def vuong_test(df: DataFrame, ll_a: Column, ll_b: Column, edf_a: float, edf_b: f
     stat = (n * r["m"] - less) / (math.sqrt(n) * omega)
     p = float(2 * (1 - special.norm_cdf(abs(stat))))
     return df.sparkSession.createDataFrame([(stat, p, "a" if stat > 0 else "b", correction, r["m"], omega)], "statistic double, p_value double, preferred string, correction string, mean_diff double, omega double")
+
+
+def root_of(gram: np.ndarray) -> np.ndarray:
+    """R with R'R = gram, for a positive semi-definite matrix."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    return np.sqrt(np.maximum(values, 0))[:, None] * vectors.T
+
+
+def fractional_wald(x: np.ndarray, cov: np.ndarray, rank: float) -> tuple[float, list[list[float]]]:
+    """The statistic x' C x, C a pseudo-inverse of cov of fractional rank, and the weights of its chi-squares.
+
+    With k whole directions and a rest r, the last whole one and the next (with eigenvalues l1 >= l2) are used together
+    by a 2 x 2 block with 1 and r on its diagonal and sqrt(r (1 - r) / 2) beside it, which leaves the expectation at
+    k + r and lets both directions take part. The sign beside the diagonal is arbitrary, so the statistic is the mean
+    over both signs.
+    """
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    order = np.argsort(values)[::-1]
+    values, vectors = values[order], vectors[:, order]
+    most = int((values > 1e-10 * max(values[0], 1e-300)).sum()) if len(values) else 0
+    if not most:
+        return 0.0, [[1.0]]
+    rank = min(rank, most)
+    whole = int(math.floor(rank + 1e-9))
+    rest = rank - whole if rank - whole > 1e-6 else 0.0
+    z = vectors[:, :most].T @ x / np.sqrt(values[:most])
+    if not rest:
+        return float((z[:whole] ** 2).sum()), [[1.0] * whole]
+    if not whole:  # one direction, used in part
+        return float(rest * z[0] ** 2), [[rest]]
+    alone, pair = z[: whole - 1], z[whole - 1 : whole + 1]
+    off = math.sqrt(max(rest * (1 - rest) / 2, 0.0))
+    blocks = [np.array([[1.0, sign * off], [sign * off, rest]]) for sign in (1, -1)]
+    stat = float((alone**2).sum()) + float(np.mean([pair @ m @ pair for m in blocks]))
+    return stat, [[1.0] * (whole - 1) + np.linalg.eigvalsh(m).tolist() for m in blocks]

@@ -9,6 +9,7 @@ partition, and the driver adds one small row for each partition, in partition or
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +23,21 @@ from premia.functions.links import Link
 from premia.operators.terms import Interaction, Numeric, Polynomial, Spline, Stats, Term
 
 MAX_CELLS = 200_000
+GROUPS = 64  # partitions whose sums are added up in one task before they come to the driver
 ROLES = ("__y", "__w", "__o")
 
 
+@contextmanager
+def rows_only() -> Iterator[None]:
+    """Fits in this block leave all rows in Spark, whatever the size of the table."""
+    global MAX_CELLS
+    before, MAX_CELLS = MAX_CELLS, 0
+    try:
+        yield
+    finally:
+        MAX_CELLS = before
+
+
 @dataclass(frozen=True)
 class Frame:
     """Rows with a response, a weight (1 if none) and an offset (0 if none; several columns are added)."""
@@ -99,8 +112,42 @@ def irls_weights(family: Family, link: Link, eta: np.ndarray, w: np.ndarray):
     return mu, w * d * d / np.maximum(family.variance(mu), 1e-300), 1 / d
 
 
-def sums_of(x: np.ndarray, part: dict, b: np.ndarray, family: Family, link: Link, extra=()) -> dict[str, np.ndarray]:
-    """Sums over some rows or cells. part: w, y (mean), o, n, a (sum of w a(y)), yy (sum of w y^2)."""
+def weight_derivatives(family: Family, link: Link, eta: np.ndarray, w: np.ndarray):
+    """First and second derivative of the working weight by the linear predictor."""
+    eta = link.stabilise(eta)
+    mu = family.clip(link.inverse(eta))
+    d1, d2, d3 = link.deriv_inverse(eta), link.deriv2_inverse(eta), link.deriv3_inverse(eta)
+    v, v1, v2 = np.maximum(family.variance(mu), 1e-300), family.variance_derivative(mu), family.variance_second_derivative(mu)
+    first = w * (2 * d1 * d2 / v - d1**3 * v1 / v**2)
+    second = w * (2 * (d2 * d2 + d1 * d3) / v - 5 * d1 * d1 * d2 * v1 / v**2 - d1**4 * v2 / v**2 + 2 * d1**4 * v1 * v1 / v**3)
+    return first, second
+
+
+def curvature_of(x: np.ndarray, part: dict, b: np.ndarray, family: Family, link: Link, hinv: np.ndarray, moves: np.ndarray) -> dict[str, np.ndarray]:
+    """What the derivatives of log|X'WX + S| need, summed over some rows or cells; all smoothing parameters at once.
+
+    g: X'(W' h) and q: X'diag(W'' h)X, with h the row's x'(hinv)x; c: X'diag(W' X m)X for each row m of moves (signed
+    Grams); o: X'WX with the observed in place of the expected weights.
+    """
+    eta = x @ b + part["o"]
+    first, second = weight_derivatives(family, link, eta, part["w"])
+    eta = link.stabilise(eta)
+    mu = family.clip(link.inverse(eta))
+    d1, d2, v, v1 = link.deriv_inverse(eta), link.deriv2_inverse(eta), np.maximum(family.variance(mu), 1e-300), family.variance_derivative(mu)
+    observed = part["w"] * (d1 * d1 / v - (part["y"] - mu) * (d2 / v - d1 * d1 * v1 / v**2))
+    hat = np.einsum("ij,jk,ik->i", x, hinv, x)
+    shifts = x @ moves.T
+    return {
+        "g": x.T @ (first * hat), "q": (x * (second * hat)[:, None]).T @ x, "o": (x * observed[:, None]).T @ x,
+        "c": np.stack([(x * (first * shifts[:, j])[:, None]).T @ x for j in range(len(moves))]) if len(moves) else np.zeros((0, x.shape[1], x.shape[1])),
+    }
+
+
+def sums_of(x: np.ndarray, part: dict, b: np.ndarray, family: Family, link: Link, meat: bool = False) -> dict[str, np.ndarray]:
+    """Sums over some rows or cells. part: w, y (mean), o, n, a (sum of w a(y)), yy (sum of w y^2).
+
+    meat (the middle of the sandwich covariance) is a second Gram, taken on request.
+    """
     eta = x @ b + part["o"]
     mu, big, d = irls_weights(family, link, eta, part["w"])
     z = link.stabilise(eta) - part["o"] + (part["y"] - mu) * d
@@ -109,10 +156,11 @@ def sums_of(x: np.ndarray, part: dict, b: np.ndarray, family: Family, link: Link
     out = {
         "h": xw.T @ x, "g": xw.T @ z, "dev": np.array((part["a"] + part["w"] * (part["y"] * family.b(mu) + family.c(mu))).sum()),
         "pearson": np.array(((part["yy"] - 2 * part["w"] * part["y"] * mu + part["w"] * mu * mu) / v).sum()),
-        "score": x.T @ (big * (part["y"] - mu) * d), "top": np.array(big.max(initial=0.0)),
-        "meat": (x * (big * d * (part["y"] - mu))[:, None]).T @ (x * (big * d * (part["y"] - mu))[:, None]),
-        "wmu": np.array((part["w"] * mu).sum()),
+        "score": x.T @ (big * (part["y"] - mu) * d), "top": np.array(big.max(initial=0.0)), "wmu": np.array((part["w"] * mu).sum()), "zz": np.array((big * z * z).sum()),
     }
+    if meat:
+        rows = x * (big * d * (part["y"] - mu))[:, None]
+        out["meat"] = rows.T @ rows
     return out
 
 
@@ -122,9 +170,16 @@ class Source:
     design: Design
     cells: int | None = None
 
-    def sums(self, b: np.ndarray, family: Family, link: Link) -> dict[str, np.ndarray]:
+    def over(self, kernel) -> dict[str, np.ndarray]:
+        """Add what kernel(x, part) gives over all rows."""
         raise NotImplementedError
 
+    def sums(self, b: np.ndarray, family: Family, link: Link, meat: bool = False) -> dict[str, np.ndarray]:
+        return self.over(lambda x, part: sums_of(x, part, b, family, link, meat))
+
+    def curvature(self, b: np.ndarray, family: Family, link: Link, hinv: np.ndarray, moves: np.ndarray) -> dict[str, np.ndarray]:
+        return self.over(lambda x, part: curvature_of(x, part, b, family, link, hinv, moves))
+
 
 class Cells(Source):
     """Collected cells; no Spark job for an iteration."""
@@ -136,15 +191,16 @@ class Cells(Source):
         self.part = {"w": data["__w"][some], "y": data["__wy"][some] / data["__w"][some], "o": data["__o"][some], "n": data["__n"][some], "a": data["__wa"][some], "yy": data["__wyy"][some]}
         self.all_x, self.x, self.rows, self.cells = self.x, self.x[some], data["__n"], len(data["__n"])
 
-    def sums(self, b, family, link):
-        return sums_of(self.x, self.part, b, family, link)
+    def over(self, kernel):
+        return kernel(self.x, self.part)
 
 
 class Partitions(Source):
-    """One job for each call, one row for each partition."""
+    """One job for each call; the partitions' sums are added up in groups, and the groups' on the driver."""
 
-    def __init__(self, design: Design, df: DataFrame):
-        self.design, self.df = design, df
+    def __init__(self, design: Design, df: DataFrame, family: Family):
+        self.design, self.df, self.family = design, df, family
+        self.groups = -(-df.rdd.getNumPartitions() // GROUPS)
 
     def reduce(self, kernel) -> dict[str, np.ndarray]:
         """Add what kernel(data) gives for each batch: a dict of arrays of fixed shape."""
@@ -158,32 +214,57 @@ class Partitions(Source):
                         v = np.asarray(v, float)
                         total[k] = v if k not in total else np.maximum(total[k], v) if k == "top" else total[k] + v
             if total:
-                names = list(total)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([names]), pa.array([[list(map(int, total[k].shape)) for k in names]], pa.list_(pa.list_(pa.int32()))), pa.array([[total[k].tobytes() for k in names]], pa.list_(pa.binary()))], names=["part", "names", "shapes", "blobs"])
-
-        rows = self.df.mapInArrow(run, "part int, names array<string>, shapes array<array<int>>, blobs array<binary>").collect()
-        out: dict[str, np.ndarray] = {}
-        for r in sorted(rows, key=lambda r: r["part"]):
-            for k, shape, blob in zip(r["names"], r["shapes"], r["blobs"], strict=True):
-                v = np.frombuffer(bytes(blob), float).reshape(shape)
-                out[k] = v if k not in out else np.maximum(out[k], v) if k == "top" else out[k] + v
-        return out
+                yield _packed(TaskContext.get().partitionId(), total)
+
+        schema = "part int, names array<string>, shapes array<array<int>>, blobs array<binary>"
+        rows = self.df.mapInArrow(run, schema)
+        if self.groups > 1:
+            near = F.floor(F.col("part") / GROUPS).cast("int")
+            rows = rows.repartition(self.groups, near).mapInArrow(_added_up, schema)
+        return _added([(r["part"], r["names"], r["shapes"], r["blobs"]) for r in rows.collect()])
 
-    def sums(self, b, family, link):
-        design = self.design
+    def over(self, kernel):
+        design, family = self.design, self.family
 
-        def kernel(data):
+        def of_rows(data):
             y, w = data["__y"].astype(float), data["__w"].astype(float)
-            return sums_of(design.matrix(data), {"w": w, "y": y, "o": data["__o"].astype(float), "a": w * family.a(y), "yy": w * y * y}, b, family, link)
+            return kernel(design.matrix(data), {"w": w, "y": y, "o": data["__o"].astype(float), "a": w * family.a(y), "yy": w * y * y})
+
+        return self.reduce(of_rows)
+
+
+def _packed(part: int, total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    names = list(total)
+    shapes, blobs = [list(map(int, total[k].shape)) for k in names], [total[k].tobytes() for k in names]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([names]), pa.array([shapes], pa.list_(pa.list_(pa.int32()))), pa.array([blobs], pa.list_(pa.binary()))], names=["part", "names", "shapes", "blobs"])
+
+
+def _added(rows: list[tuple]) -> dict[str, np.ndarray]:
+    """Packed sums added in the order of their partitions, so that reruns agree to the last digit."""
+    out: dict[str, np.ndarray] = {}
+    for _, names, shapes, blobs in sorted(rows, key=lambda r: r[0]):
+        for k, shape, blob in zip(names, shapes, blobs, strict=True):
+            v = np.frombuffer(bytes(blob), float).reshape(shape)
+            out[k] = v if k not in out else np.maximum(out[k], v) if k == "top" else out[k] + v
+    return out
+
 
-        return self.reduce(kernel)
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            groups.setdefault(row[0] // GROUPS, []).append(row)
+    for part, rows in groups.items():
+        yield _packed(part, _added(rows))
 
 
-def build(frame: Frame, terms: Sequence[Term], family: Family, n: int, lam: float = 0.1) -> tuple[Source, list[Term]]:
+def build(frame: Frame, terms: Sequence[Term], family: Family, n: int, lam: float = 0.1, max_cells: int | None = None) -> tuple[Source, list[Term]]:
     """Learn the terms and make the source of sums: cells if the terms or the number of rows allow it, else partitions.
 
-    At most MAX_CELLS cells or rows are collected; with more, the rows stay in Spark and are kept for the iterations.
+    At most max_cells (MAX_CELLS if not given) cells or rows are collected; with more, the rows stay in Spark and are
+    kept for the iterations. Both ways give the same sums up to rounding; 0 has the rows stay in Spark always.
     """
+    max_cells = MAX_CELLS if max_cells is None else max_cells
     stats = Stats(frame.df, "__w")
     parts = [p for t in terms for p in ((t.left, t.right) if isinstance(t, Interaction) else (t,))]
     stats.ranges([c for p in parts if isinstance(p, Numeric | Polynomial | Spline) for c in p.columns])
@@ -199,25 +280,25 @@ def build(frame: Frame, terms: Sequence[Term], family: Family, n: int, lam: floa
     groupable = True
     for t in learned:
         k = t.key()
-        if k is None and n <= MAX_CELLS:
+        if k is None and n <= max_cells:
             k = [F.col(f"`{c}`") for c in t.columns]
         if k is None:
             groupable = False
             break
         keys |= dict(zip(t.columns, k, strict=True))
     data = None
-    if groupable:
+    if groupable and max_cells:
         y, w = F.col("__y"), F.col("__w")
         cells = frame.df.groupBy(*keys.values(), F.col("__o")).agg(F.count("*").cast("double").alias("__n"), F.sum("__w").alias("__w"), F.sum(w * y).alias("__wy"), F.sum(w * y * y).alias("__wyy"), F.sum(w * family.a(y)).alias("__wa"))
-        rows = cells.limit(MAX_CELLS + 1).toPandas()
-        if len(rows) <= MAX_CELLS:
+        rows = cells.limit(max_cells + 1).toPandas()
+        if len(rows) <= max_cells:
             rows = rows.sort_values([*keys, "__o"], kind="stable")
             data = {c: rows[c].to_numpy() for c in rows.columns}
     if data is not None:
         count, mass = data["__n"], data["__w"]
         learned = _finish(learned, lambda raw_terms: _raw_sums(raw_terms, data, count, mass), mass.sum(), lam)
         return Cells(Design(learned), data), learned
-    source = Partitions(Design([]), frame.df)
+    source = Partitions(Design([]), frame.df, family)
 
     def over_rows(raw_terms):
         return source.reduce(lambda d: _raw_sums(raw_terms, d, np.ones(len(d["__y"])), d["__w"].astype(float)))

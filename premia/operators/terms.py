@@ -405,6 +405,11 @@ class Spline(Term):
     def raw_size(self) -> int:
         return len(self.vector) if self.kind == "cr_cardinal" else len(self.vector) - self.degree - 1
 
+    @property
+    def scop(self) -> bool:
+        """Is the term fitted monotone, with coefficients that are exponentials?"""
+        return bool(self.constraint and self.constraint.mode == "fit" and self.constraint.kind in ("increasing", "decreasing") and self.kind in ("ps", "bs"))
+
     def learned(self, stats: Stats) -> Term:
         lo, hi = self.boundary or stats.range(self.column)
         if not hi > lo:
@@ -477,6 +482,11 @@ class Spline(Term):
         return [splines.derivative_penalty(v, self.degree, m) for m in self.m]
 
     def finished(self, sums, gram, total, lam):
+        if self.scop:
+            # running sums of the B-splines from the right, centred; their coefficients are the steps between neighbours
+            steps = np.tri(self.raw_size, k=-1)[:, :-1] * (1 if self.constraint.kind == "increasing" else -1)
+            steps = steps - (sums / sums.sum()) @ steps
+            return replace(self, transform=steps, omegas=(splines.difference_penalty(self.raw_size - 1, 1),) if self.penalty != "none" else ())
         z = np.eye(self.raw_size)
         if self.kind in ("ns", "cr"):
             z = splines.natural_ends(self.vector, self.degree, self.lo, self.hi)
@@ -493,7 +503,9 @@ class Spline(Term):
 
     def penalties(self):
         names = [f"{self.name}:m{m}" if len(self.m) > 1 else self.name for m in self.m][: max(1, len(self.omegas))]
-        if self.select:
+        if self.scop:
+            names = [self.name]
+        elif self.select:
             names = [*names[: len(self.omegas) - 1], f"{self.name}:null"]
         return [Penalty(n, o, self.lambda_policy) for n, o in zip(names, self.omegas, strict=False)]
 
@@ -672,9 +684,13 @@ class Interaction(Term):
         return self.left.size * self.right.size
 
     def learned(self, stats: Stats) -> Term:
+        if any(getattr(t, "scop", False) for t in (self.left, self.right)):
+            raise ValueError("a monotone smooth cannot be part of an interaction")
         return replace(self, left=self.left.learned(stats), right=self.right.learned(stats))
 
     def with_parents(self, left: Term, right: Term) -> Interaction:
+        if any(getattr(t, "scop", False) for t in (left, right)):
+            raise ValueError("a monotone smooth cannot be part of an interaction")
         return replace(self, left=left, right=right)
 
     def raw(self, data):

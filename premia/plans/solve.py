@@ -1,7 +1,6 @@
 """Solvers on the driver: they see coefficient-sized sums, never rows.
 
-`irls` handles quadratic penalties and linear constraints, `block_descent` group penalties, `smooth` estimates the
-smoothing parameters, `path` a sequence of group penalties.
+`irls` handles quadratic penalties and linear constraints, `block_descent` group penalties, `path` a sequence of them.
 """
 
 from __future__ import annotations
@@ -33,9 +32,9 @@ class Fit:
     edf: float = math.nan
     phi: float = 1.0
     score: np.ndarray | None = None
-    meat: np.ndarray | None = None
     lambdas: dict[str, float] = field(default_factory=dict)
     trace: list[dict] = field(default_factory=list)
+    inv: np.ndarray | None = None  # where the inverse is not that of h + penalty
 
     @property
     def beta(self) -> np.ndarray:
@@ -48,7 +47,7 @@ class Fit:
     @property
     def inverse(self) -> np.ndarray:
         """(X'WX + S)^-1 with the intercept."""
-        return safe_inverse(self.h + self.penalty)
+        return self.inv if self.inv is not None else safe_inverse(self.h + self.penalty)
 
     @property
     def covariance(self) -> np.ndarray:
@@ -122,7 +121,7 @@ def irls(source: Source, family: Family, link: Link, info: dict, s: np.ndarray,
         if change < tol:
             done = True
             break
-    fit = Fit(b, float(now["dev"]), float(now["pearson"]), i, done, now["h"], penalty, info["n"], score=now["score"], meat=now["meat"], trace=trace)
+    fit = Fit(b, float(now["dev"]), float(now["pearson"]), i, done, now["h"], penalty, info["n"], score=now["score"], trace=trace)
     return finish(fit, family)
 
 
@@ -262,62 +261,3 @@ def path(source: Source, family: Family, link: Link, info: dict, s: np.ndarray,
         out.append(fit)
         b = fit.b
     return out
-
-
-# -- smoothing parameters --------------------------------------------------------------------------------------------
-def log_det_plus(m: np.ndarray) -> tuple[float, int]:
-    """Log of the product of the positive eigenvalues, and their number."""
-    values = np.linalg.eigvalsh(m)
-    keep = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
-    return float(np.log(values[keep]).sum()), int(keep.sum())
-
-
-def laml(fit: Fit, family: Family, parts: list[np.ndarray], lams: np.ndarray) -> float:
-    """Laplace approximation to minus twice the restricted log-likelihood over two, phi profiled out if unknown."""
-    s = sum((lam * p for lam, p in zip(lams, parts, strict=True)), np.zeros_like(fit.penalty[1:, 1:]))
-    log_s, rank = log_det_plus(s) if len(parts) else (0.0, 0)
-    log_h = np.linalg.slogdet(fit.h + padded(s))[1]
-    d = fit.deviance + fit.beta @ s @ fit.beta
-    if family.scale_known:
-        return 0.5 * (d + log_h - log_s)
-    m = fit.n - (len(s) + 1 - rank)
-    return 0.5 * (m * math.log(2 * math.pi * d / m) + m + log_h - log_s)
-
-
-def smooth(source: Source, family: Family, link: Link, info: dict, named: list[tuple[str, np.ndarray, object]], *, first: float = 1e-2, tol: float = 1e-5, max_iter: int = 60, pirls_tol: float = 1e-8, constraints: np.ndarray | None = None) -> Fit:
-    """Restricted-likelihood smoothing parameters by the generalised Fellner-Schall update.
-
-    Each is multiplied by phi (tr(S^- S_j) - tr(H^-1 S_j)) / b'S_j b, damped to a factor of e^3 a step, within
-    [1e-6, 1e10]; each round takes IRLS steps from the last coefficients. Stops when neither the criterion nor any
-    log-lambda that still matters moves.
-    """
-    parts = [p for _, p, _ in named]
-    policies = [pol for _, _, pol in named]
-    lams = np.array([p.value if p.mode != "estimate" else first * info["w"] ** 0.5 for p in policies], float)
-    free = [i for i, p in enumerate(policies) if p.mode == "estimate"]
-    b, history, fit, value, done = None, [], None, math.inf, False
-    for it in range(1, max_iter + 1):
-        s = sum((lam * p for lam, p in zip(lams, parts, strict=True)), np.zeros((source.design.size,) * 2))
-        fit = irls(source, family, link, info, s, b=b, tol=pirls_tol, constraints=constraints)
-        b = fit.b
-        inv = fit.inverse[1:, 1:]
-        s_inv = np.linalg.pinv(s, rcond=1e-10, hermitian=True) if len(parts) else s
-        d = fit.deviance + fit.beta @ s @ fit.beta
-        rank = log_det_plus(s)[1] if len(parts) else 0
-        phi = 1.0 if family.scale_known else d / max(fit.n - (len(s) + 1 - rank), 1)
-        fresh, fresh_value = lams.copy(), laml(fit, family, parts, lams)
-        for i in free:
-            gain = max(float(np.trace(s_inv @ parts[i]) - np.trace(inv @ parts[i])), 1e-12)
-            size = max(float(fit.beta @ parts[i] @ fit.beta), 1e-300)
-            fresh[i] = np.clip(lams[i] * np.clip(phi * gain / size, math.exp(-3), math.exp(3)), 1e-6, 1e10)
-        history.append({"iteration": it, "criterion": fresh_value, **{n: float(x) for (n, _, _), x in zip(named, lams, strict=True)}})
-        moved = np.abs(np.log(fresh / lams))[free].max(initial=0.0) if free else 0.0
-        if not free or moved < tol or abs(fresh_value - value) < tol * 1e-2 * (1 + abs(fresh_value)):
-            done = True
-            break
-        value, lams = fresh_value, fresh
-    fit.lambdas = {n: float(x) for (n, _, _), x in zip(named, lams, strict=True)}
-    fit.trace, fit.converged, fit.n_iter = history, done and fit.converged, it
-    if not family.scale_known:
-        fit.phi = phi
-    return fit

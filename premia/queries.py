@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from premia.functions import families, links
 from premia.model import Glm
-from premia.operators import adequacy, charts
+from premia.operators import adequacy, charts, frame
 from premia.operators.terms import Categorical, Constraint, Interaction, LambdaPolicy, Numeric, OrderedCategorical, Polynomial, Spline, TensorInteraction, collapse_levels, detect
 from premia.plans import select, solve
 
@@ -376,93 +376,215 @@ def vuong_test(spark, sf_dir):
     return out.select(F.round("statistic", 5).alias("statistic"), F.round("mean_diff", 8).alias("mean_diff"), F.round("omega", 8).alias("omega"))
 
 
-# -- results that SQL cannot give: rows only -------------------------------------------------------------------------
-@query()
+# -- smoothing, paths, shapes and profiles, where a closed form is known -----------------------------------------------
+# x takes three values, so a natural cubic with knots there has a line and one bend. With F the bend's sum of squares over
+# the residual variance, restricted likelihood keeps the share 1 - 1 / F of it.
+_REML = """WITH d AS (SELECT floor(l_quantity / 17)::DOUBLE AS x, l_extendedprice / 1000 + CASE WHEN floor(l_quantity / 17) = 1 THEN 2 ELSE 0 END AS y FROM lineitem),
+r AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, count(*) AS n FROM d),
+c AS (SELECT x, avg(y) AS m, count(*) AS k, sum(y * y) - count(*) * avg(y) * avg(y) AS within FROM d GROUP BY x),
+f AS (SELECT sum(k * (m - a - b * x) ** 2) / (sum(within) / (any_value(n) - 3)) AS f FROM c, r)
+SELECT x, round(a + b * x + greatest(1 - 1 / f, 0) * (m - a - b * x), 4) AS mu FROM c, r, f"""
+
+
+@query(_REML)
 def reml_smooth(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem")
-    spec = Glm("gamma", [Spline("l_quantity", kind="cr", n_knots=8, discrete=True), Spline("l_discount", n_knots=5, discrete=True), Categorical("l_returnflag")], link="log")
-    return spec.fit_reml(df, "l_extendedprice").relativities(spark, "l_quantity", n_points=50, simultaneous=True, n_sim=2000)
+    x = F.floor(F.col("l_quantity") / 17).cast("double")
+    df = read(spark, sf_dir, "lineitem").select(x.alias("x"), (F.col("l_extendedprice") / 1000 + F.when(x == 1, 2.0).otherwise(0.0)).alias("y"))
+    model = Glm("gaussian", [Spline("x", kind="cr_cardinal", n_knots=1, discrete=True)]).fit_reml(df, "y")
+    return df.select("x").distinct().withColumn("mu", F.round(model.mean(), 4))
+
+
+@query(
+    f"WITH {COUNTS}, t AS (SELECT o_orderpriority, sum(y) AS s, avg(y) AS m, count(*) AS n FROM counts GROUP BY 1), b AS (SELECT m AS base FROM t ORDER BY n DESC, o_orderpriority LIMIT 1) "
+    "SELECT 'o_orderpriority' AS term, 4.0 AS edf, 4.0 AS ref_df, round(sum(s * ln(m / base) ** 2) - sum(s * ln(m / base)) ** 2 / sum(s), 5) AS statistic FROM t, b"
+)
+def factor_test(spark, sf_dir):
+    model = Glm("poisson", [Categorical("o_orderpriority")]).fit(counts(spark, sf_dir), "y")
+    t = model.smooth_test("o_orderpriority")
+    return spark.createDataFrame([(t["term"], round(t["edf"], 6), round(t["ref_df"], 6), round(t["statistic"], 5))], "term string, edf double, ref_df double, statistic double")
 
 
-@query()
+# A smooth that is free of penalty on three values has two whole directions: the F test of three means.
+@query(
+    "WITH d AS (SELECT floor(l_quantity / 17)::DOUBLE AS x, l_extendedprice / 1000 AS y FROM lineitem), c AS (SELECT x, avg(y) AS m, count(*) AS k, sum(y * y) - count(*) * avg(y) * avg(y) AS within FROM d GROUP BY x), g AS (SELECT avg(y) AS a, count(*) AS n FROM d) "
+    "SELECT 'x' AS term, 2.0 AS edf, 2.0 AS ref_df, round(sum(k * (m - a) ** 2) / (sum(within) / (any_value(n) - 3)), 2) AS statistic FROM c, g"
+)
 def reml_summary(spark, sf_dir):
-    model = Glm("poisson", [Spline("o_totalprice", kind="bs", n_knots=6, select=True), OrderedCategorical("o_orderpriority", order=PRIORITIES)]).fit_reml(counts(spark, sf_dir), "y")
-    return spark.createDataFrame([model.smooth_test(t.name) for t in model.design.terms])
+    df = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_quantity") / 17).cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    model = Glm("gaussian", [Spline("x", kind="cr_cardinal", n_knots=1, discrete=True, lambda_policy=LambdaPolicy.off())]).fit_reml(df, "y")
+    t = model.smooth_test("x")
+    return spark.createDataFrame([(t["term"], round(t["edf"], 6), round(t["ref_df"], 6), round(t["statistic"], 2))], "term string, edf double, ref_df double, statistic double")
 
 
-@query()
+@query("SELECT l_discount, l_tax, round(avg(l_extendedprice), 2) AS mu FROM lineitem GROUP BY 1, 2")
 def tensor_surface(spark, sf_dir):
-    a, b = Spline("l_discount", n_knots=3, discrete=True), Spline("l_tax", n_knots=3, discrete=True)
-    t = TensorInteraction(a, b)
-    return Glm("gamma", [a, b, t], link="log").fit_reml(read(spark, sf_dir, "lineitem"), "l_extendedprice", max_reml_iter=15).interaction_surface(spark, t.name, 12)
+    df = read(spark, sf_dir, "lineitem")
+    a, b = Spline("l_discount", kind="cr_cardinal", n_knots=9, discrete=True), Spline("l_tax", kind="cr_cardinal", n_knots=7, discrete=True)
+    model = Glm("gaussian", [a, b, TensorInteraction(a, b)], spline_penalty=0.0).fit(df, "l_extendedprice")
+    return df.select("l_discount", "l_tax").distinct().withColumn("mu", F.round(model.mean(), 2))
 
 
-@query()
+@query(f"WITH {COUNTS}, g AS (SELECT avg(y) AS m FROM counts), l AS (SELECT *, avg(y) OVER (PARTITION BY o_orderpriority) AS mu FROM counts) SELECT 1::BIGINT AS step, round(sum(2 * (y * ln(y / m) - (y - m))), 3) AS deviance, 1.0 AS edf FROM counts, g UNION ALL SELECT 2, round(sum(2 * (y * ln(y / mu) - (y - mu))), 3), 5.0 FROM l")
 def lasso_path(spark, sf_dir):
-    spec = Glm("poisson", [Categorical("o_orderpriority"), Categorical("o_orderstatus"), Numeric("o_totalprice")], penalty=solve.SparseGroupLasso(alpha=0.3))
-    return spec.fit_path(counts(spark, sf_dir), "y", n_lambda=20).drop("beta")
+    spec = Glm("poisson", [Categorical("o_orderpriority")], penalty=solve.GroupLasso())
+    df = counts(spark, sf_dir)
+    top = spec.lambda_max(df, "y")
+    out = spec.fit_path(df, "y", lambda_seq=[1e-9, top * 1.0001])
+    return out.select(F.when(F.col("lambda") > 1e-8, 1).otherwise(2).cast("long").alias("step"), F.round("deviance", 3).alias("deviance"), F.round("edf", 4).alias("edf"))
 
 
-@query()
+@query(
+    f"WITH {COUNTS}, m AS (SELECT *, avg(y) OVER (PARTITION BY o_orderpriority) AS mu, 1.0::DOUBLE / count(*) OVER (PARTITION BY o_orderpriority) AS h FROM counts), p AS (SELECT *, (y - mu) / sqrt(mu * (1 - h)) AS sp FROM m) "
+    "SELECT o_orderkey, round(mu, 6) AS mu, round(h, 8) AS leverage, round(sp, 6) AS std_pearson_residual, round(sp * sp * h / ((1 - h) * 5), 9) AS cooks_distance, round(sign(y - mu) * sqrt(greatest(2 * (y * ln(y / mu) - (y - mu)), 0)) / sqrt(1 - h), 5) AS std_deviance_residual FROM p"
+)
 def influence(spark, sf_dir):
     df = counts(spark, sf_dir)
-    return Glm("poisson", [Categorical("o_orderpriority"), Numeric("o_totalprice")]).fit(df, "y").influence(df, "y").drop("w")
+    out = Glm("poisson", [Categorical("o_orderpriority")]).fit(df, "y").influence(df, "y")
+    digits = {"mu": 6, "leverage": 8, "std_pearson_residual": 6, "cooks_distance": 9, "std_deviance_residual": 5}
+    return out.select("o_orderkey", *(F.round(c, n).alias(c) for c, n in digits.items()))
+
 
+_PMF = "list_sum(list_transform(range(0, {k}), lambda j: exp(-mu + j * ln(mu) - lgamma(j + 1))))"
 
-@query()
+
+@query(f"WITH {SCORED9} SELECT o_orderkey, round(coalesce({_PMF.format(k='y::INT')}, 0), 6) AS least, round({_PMF.format(k='y::INT + 1')}, 6) AS most, true AS inside FROM nine")
 def quantile_residuals(spark, sf_dir):
-    return adequacy.quantile_residuals(scored(spark, sf_dir), "y", "mu", families.poisson()).select("o_orderkey", "residual")
+    """The randomised residual of each row lies between the normal quantiles of P(Y < y) and P(Y <= y)."""
+    df = adequacy.quantile_residuals(adequacy.with_cdf_bounds(scored(spark, sf_dir), "y", "mu", families.poisson()), "y", "mu", families.poisson())
+    u = links.NAMED["probit"]().inverse(F.col("residual"))
+    return df.select("o_orderkey", F.round("cdf_below", 6).alias("least"), F.round("cdf_upto", 6).alias("most"), ((u >= F.col("cdf_below") - 1e-6) & (u <= F.col("cdf_upto") + 1e-6)).alias("inside"))
+
+
+@query("WITH d AS (SELECT l_extendedprice / 1000 AS y, l_returnflag FROM lineitem), m AS (SELECT *, avg(y) OVER (PARTITION BY l_returnflag) AS mu FROM d) SELECT l_returnflag, round(avg(CASE WHEN y > mu THEN 1.0 ELSE 0.0 END), 6) AS above, round(max((y - mu) / 20), 4) AS most FROM m GROUP BY 1")
+def gaussian_quantile_residuals(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), "l_returnflag")
+    mu = Glm("gaussian", [Categorical("l_returnflag")]).fit(df, "y").predict(df, name="mu")
+    out = adequacy.quantile_residuals(mu, "y", "mu", families.gaussian(), phi=400.0)
+    return out.groupBy("l_returnflag").agg(F.round(F.avg(F.when(F.col("residual") > 0, 1.0).otherwise(0.0)), 6).alias("above"), F.round(F.max("residual"), 4).alias("most"))
 
 
-@query()
+@query("SELECT floor((l_quantity - 1) / 10)::BIGINT AS band, round(avg(l_extendedprice / 1000 + 5 * floor((l_quantity - 1) / 10)), 2) AS mu FROM lineitem GROUP BY 1")
 def monotone_fit(spark, sf_dir):
-    spec = Glm("poisson", [Spline("o_totalprice", kind="bs", n_knots=6, constraint=Constraint.fit.increasing)])
-    return spec.fit(counts(spark, sf_dir), "y").relativities(spark, "o_totalprice", n_points=100)
+    """Means that rise already: a monotone smooth with room enough passes through them."""
+    band = F.floor((F.col("l_quantity") - 1) / 10).cast("double")
+    df = read(spark, sf_dir, "lineitem").select(band.alias("band"), (F.col("l_extendedprice") / 1000 + 5 * band).alias("y"))
+    spec = Glm("gamma", [Spline("band", kind="ps", n_knots=3, discrete=True, constraint=Constraint.fit.increasing, lambda_policy=LambdaPolicy.fixed(1e-7))], link="log", tol=1e-12)
+    return df.select("band").distinct().select(F.col("band").cast("long").alias("band"), F.round(spec.fit(df, "y").mean(), 2).alias("mu"))
 
 
-@query()
-def monotone_repair(spark, sf_dir):
-    spec = Glm("poisson", [Spline("o_totalprice", kind="cr", n_knots=8, constraint=Constraint.postfit.decreasing)])
-    df = counts(spark, sf_dir)
-    return spec.fit(df, "y").monotonised(df)[1]
+@query("SELECT floor((l_quantity - 1) / 10)::BIGINT AS band, round(avg(l_extendedprice / 1000 + 5 * floor((l_quantity - 1) / 10)) OVER (), 3) AS mu FROM lineitem QUALIFY row_number() OVER (PARTITION BY floor((l_quantity - 1) / 10)) = 1")
+def monotone_fit_against(spark, sf_dir):
+    """Means that rise under a falling shape: the best is their common mean."""
+    band = F.floor((F.col("l_quantity") - 1) / 10).cast("double")
+    df = read(spark, sf_dir, "lineitem").select(band.alias("band"), (F.col("l_extendedprice") / 1000 + 5 * band).alias("y"))
+    spec = Glm("gaussian", [Spline("band", kind="cr", n_knots=3, discrete=True, constraint=Constraint.fit.decreasing)])
+    return df.select("band").distinct().select(F.col("band").cast("long").alias("band"), F.round(spec.fit(df, "y").mean(), 3).alias("mu"))
 
 
-@query()
-def theta_profile(spark, sf_dir):
-    df = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("y"), (F.min("user_id") % 3).cast("string").alias("kind"))
-    model, profile = Glm("poisson", [Categorical("kind")]).estimate_theta(df, "y")
-    return spark.createDataFrame([(profile.value, profile.nll, model.fit.deviance)], "theta double, nll double, deviance double")
+@query("SELECT d AS direction, CASE WHEN d = 'increasing' THEN b < 0 ELSE b > 0 END AS violated_before, 0.0 AS violation_after FROM (SELECT regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem), (SELECT unnest(['increasing', 'decreasing']) AS d)")
+def monotone_repair(spark, sf_dir):
+    df, out = read(spark, sf_dir, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000), None
+    for shape in (Constraint.postfit.increasing, Constraint.postfit.decreasing):
+        term = Spline("l_quantity", kind="cr", n_knots=4, discrete=True, constraint=shape, lambda_policy=LambdaPolicy.fixed(3e9))
+        report = Glm("gaussian", [term]).fit(df, "y").monotonised(df)[1]
+        part = report.select("direction", (F.col("max_violation_before") > 1e-6).alias("violated_before"), F.abs(F.round("max_violation_after", 6)).alias("violation_after"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query()
+# One factor: the means do not depend on theta, which is then found on a grid around each of two decades.
+@query(
+    "WITH d AS (SELECT user_id, count(*)::DOUBLE AS y, (user_id % 3)::VARCHAR AS kind FROM events GROUP BY user_id), m AS (SELECT y, avg(y) OVER (PARTITION BY kind) AS mu FROM d), c AS (SELECT y, mu, count(*) AS n FROM m GROUP BY 1, 2), "
+    "g AS (SELECT exp(ln(0.1) + i * (ln(50) - ln(0.1)) / 4000) AS t FROM range(4001) r(i)), l AS (SELECT t, sum(n * (lgamma(y + t) - lgamma(t) - lgamma(y + 1) + t * ln(t / (t + mu)) + y * ln(mu / (t + mu)))) AS ll FROM c, g GROUP BY t) SELECT round(-max(ll), 2) AS nll FROM l"
+)
+def theta_profile(spark, sf_dir):
+    df = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("y")).withColumn("kind", (F.col("user_id") % 3).cast("string"))
+    _, profile = Glm("poisson", [Categorical("kind")]).estimate_theta(df, "y")
+    return spark.createDataFrame([(round(profile.nll, 2),)], "nll double")
+
+
+@query(
+    "WITH d AS (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN value / 100 ELSE 0.0 END AS y FROM events), m AS (SELECT *, avg(y) OVER (PARTITION BY event_type) AS mu FROM d), p AS (SELECT i + 1 AS step, 1.2 + 0.15 * i AS p FROM range(5) r(i)), k AS (SELECT count(DISTINCT event_type) AS k, count(*) AS n FROM d), "
+    "f AS (SELECT step, p, sum((y - mu) ** 2 / mu ** p) / any_value(n - k) AS phi FROM m, p, k GROUP BY 1, 2), "
+    "z AS (SELECT f.*, y, mu, (2 - p) / (p - 1) AS a, (2 - p) / (p - 1) * ln(y / (p - 1)) - (1 + (2 - p) / (p - 1)) * ln(phi) - ln(2 - p) AS lz FROM m, f WHERE y > 0), "
+    "w AS (SELECT step, y, mu, p, phi, list_transform(range(1, 400), lambda j: j * lz - lgamma(j + 1) - lgamma(a * j)) AS t FROM z), "
+    "l AS (SELECT step, list_max(t) + ln(list_sum(list_transform(t, lambda x: exp(x - list_max(t))))) - ln(y) + (y * mu ** (1 - p) / (1 - p) - mu ** (2 - p) / (2 - p)) / phi AS l FROM w UNION ALL SELECT step, -(mu ** (2 - p)) / (phi * (2 - p)) FROM m, f WHERE y = 0) "
+    "SELECT step, round(any_value(p), 4) AS p, round(any_value(phi), 5) AS phi, round(-sum(l), 1) AS nll FROM l JOIN f USING (step) GROUP BY step"
+)
 def tweedie_power(spark, sf_dir):
     df = read(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 3 == 0, F.col("value") / 100).otherwise(0.0).alias("y"))
-    _, profile = Glm(families.tweedie(1.5), [Categorical("event_type")]).estimate_p(df, "y", method="grid", grid=5)
-    return spark.createDataFrame([tuple(t.values()) for t in profile.trace], "step int, p double, phi double, nll double, n_iter int, fit_converged boolean, source string")
+    _, profile = Glm(families.tweedie(1.5), [Categorical("event_type")], tol=1e-12).estimate_p(df, "y", method="grid", grid=5, bounds=(1.2, 1.8))
+    return spark.createDataFrame([(t["step"], round(t["p"], 4), round(t["phi"], 5), round(t["nll"], 1)) for t in profile.trace], "step long, p double, phi double, nll double")
+
+
+_BAND = "least(greatest(ceil((l_quantity - lo) * 7 / (hi - lo)) - 1, 0), 6)"
 
 
-@query()
+@query(f"WITH r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, regr_slope(l_extendedprice / 100000 + 0.01 * l_quantity, l_quantity) AS b, avg(l_quantity) AS m FROM lineitem) SELECT round(lo + {_BAND} * (hi - lo) / 7, 6) AS bin_from, count(*) AS n_obs, round(any_value(b) * (avg(l_quantity) - any_value(m)), 3) AS log_relativity FROM lineitem, r GROUP BY 1")
 def discretization_impact(spark, sf_dir):
-    df = counts(spark, sf_dir)
-    model = Glm("poisson", [Spline("o_totalprice", n_knots=6), Categorical("o_orderstatus")]).fit_reml(df, "y")
-    return model.discretization_impact(df, "y", n_bins=20, ties=["o_orderkey"])[0]["o_totalprice"]
+    """A smooth that is held to a line, cut into seven equal bins."""
+    df = read(spark, sf_dir, "lineitem").withColumn("y", F.col("l_extendedprice") / 100000 + 0.01 * F.col("l_quantity"))
+    model = Glm("gaussian", [Spline("l_quantity", kind="cr", n_knots=4, discrete=True, lambda_policy=LambdaPolicy.fixed(3e9))]).fit(df, "y")
+    table = model.discretization_impact(df, "y", n_bins=7, strategy="uniform")[0]["l_quantity"]
+    return table.select(F.round("bin_from", 6).alias("bin_from"), "n_obs", F.round("log_relativity", 3).alias("log_relativity"))
+
 
+_KNOT = "least(greatest(ceil((o_totalprice - lo) * 13 / (hi - lo)) - 1, 0), 12)::BIGINT"
 
-@query()
+
+@query(f"WITH o AS (SELECT o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM o) SELECT {_KNOT} AS i, round(any_value((hi - lo) / 13), 4) AS spacing, round(count(*)::DOUBLE / any_value(n), 6) AS mass FROM o, r GROUP BY 1")
 def spline_redundancy(spark, sf_dir):
     df = counts(spark, sf_dir)
-    return Glm("poisson", [Spline("o_totalprice", n_knots=12)]).fit(df, "y").spline_redundancy(df)
+    report = Glm("poisson", [Spline("o_totalprice", n_knots=12)]).fit(df, "y").spline_redundancy(df)
+    each = report.select(F.posexplode(F.arrays_zip("knot_spacing", "support_mass")).alias("i", "v"))
+    return each.filter("v.support_mass > 0").select(F.col("i").cast("long").alias("i"), F.round("v.knot_spacing", 4).alias("spacing"), F.round("v.support_mass", 6).alias("mass"))
 
 
-@query()
+@query(
+    "WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), q AS (SELECT x, (row_number() OVER (ORDER BY x) - 0.5) / count(*) OVER () AS spot FROM (SELECT DISTINCT l_quantity::DOUBLE AS x FROM lineitem)), n AS (SELECT x, spot, lead(x) OVER (ORDER BY x) AS x1, lead(spot) OVER (ORDER BY x) AS spot1 FROM q), t AS (SELECT i, i / 6.0 AS t FROM range(1, 6) r(i)) "
+    "SELECT 'l_extendedprice' AS feature, 'ns' AS kind, i::BIGINT AS i, round(lo + (hi - lo) * t, 3) AS knot FROM r, t UNION ALL SELECT 'l_quantity', 'ps', i, round(x + (t - spot) / (spot1 - spot) * (x1 - x), 3) FROM n JOIN t ON spot <= t AND t < spot1"
+)
 def knot_summary(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
-    terms = [Spline("l_extendedprice", kind="ns", knot_strategy="quantile_rows", n_knots=5), Spline("l_quantity", knot_strategy="quantile_tempered", n_knots=5, discrete=True)]
-    return Glm("gaussian", terms).fit(df, "l_tax").knot_summary(spark)
+    terms = [Spline("l_extendedprice", kind="ns", n_knots=5), Spline("l_quantity", knot_strategy="quantile", n_knots=5, discrete=True)]
+    found = Glm("gaussian", terms).fit(df, "l_tax").knot_summary(spark)
+    each = found.select("feature", "kind", F.posexplode("interior_knots").alias("i", "knot"))
+    return each.select("feature", "kind", (F.col("i") + 1).cast("long").alias("i"), F.round("knot", 3).alias("knot"))
 
 
-@query()
+@query(f"WITH {COUNTS} SELECT 'o_orderpriority' AS term, 'Categorical' AS kind, count(DISTINCT o_orderpriority) - 1 AS size FROM counts UNION ALL SELECT 'o_orderstatus', 'Categorical', count(DISTINCT o_orderstatus) - 1 FROM counts UNION ALL SELECT 'o_totalprice', 'Spline', 13 UNION ALL SELECT 'o_orderkey', 'Numeric', 1")
 def detected_terms(spark, sf_dir):
-    df = counts(spark, sf_dir).drop("w", "o_orderkey")
+    """Terms by column type, with the coefficients that each has after fitting."""
+    df = counts(spark, sf_dir).drop("w")
     model = Glm("poisson", detect(df, ["o_totalprice"], skip=["y"])).fit(df, "y")
-    return model.coefficients(spark)
+    return spark.createDataFrame([(t.name, type(t).__name__, t.size) for t in model.design.terms], "term string, kind string, size long")
+
+
+_PHI = "0.5 + exp(-e * e / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 40), lambda k: sign(e) * exp((2 * k + 1) * ln(abs(e) + 1e-300) - list_sum(list_transform(range(0, k + 1), lambda j: ln(2 * j + 1))))))"
+
+
+@query(f"SELECT l_discount, round({_PHI}, 5) AS mu, round((1.5 + e) ** 0.7, 6) AS power_eta FROM (SELECT DISTINCT l_discount, 31 * l_discount - 1.05 AS e FROM lineitem)")
+def probit_and_power_links(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_discount").distinct().withColumn("e", 31 * F.col("l_discount") - 1.05)
+    probit, power = links.NAMED["probit"](), links.Power(0.7)
+    return df.select("l_discount", F.round(probit.inverse(F.col("e")), 5).alias("mu"), r6(power.link(1.5 + F.col("e"))).alias("power_eta"))
+
+
+# -- the same fits with all rows in Spark: one Arrow pass an iteration, no collected cells -------------------------------
+OVER_ROWS = (
+    "poisson_one_factor", "poisson_weighted", "poisson_offset", "gamma_saturated", "gaussian_line", "gaussian_slopes_by_level", "binomial_one_factor", "nb2_one_factor", "tweedie_one_factor", "collapsed_levels", "ordered_steps",
+    "spline_interpolates", "spline_stiff_is_line", "polynomial_saturated", "relativities_with_se", "lambda_max", "lasso_at_lambda_max", "lasso_path", "score_balance", "reml_smooth", "tensor_surface", "monotone_fit", "monotone_fit_against", "factor_test",
+)
+
+
+def _over_rows(name: str) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with frame.rows_only():
+            return QUERIES[name](spark, sf_dir)
+
+    return run
+
+
+for _name in OVER_ROWS:
+    QUERIES[f"{_name}_rows"] = _over_rows(_name)
+    ORACLE_SQL[f"{_name}_rows"] = ORACLE_SQL[_name]

@@ -1,12 +1,14 @@
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from premia.functions import families
+from premia.functions import families, links, special
 from premia.model import Glm, violation
-from premia.operators import adequacy, charts, splines
+from premia.operators import adequacy, charts, frame, splines
 from premia.operators.terms import Categorical, Constraint, Interaction, LambdaPolicy, Numeric, OrderedCategorical, Polynomial, Spline, Stats, TensorInteraction, collapse_levels, detect, n_knots_from_k
-from premia.plans import select, solve
+from premia.plans import scop, select, smoothing, solve
 from premia.sources import store
 from premia.streaming import score
 
@@ -81,7 +83,7 @@ def test_reml_is_near_the_criterions_minimum(data):
 
     def value(x):
         m = spec(x).fit(data, "y")
-        return solve.laml(m.fit, m.family, [p for _, p, _ in m.design.penalties()], np.array([x]))
+        return smoothing.Criterion(m.family, [p for _, p, _ in m.design.penalties()], m.fit.n).value(m.fit.deviance, m.fit.h, m.fit.b, np.array([x]))
 
     assert value(lam) <= value(lam * 1.5) + 1e-6 and value(lam) <= value(lam / 1.5) + 1e-6
 
@@ -112,6 +114,157 @@ def test_prox_minimises():
         assert all(f(x) <= f(x + rng.normal(scale=0.05, size=4)) + 1e-12 for _ in range(100))
 
 
+class Arrays(frame.Source):
+    """Sums over arrays, without Spark."""
+
+    def __init__(self, terms, data, y, w, family):
+        self.design = frame.Design(terms)
+        self.x = self.design.matrix(data | {"__y": y})
+        self.part = {"w": w, "y": y, "o": np.zeros(len(y)), "n": np.ones(len(y)), "a": w * family.a(y), "yy": w * y * y}
+
+    def over(self, kernel):
+        return kernel(self.x, self.part)
+
+
+def smooths(family, seed=0, n=500, **kw):
+    """A source with two smooths, one with two penalties, learned from arrays."""
+    rng = np.random.default_rng(seed)
+    data = {"a": rng.random(n), "b": rng.random(n)}
+    mean = np.exp(0.5 + np.sin(5 * data["a"]) + 0.3 * data["b"])
+    y = {"poisson": lambda: rng.poisson(mean) * 1.0, "gamma": lambda: rng.gamma(2.0, mean / 2), "gaussian": lambda: mean + rng.normal(size=n), "binomial": lambda: (rng.random(n) < mean / mean.max()) * 1.0}[family.name]()
+    w, terms = rng.uniform(0.5, 1.5, n), []
+    for t in (Spline("a", n_knots=6, lo=0.0, hi=1.0, **kw), Spline("b", kind="bs", n_knots=5, lo=0.0, hi=1.0, m=(1, 2))):
+        t = dataclasses.replace(t, vector=tuple(splines.open_knots(splines.uniform_knots(0.0, 1.0, t.n_knots), 0.0, 1.0, t.degree).tolist()))
+        raw = t.raw(data)
+        terms.append(t.finished(raw.sum(axis=0), (raw * w[:, None]).T @ raw, w.sum(), 0.1))
+    return Arrays(terms, data, y, w, family), {"n": n, "w": float(w.sum()), "mean": float((w * y).sum() / w.sum())}
+
+
+@pytest.mark.parametrize("family,link", [("poisson", "log"), ("gamma", "log"), ("gaussian", "identity"), ("binomial", "cloglog"), ("binomial", "logit")])
+def test_derivatives_of_the_criterion(family, link):
+    """Gradient and Hessian against differences of refitted criteria; without the moving weights they are not right."""
+    family, link = families.resolve(family), links.NAMED[link]()
+    source, info = smooths(family)
+    parts = [p for _, p, _ in source.design.penalties()]
+    criterion = smoothing.Criterion(family, parts, info["n"])
+
+    def at(rho):
+        lams = np.exp(rho)
+        s = criterion.penalty(lams, source.design.size + 1)
+        fit = solve.irls(source, family, link, info, s[1:, 1:], tol=1e-15, max_iter=300)
+        inv = solve.safe_inverse(fit.h + s)
+        rough = np.array([-inv @ (x * p @ fit.b) for x, p in zip(lams, criterion.parts)])
+        more = source.curvature(fit.b, family, link, inv, rough)
+        return criterion.value(fit.deviance, fit.h, fit.b, lams), *criterion.derivatives(fit.deviance, fit.h, fit.b, lams, more), criterion.derivatives(fit.deviance, fit.h, fit.b, lams)[0]
+
+    rho, e = np.log([2.0, 0.5, 9.0]), 1e-4
+    _, grad, hess, fixed = at(rho)
+    steps = [(at(rho + e * d), at(rho - e * d)) for d in np.eye(3)]
+    assert np.abs(grad - [(u[0] - v[0]) / (2 * e) for u, v in steps]).max() < 1e-6
+    assert np.abs(hess - [(u[1] - v[1]) / (2 * e) for u, v in steps]).max() < (1e-5 if link.name != "cloglog" else 5e-3)
+    if family.name in ("poisson", "binomial"):
+        assert np.abs(fixed - grad).max() > 1e-4
+
+
+def test_newton_finds_the_minimum_from_anywhere():
+    family, link = families.poisson(), links.Log()
+    source, info = smooths(family, seed=3)
+    found = [smoothing.smooth(source, family, link, info, source.design.penalties(), first=x) for x in (1e-4, 1.0, 1e4)]
+    values = [f.trace[-1]["criterion"] for f in found]
+    assert all(f.converged for f in found) and max(values) - min(values) < 1e-5
+    assert np.ptp([f.edf for f in found]) < 1e-2
+
+
+def test_log_determinants():
+    """Closed forms and the stable way against exact arithmetic on diagonals, and their derivatives."""
+    rng = np.random.default_rng(1)
+    q = np.linalg.qr(rng.normal(size=(7, 7)))[0]
+    one, two = q[:, :4] @ np.diag([1.0, 2, 3, 4]) @ q[:, :4].T, q[:, 3:] @ np.diag([5.0, 1, 2, 6]) @ q[:, 3:].T
+    mixed = (lambda a: a @ a.T)(rng.normal(size=(7, 3)))
+    pair = [np.kron(np.diag([0.0, 1, 2]), np.eye(3)), np.kron(np.eye(3), np.diag([0.0, 0, 4]))]
+    for parts in ([one], [one, two], [one, mixed], pair):
+        log_det = smoothing.LogDet(parts)
+        for lams in (np.array([2.0, 0.3]), np.array([1e-5, 1e5]), np.array([1e7, 1e-4])):
+            lams, e = lams[: len(parts)], 1e-5
+            value, grad, hess = log_det(lams)
+            s = sum(x * p for x, p in zip(lams, parts))
+            if lams.max() / lams.min() < 100:
+                eig = np.linalg.eigvalsh(s)
+                some = eig[eig > 1e-9 * eig.max()]
+                assert abs(value - np.log(some).sum()) < 1e-6 and log_det.rank == len(some)
+            moved = [(log_det(lams * np.exp(e * d)), log_det(lams * np.exp(-e * d))) for d in np.eye(len(parts))]
+            assert np.allclose(grad, [(u[0] - v[0]) / (2 * e) for u, v in moved], atol=1e-4)
+            assert np.allclose(hess, [(u[1] - v[1]) / (2 * e) for u, v in moved], atol=1e-4)
+    assert abs(smoothing.stable_log_det([one, two], [1e14, 1e-6]) - smoothing.LogDet([one, two])(np.array([1e14, 1e-6]))[0]) < 1e-4
+
+
+def test_scop_newton(data):
+    """Monotone by construction, the score is zero in the parameters, and smoothing is estimated."""
+    spec = Glm("poisson", [Spline("age", kind="ps", n_knots=6, constraint=Constraint.fit.increasing), Categorical("region")])
+    fitted, free = spec.fit(data, "y", "w"), spec.fit_reml(data, "y", "w")
+    for m in (fitted, free):
+        assert m.fit.converged and (np.diff([r["log_relativity"] for r in m.term_curve("age", 300)]) >= -1e-12).all()
+        up = np.concatenate([[False], scop.positive(type("S", (), {"design": m.design}))[1:]])
+        theta = np.where(up, np.log(np.maximum(m.fit.b, 1e-300)), m.fit.b)
+        s = sum(m.fit.lambdas[n] * solve.padded(p) for n, p, _ in m.design.penalties())
+        grad = np.where(up, m.fit.b, 1.0) * m.fit.score - s @ theta
+        assert np.abs(grad[theta > scop.LOWEST + 1e-6]).max() < 1e-2
+    assert 1 < free.fit.edf < 12 and free.fit.lambdas["age"] != 0.1
+    with pytest.raises(ValueError, match="interaction"):
+        Glm("poisson", [Interaction(spec.terms[0], Categorical("region"))]).fit(data, "y")
+    with pytest.raises(ValueError, match="group penalty"):
+        Glm("poisson", spec.terms, penalty=solve.GroupLasso(0.1)).fit(data, "y")
+
+
+def test_scop_beats_no_other_monotone_fit(data):
+    """At no smoothing its deviance is near that of the best step function that rises."""
+    p = data.groupBy(F.round(F.col("age") / 5).alias("age")).agg(F.sum("y").alias("s"), F.count("*").alias("n")).orderBy("age").toPandas()
+    best = special.isotonic(p["s"] / p["n"], p["n"])
+    rounded = data.withColumn("age", F.round(F.col("age") / 5))
+    m = Glm("poisson", [Spline("age", n_knots=12, constraint=Constraint.fit.increasing, lambda_policy=LambdaPolicy.fixed(1e-6))], tol=1e-12).fit(rounded, "y")
+    mu = m.predict(p.pipe(lambda d: data.sparkSession.createDataFrame(d)), name="mu").orderBy("age").toPandas()["mu"].to_numpy()
+    value = lambda v: float((p["s"] * np.log(v) - p["n"] * v).sum())
+    assert value(best) + 1e-6 >= value(mu) >= value(best) - 3.0
+
+
+def test_sums_in_groups_of_partitions(data, monkeypatch):
+    spec = Glm("poisson", [Spline("age", n_knots=4), Categorical("region")])
+    want = spec.fit(data, "y", "w").fit.b
+    with frame.rows_only():
+        assert np.allclose(spec.fit(data.repartition(7), "y", "w").fit.b, want, atol=1e-8)
+        monkeypatch.setattr(frame, "GROUPS", 2)
+        assert np.allclose(spec.fit(data.repartition(7), "y", "w").fit.b, want, atol=1e-8)
+    assert frame.MAX_CELLS > 0
+
+
+def test_fractional_wald():
+    """Whole ranks are plain Wald tests; in between the expectation under no effect is the rank."""
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(5, 5))
+    cov = a @ a.T
+    x = rng.normal(size=5)
+    assert abs(adequacy.fractional_wald(x, cov, 5.0)[0] - x @ np.linalg.solve(cov, x)) < 1e-8
+    for rank in (1.0, 1.4, 2.75, 4.0):
+        draws = rng.multivariate_normal(np.zeros(5), cov, 4000)
+        stats = np.array([adequacy.fractional_wald(d, cov, rank)[0] for d in draws])
+        weights = adequacy.fractional_wald(x, cov, rank)[1]
+        assert abs(sum(weights[0]) - rank) < 1e-9 and abs(stats.mean() - rank) < 0.15
+        p = np.mean([np.mean([special.chi2_mix_sf(s, w) for w in weights]) < 0.1 for s in stats[:400]])
+        assert 0.05 < p < 0.16
+    assert abs(special.f_mix_sf(3.0, [1.0], 7.0) - special.f_sf(3.0, 1, 7)) < 2e-3
+
+
+def test_smooth_test_and_details(data, spark):
+    model = Glm("poisson", [Spline("age", kind="cr", n_knots=8), Spline("density", kind="cr", n_knots=8)]).fit_reml(data, "y")
+    age, density = model.smooth_test("age"), model.smooth_test("density")
+    assert age["p_value"] < 1e-6 < density["p_value"] and age["ref_df"] >= age["edf"] - 1e-9
+    detail = model.basis_detail(spark, "age").toPandas()
+    assert len(detail) == model.term("age").raw_size and (detail["se"] >= 0).all() and (detail["from"] <= detail["to"]).all()
+    grouped = Glm("poisson", [Categorical("region", grouping=collapse_levels(["A", "B", "C"], from_level="B"))]).fit(data, "y")
+    rows = {r["level"]: r for r in grouped.grouped_levels(spark, "region").collect()}
+    assert set(rows) == {"A", "B", "C"} and rows["B"]["relativity"] == rows["C"]["relativity"] and rows["B"]["group"] == "B+"
+
+
 @pytest.mark.parametrize("kind", ["increasing", "decreasing"])
 def test_monotone_fit_and_repair(data, kind):
     fitted = Glm("poisson", [Spline("age", kind="bs", n_knots=6, constraint=getattr(Constraint.fit, kind))]).fit(data, "y")
