@@ -47,15 +47,14 @@ def _range(m: np.ndarray) -> np.ndarray:
     return vectors[:, values > 1e-9 * max(values.max(initial=0.0), 1e-300)]
 
 
-def stable_log_det(parts: Sequence[np.ndarray], lams: Sequence[float]) -> float:
-    """log|sum of lam_i S_i| of full rank, however far apart the parameters are.
+def separated(parts: Sequence[np.ndarray], lams: Sequence[float]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sum of lam_i S_i, the S_i) in a basis where it can be inverted however far apart the parameters are.
 
     The dominant terms are diagonalised first; on the directions that they leave free the others are looked at in the
     same way, so that small terms are never added to large ones where they alone decide.
     """
     parts, lams = [np.array(p, float) for p in parts], list(lams)
     total = sum(lam * p for lam, p in zip(lams, parts, strict=True))
-    done = np.eye(len(total))
     at = 0
     while True:
         size = len(total) - at
@@ -78,7 +77,13 @@ def stable_log_det(parts: Sequence[np.ndarray], lams: Sequence[float]) -> float:
             parts[i][at + rank :, :] = 0
             parts[i][:, at + rank :] = 0
         total = sum(lam * p for lam, p in zip(lams, parts, strict=True))
-        done, at = done @ turn, at + rank
+        at += rank
+    return total, parts
+
+
+def stable_log_det(parts: Sequence[np.ndarray], lams: Sequence[float]) -> float:
+    """log|sum of lam_i S_i| of full rank."""
+    total, _ = separated(parts, lams)
     scale = 1 / np.sqrt(np.maximum(np.diag(total), 1e-300))
     return float(np.linalg.slogdet(total * scale[:, None] * scale)[1] - 2 * np.log(scale).sum())
 
@@ -110,7 +115,8 @@ class LogDet:
         turned = [vectors.T @ p @ vectors for p in inner]
         if any(np.abs(t - np.diag(np.diag(t))).max(initial=0.0) > 1e-8 * max(np.abs(t).max(initial=0.0), 1e-300) for t in turned):
             return None
-        return np.maximum(np.array([np.diag(t) for t in turned]), 0.0)
+        found = np.array([np.diag(t) for t in turned])
+        return np.where(found > 1e-9 * found.max(axis=1, keepdims=True), found, 0.0)  # rounding is no eigenvalue
 
     def __call__(self, lams: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """(value, gradient, Hessian)."""
@@ -124,11 +130,11 @@ class LogDet:
                 value += float(np.log(total).sum())
                 g, h = share.sum(axis=1), -share @ share.T
             else:
-                value += stable_log_det(inner, lam)
-                total = sum(x * p for x, p in zip(lam, inner, strict=True))
+                total, turned = separated(inner, lam)
                 scale = 1 / np.sqrt(np.maximum(np.diag(total), 1e-300))
-                inv = safe_inverse(total * scale[:, None] * scale) * scale[:, None] * scale
-                each = [x * inv @ p for x, p in zip(lam, inner, strict=True)]
+                near_one = total * scale[:, None] * scale
+                value += float(np.linalg.slogdet(near_one)[1] - 2 * np.log(scale).sum())
+                each = [np.linalg.solve(near_one, x * p * scale[:, None] * scale) for x, p in zip(lam, turned, strict=True)]
                 g = np.array([np.trace(e) for e in each])
                 h = -np.array([[np.sum(a * b.T) for b in each] for a in each])
             grad[own] += g
