@@ -102,6 +102,65 @@ def betainc(a: float, b: float, x: float) -> float:
     return front * h
 
 
+def gammainc(a, x) -> np.ndarray:
+    """gammainc_lower over arrays: the series below a + 1, the continued fraction above, each until all rows settle."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = np.zeros(a.shape)
+    some = x > 0
+    front = np.zeros(a.shape)
+    front[some] = np.exp(a[some] * np.log(x[some]) - x[some] - gammaln(a[some]))
+    low = some & (x < a + 1)
+    if low.any():
+        k, term = a[low].copy(), 1 / a[low]
+        total = term.copy()
+        while (np.abs(term) > np.abs(total) * 1e-16).any():
+            k += 1
+            term = term * x[low] / k
+            total += term
+        out[low] = np.minimum(1.0, front[low] * total)
+    high = some & ~low
+    if high.any():
+        aa, b = a[high], x[high] + 1 - a[high]
+        c, d = np.full(b.shape, 1e300), 1 / b
+        h = d.copy()
+        for i in range(1, 10_000):
+            an = -i * (i - aa)
+            b = b + 2
+            d = an * d + b
+            d = 1 / np.where(d == 0, 1e-300, d)
+            c = b + an / c
+            c = np.where(c == 0, 1e-300, c)
+            h = h * d * c
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        out[high] = np.maximum(0.0, 1 - front[high] * h)
+    return out
+
+
+def betaincs(a, b, x) -> np.ndarray:
+    """betainc over arrays, by its continued fraction."""
+    a, b, x = (np.array(v, float) for v in np.broadcast_arrays(a, b, x))
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    inside = (x > 0) & (x < 1)
+    z = np.where(inside, x, 0.5)
+    front = np.exp(gammaln(a + b) - gammaln(a) - gammaln(b) + a * np.log(z) + b * np.log1p(-z)) / a
+    c, d = np.ones(a.shape), 1 - (a + b) * z / (a + 1)
+    d = 1 / np.where(d == 0, 1e-300, d)
+    h = d.copy()
+    for m in range(1, 10_000):
+        for num in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / np.where(d == 0, 1e-300, d)
+            c = 1 + num / c
+            c = np.where(c == 0, 1e-300, c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
+            break
+    out = np.where(inside, front * h, (x >= 1).astype(float))
+    return np.where(turn, 1 - out, out)
+
+
 def chi2_sf(q: float, df: float) -> float:
     return 1.0 if q <= 0 else 1 - gammainc_lower(df / 2, q / 2)
 

@@ -162,15 +162,33 @@ class Glm:
         nll = -adequacy.log_likelihood(model.predict(df, offset=offset, name="__mu"), y, "__mu", model.family, weight)
         return model, Profile("theta", theta, nll, n, n < most, tuple())
 
-    def estimate_p(self, df: DataFrame, y: str, weight=None, offset=None, *, bounds: tuple[float, float] = (1.05, 1.95), tol: float = 1e-3, method: str = "brent", grid: int = 10, fit_mode: str = "fit") -> tuple[Model, Profile]:
-        """Tweedie power by profile likelihood: brent, grid, or grid_refine (a grid, then brent around its best)."""
+    def profile_interval(self, df: DataFrame, y: str, profile: Profile, weight=None, offset=None, *, bounds: tuple[float, float] | None = None, alpha: float = 0.05) -> tuple[float, float]:
+        """The profile likelihood interval of theta or of the Tweedie power: the model is refitted at each value tried."""
+        make = families.nb2 if profile.parameter == "theta" else families.tweedie
+        seen: dict[float, float] = {profile.value: profile.nll}
+
+        def nll(v: float) -> float:
+            if v not in seen:
+                model = replace(self, family=make(v)).fit(df, y, weight, offset)
+                scored = model.predict(df, offset=offset, name="__mu")
+                seen[v] = -adequacy.log_likelihood(scored, y, "__mu", model.family, weight, 1.0 if profile.parameter == "theta" else model.fit.phi)
+            return seen[v]
+
+        return profile.ci(nll, bounds or ((0.1, 50.0) if profile.parameter == "theta" else (1.05, 1.95)), alpha)
+
+    def estimate_p(self, df: DataFrame, y: str, weight=None, offset=None, *, bounds: tuple[float, float] = (1.05, 1.95), tol: float = 1e-3, method: str = "brent", grid: int = 10, fit_mode: str = "fit", phi_method: str = "pearson") -> tuple[Model, Profile]:
+        """Tweedie power by profile likelihood: brent, grid, or grid_refine (a grid, then brent around its best).
+
+        The dispersion at each power is Pearson's, or (phi_method mle) the most likely one at the fitted means.
+        """
         trace: list[dict] = []
 
         def at(p: float) -> float:
             g = replace(self, family=families.tweedie(p))
             model = g.fit_reml(df, y, weight, offset) if fit_mode == "reml" else g.fit(df, y, weight, offset)
-            nll = -adequacy.log_likelihood(model.predict(df, offset=offset, name="__mu"), y, "__mu", model.family, weight, model.fit.phi)
-            trace.append({"step": len(trace) + 1, "p": p, "phi": model.fit.phi, "nll": nll, "n_iter": model.fit.n_iter, "fit_converged": model.fit.converged, "source": method})
+            scored = model.predict(df, offset=offset, name="__mu")
+            phi, nll = adequacy.profile_phi(scored, y, "__mu", model.family, weight, model.fit.phi, phi_method)
+            trace.append({"step": len(trace) + 1, "p": p, "phi": phi, "nll": nll, "n_iter": model.fit.n_iter, "fit_converged": model.fit.converged, "source": method})
             return nll
 
         lo, hi = bounds
@@ -415,7 +433,7 @@ class Model:
         return self._frame(spark, rows, "feature string, kind string, knot_strategy string, interior_knots array<double>, boundary array<double>, n_basis int, degree int, extrapolation string")
 
     def iteration_diagnostics(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(int(r["iteration"]), float(r.get("deviance", r.get("criterion"))), float(r.get("w_max", math.nan)), float(r.get("intercept", math.nan)), int(r.get("step_halvings", 0))) for r in self.fit.trace], "iteration int, criterion double, w_max double, intercept double, step_halvings int")
+        return spark.createDataFrame([(int(r["iteration"]), float(r.get("deviance", r.get("criterion"))), float(r.get("w_max", math.nan)), float(r.get("w_mean", math.nan)), float(r.get("intercept", math.nan)), int(r.get("step_halvings", 0))) for r in self.fit.trace], "iteration int, criterion double, w_max double, w_mean double, intercept double, step_halvings int")
 
     def summary(self, alpha: float = 0.05) -> str:
         """A text table of the fit."""
@@ -439,7 +457,9 @@ class Model:
     def metrics(self, df: DataFrame, y: str, weight=None, offset=None) -> DataFrame:
         """One row: n_obs, deviance, null deviance, Pearson, log-likelihood, explained deviance, AIC, BIC, AICc, EBIC."""
         scored = self.predict(df, offset, "__mu")
-        row = adequacy.fit_stats(scored, y, "__mu", self.family, weight, self.fit.phi).first().asDict()
+        # with an offset the null model is an intercept beside it, fitted; without, the weighted mean
+        null = replace(self.spec, terms=(), penalty=None).fit(df, y, weight, offset).mean(offset) if offset else None
+        row = adequacy.fit_stats(scored, y, "__mu", self.family, weight, self.fit.phi, null).first().asDict()
         if row["log_likelihood"] is None:
             row["log_likelihood"] = adequacy.log_likelihood(scored, y, "__mu", self.family, weight, self.fit.phi)
         more = adequacy.information(row["log_likelihood"], self.fit.edf, row["n_obs"])
@@ -560,10 +580,8 @@ class Model:
             got = df.groupBy(charts.edge_bin(x, edges).alias("b")).agg((F.sum(w * e) / F.sum(w)).alias("v"), F.count("*").alias("n"), F.sum(w).alias("w")).orderBy("b").collect()
             rows = [(edges[r["b"]], edges[min(r["b"] + 1, len(edges) - 1)], math.exp(r["v"]), r["v"], r["n"], r["w"]) for r in got]
             tables[t.name] = self._frame(df.sparkSession, rows, "bin_from double, bin_to double, relativity double, log_relativity double, n_obs long, sample_weight double")
-            binned = F.lit(0.0)
-            for r in got:
-                binned = F.when(charts.edge_bin(x, edges) == r["b"], r["v"]).otherwise(binned)
-            change = change + binned - e
+            mean_of = {r["b"]: r["v"] for r in got}
+            change = change + F.get(F.array(*(F.lit(float(mean_of.get(b, 0.0))) for b in range(len(edges)))), charts.edge_bin(x, edges)) - e
         at = lambda eta: self.family.clip(self.link.inverse(self.link.stabilise(eta)))
         scored = df.select(F.col(f"`{y}`").cast("double").alias("y"), w.alias("w"), at(self.eta(offset)).alias("a"), at(self.eta(offset) + change).alias("b"))
         out = scored.agg(F.sum(F.col("w") * self.family.deviance(F.col("y"), F.col("a"))).alias("deviance_original"), F.sum(F.col("w") * self.family.deviance(F.col("y"), F.col("b"))).alias("deviance_discretized"), F.corr("a", "b").alias("correlation"), F.max(F.abs(F.col("b") / F.col("a") - 1)).alias("max_relative_change"), F.avg(F.abs(F.col("b") / F.col("a") - 1)).alias("mean_relative_change"))

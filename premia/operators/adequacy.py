@@ -50,6 +50,17 @@ def log_likelihood(df: DataFrame, y: str, mu: str, family: Family, weight: str |
     return df.select(obs.alias("y"), m.alias("m"), w.alias("w")).mapInArrow(run, "t double").agg(F.sum("t")).first()[0]
 
 
+def profile_phi(df: DataFrame, y: str, mu: str, family: Family, weight: str | None, pearson: float, method: str = "pearson") -> tuple[float, float]:
+    """(dispersion, negative log-likelihood): Pearson's as given, or (mle) the most likely within a factor of e^3 of it."""
+    nll = lambda phi: -log_likelihood(df, y, mu, family, weight, phi)
+    if method == "pearson":
+        return pearson, nll(pearson)
+    if method != "mle":
+        raise ValueError("phi_method is pearson or mle")
+    at, value, _ = special.minimise(lambda v: nll(math.exp(v)), math.log(pearson) - 3, math.log(pearson) + 3, 1e-4, 40)
+    return math.exp(at), value
+
+
 def information(ll: float, edf: float, n: int) -> dict[str, float]:
     """aic, bic, aicc."""
     aic = -2 * ll + 2 * edf
@@ -115,29 +126,27 @@ def cdf_bounds(family: Family, y: np.ndarray, mu: np.ndarray, w: np.ndarray, phi
         u = special.norm_cdf((y - mu) * np.sqrt(w / phi))
         return u, u
     if family.name == "gamma":
-        u = np.array([special.gammainc_lower(k, k * v / m) for k, v, m in zip(w / phi, y, mu, strict=True)])
+        u = special.gammainc(w / phi, w / phi * y / mu)
         return u, u
     if family.name == "binomial":
         return np.where(y > 0, 1 - mu, 0.0), np.where(y > 0, 1.0, 1 - mu)
     if family.name == "tweedie":
         p, f = family.p, phi / w
         lam, alpha, scale = mu ** (2 - p) / (f * (2 - p)), (2 - p) / (p - 1), f * (p - 1) * mu ** (p - 1)
-        out = np.zeros(len(y))
-        for i in range(len(y)):
-            top = int(lam[i] + 6 * math.sqrt(lam[i]) + 10)
-            at = math.exp(-lam[i])
-            out[i] = at
-            for j in range(1, top if y[i] > 0 else 1):
-                at *= lam[i] / j
-                out[i] += at * special.gammainc_lower(j * alpha, y[i] / scale[i])
+        out = np.exp(-lam)
+        for j in range(1, int((lam + 6 * np.sqrt(lam) + 10).max(initial=0.0))):  # j claims, over all rows at once
+            at = np.exp(j * np.log(lam) - lam - math.lgamma(j + 1))
+            some = (y > 0) & (at > 1e-14)
+            if some.any():
+                out[some] += at[some] * special.gammainc(j * alpha, y[some] / scale[some])
         return np.where(y > 0, out, 0.0), out
     count, rate = np.round(y * w), mu * w
     if family.name == "poisson":
-        cdf = lambda k, m, i: 1 - special.gammainc_lower(k + 1, m) if k >= 0 else 0.0
+        cdf = lambda k: np.where(k >= 0, 1 - special.gammainc(np.maximum(k, 0) + 1, rate), 0.0)
     else:
-        cdf = lambda k, m, i: special.betainc(family.theta * w[i], k + 1, family.theta * w[i] / (family.theta * w[i] + m)) if k >= 0 else 0.0
-    lo = np.array([cdf(k - 1, m, i) for i, (k, m) in enumerate(zip(count, rate, strict=True))])
-    return lo, np.array([cdf(k, m, i) for i, (k, m) in enumerate(zip(count, rate, strict=True))])
+        size = family.theta * w
+        cdf = lambda k: np.where(k >= 0, special.betaincs(size, np.maximum(k, 0) + 1, size / (size + rate)), 0.0)
+    return cdf(count - 1), cdf(count)
 
 
 def zero_inflation(df: DataFrame, y: str, mu: str, family: Family) -> DataFrame:

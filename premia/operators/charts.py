@@ -35,11 +35,22 @@ def running(df: DataFrame, keys: Sequence[Column], totals: dict[str, Column], ra
     return rows.drop("__range", *(f"__k{i}" for i in range(len(keys))), *(f"__{a}_{m}" for a in "trb" for m in totals))
 
 
-def equal_weight_bins(df: DataFrame, score: Column, weight: Column, n_bins: int, ties: Sequence[str] = (), name: str = "bin") -> DataFrame:
-    """df with a bin from 1 to n_bins: the first whose share of the total weight reaches the row's running weight."""
-    rows = running(df, [score, *(F.col(f"`{c}`") for c in ties)], {"__cum": weight})
+def equal_weight_bins(df: DataFrame, score: Column, weight: Column, n_bins: int, ties: Sequence[str] = (), name: str = "bin", place: str | None = None) -> DataFrame:
+    """df with a bin from 1 to n_bins: the first whose share of the total weight reaches the row's running weight.
+
+    place: also the row's number in this order, under this name.
+    """
+    rows = running(df, [score, *(F.col(f"`{c}`") for c in ties)], {"__cum": weight} | ({place: F.lit(1)} if place else {}))
     at = F.ceil(F.col("__cum") * n_bins / F.col("__cum__all"))
-    return rows.withColumn(name, F.least(F.greatest(at, F.lit(1)), F.lit(n_bins)).cast("int")).drop("__cum", "__cum__all")
+    return rows.withColumn(name, F.least(F.greatest(at, F.lit(1)), F.lit(n_bins)).cast("int")).drop("__cum", "__cum__all", f"{place}__all")
+
+
+def bin_medians(rows: DataFrame, value: str, place: str, name: str) -> DataFrame:
+    """bin, name: the median of a value that the rows are ordered by; the middle rows of each bin are picked by place."""
+    ends = rows.groupBy("bin").agg(F.min(place).alias("__first"), F.count("*").alias("__n"))  # one row for each bin
+    middle = rows.select("bin", value, place).join(ends, "bin").withColumn("__at", F.col(place) - F.col("__first"))
+    some = middle.filter((F.col("__at") == F.floor((F.col("__n") - 1) / 2)) | (F.col("__at") == F.floor(F.col("__n") / 2)))
+    return some.groupBy("bin").agg(F.avg(value).alias(name))
 
 
 def _mass(weight: str | None, exposure: str | None) -> Column:
@@ -64,9 +75,10 @@ def double_lift(df: DataFrame, y: str, model: str, current: str, weight: str | N
     """Bins of the ratio model / current: averages, indices against the whole, and the range of the ratio."""
     score = F.col(f"`{model}`") / F.greatest(F.col(f"`{current}`"), F.lit(1e-10))
     rows = df.withColumns({"__m": _mass(weight, exposure), "__s": score}).filter("__m > 0")
-    rows = equal_weight_bins(rows, F.col("__s"), F.col("__m"), n_bins, ties)
+    rows = written(equal_weight_bins(rows, F.col("__s"), F.col("__m"), n_bins, ties, place="__place"))
     s = lambda c: F.sum(F.col("__m") * F.col(f"`{c}`"))
-    g = rows.groupBy("bin").agg(F.count("*").alias("n_rows"), F.sum("__m").alias("exposure_sum"), s(y).alias("target_sum"), s(model).alias("__a"), s(current).alias("__c"), F.min("__s").alias("sort_score_min"), F.percentile("__s", 0.5).alias("sort_score_median"), F.max("__s").alias("sort_score_max"))
+    g = rows.groupBy("bin").agg(F.count("*").alias("n_rows"), F.sum("__m").alias("exposure_sum"), s(y).alias("target_sum"), s(model).alias("__a"), s(current).alias("__c"), F.min("__s").alias("sort_score_min"), F.max("__s").alias("sort_score_max"))
+    g = g.join(bin_medians(rows, "__s", "__place", "sort_score_median"), "bin")
     whole = Window.partitionBy()
     e = F.col("exposure_sum")
     every = F.sum(e).over(whole)

@@ -32,6 +32,19 @@ def score_gini(scored: DataFrame, model: Model, y: str, weight: str | None) -> t
 SCORERS: dict[str, Callable] = {"deviance": score_deviance, "nll": score_nll, "gini": score_gini}
 
 
+def scorer(metric: str | Callable) -> tuple[str, Callable]:
+    """(name, function) of a named metric, or of a function of (scored rows with __mu, model, response, weight) that
+    gives a number or a (sum, weight) pair. Such a function aggregates in Spark, with its own UDAF if it likes."""
+    if not callable(metric):
+        return metric, SCORERS[metric]
+
+    def run(scored: DataFrame, model: Model, y: str, weight: str | None) -> tuple[float, float]:
+        got = metric(scored, model, y, weight)
+        return (float(got[0]), float(got[1])) if isinstance(got, tuple) else (float(got), 1.0)
+
+    return getattr(metric, "__name__", "score"), run
+
+
 @dataclass(frozen=True)
 class CrossValidation:
     """folds: one row for each fold; scores: mean, std (over all folds) and pooled for each metric; oof, if asked."""
@@ -42,10 +55,13 @@ class CrossValidation:
     models: list[Model]
 
 
-def cross_validate(spec: Glm, df: DataFrame, y: str, fold: str, weight: str | None = None, offset=None, *, fit_mode: str = "fit", scoring: Sequence[str] = ("deviance",), oof: bool = False, error_score: float | str = "raise") -> CrossValidation:
+def cross_validate(spec: Glm, df: DataFrame, y: str, fold: str, weight: str | None = None, offset=None, *, fit_mode: str = "fit", scoring: Sequence[str | Callable] = ("deviance",), oof: bool = False, error_score: float | str = "raise") -> CrossValidation:
     """Fit on all folds but one, score on that one. Fold values are few and collected; rows are not."""
     spark = df.sparkSession
-    df = df.persist()  # every fold reads it
+    scorers = dict(scorer(m) for m in scoring)
+    scoring = list(scorers)
+    needed = dict.fromkeys([*(c for t in spec.terms for c in t.columns), y, fold, *([weight] if weight else []), *([offset] if isinstance(offset, str) else offset or [])])
+    df = (df if oof or set(scorers) - set(SCORERS) else df.select(*(F.col(f"`{c}`") for c in needed))).persist()  # every fold reads it
     values = sorted(r[0] for r in df.select(fold).distinct().limit(1001).collect())
     if not 2 <= len(values) <= 1000:
         raise ValueError("the fold column needs 2 to 1000 values")
@@ -64,7 +80,7 @@ def cross_validate(spec: Glm, df: DataFrame, y: str, fold: str, weight: str | No
         scored = model.predict(test, offset, "__mu")
         got = []
         for m in scoring:
-            a, b = SCORERS[m](scored, model, y, weight)
+            a, b = scorers[m](scored, model, y, weight)
             sums[m].append((a, b))
             got.append(a / b)
         rows.append((str(v), model.fit.n, test.count(), fitted - began, time.time() - fitted, model.fit.converged, model.fit.n_iter, model.fit.edf, *got))

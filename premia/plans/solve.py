@@ -117,7 +117,7 @@ def irls(source: Source, family: Family, link: Link, info: dict, s: np.ndarray,
             halvings += 1
         change = abs(float(nxt["dev"] - now["dev"])) / (abs(float(nxt["dev"])) + 0.1) if convergence == "deviance" else np.abs(fresh - b).max() / (np.abs(fresh).max() + 0.1)
         b, now = fresh, nxt
-        trace.append({"iteration": i, "deviance": float(now["dev"]), "w_max": float(now["top"]), "intercept": float(b[0]), "step_halvings": halvings, "change": float(change)})
+        trace.append({"iteration": i, "deviance": float(now["dev"]), "w_max": float(now["top"]), "w_mean": float(now["h"][0, 0]) / max(info["n"], 1), "intercept": float(b[0]), "step_halvings": halvings, "change": float(change)})
         if change < tol:
             done = True
             break

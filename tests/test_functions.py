@@ -101,3 +101,13 @@ def test_qp_matches_projection():
         y = rng.normal(size=8)
         got = splines.solve_qp(np.eye(8), y, splines.monotone_rows(8, "increasing"), np.zeros(7))
         assert np.allclose(got, special.isotonic(y), atol=1e-6)
+
+
+def test_incomplete_functions_over_arrays():
+    rng = np.random.default_rng(1)
+    a, b, x = rng.uniform(0.2, 60, 300), rng.uniform(0.2, 60, 300), rng.uniform(0, 90, 300)
+    x[:5] = 0
+    assert np.allclose(special.gammainc(a, x), [special.gammainc_lower(k, v) for k, v in zip(a, x)], atol=1e-12)
+    u = np.concatenate([[0.0, 1.0], rng.random(298)])
+    assert np.allclose(special.betaincs(a, b, u), [special.betainc(k, m, v) for k, m, v in zip(a, b, u)], atol=1e-11)
+

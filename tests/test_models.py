@@ -399,3 +399,29 @@ def test_knots_of_many_distinct_values_weigh_values_by_count(spark, strategy, al
     got = Spline("x", n_knots=5, knot_strategy=strategy, knot_alpha=alpha).learned(Stats(df, "x")).interior()
     want = splines.quantile_knots(np.concatenate([often, once]), [20] * 2000 + [1] * 199_500, 5, alpha)
     assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_profiles_and_null_models(data, spark):
+    spec = Glm("poisson", [Categorical("region")])
+    _, profile = spec.estimate_theta(data, "y")
+    lo, hi = spec.profile_interval(data, "y", profile)
+    assert 0.1 <= lo < profile.value < hi <= 50.0
+    rates = data.withColumn("log_w", F.log("w"))
+    m = spec.fit(rates, "y", offset="log_w")
+    row = m.metrics(rates, "y", offset="log_w").first()
+    total = rates.agg((F.sum("y") / F.sum("w")).alias("r")).first()["r"]
+    want = rates.agg(F.sum(families.poisson().deviance(F.col("y"), F.lit(total) * F.col("w")))).first()[0]
+    assert abs(row["null_deviance"] - want) < 1e-5 * want
+    aggregate = data.withColumn("z", F.col("y") / 10)
+    _, by_mle = Glm(families.tweedie(1.5), [Categorical("region")]).estimate_p(aggregate, "z", method="grid", grid=2, phi_method="mle")
+    _, by_pearson = Glm(families.tweedie(1.5), [Categorical("region")]).estimate_p(aggregate, "z", method="grid", grid=2)
+    assert all(a["nll"] <= b["nll"] + 1e-6 for a, b in zip(by_mle.trace, by_pearson.trace))
+
+
+def test_own_scorer(data):
+    def absolute(scored, model, y, weight):
+        return scored.agg(F.avg(F.abs(F.col(y) - F.col("__mu")))).first()[0]
+
+    cv = select.cross_validate(Glm("poisson", [Categorical("region")]), data, "y", "fold", scoring=("deviance", absolute))
+    assert cv.scores.count() == 2 and cv.folds.filter("absolute > 0").count() == 4
+
