@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 # A phase's shuffle files go once the table that it writes is there; a later phase reads the table alone.
-PHASE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+PHASE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
 
 
 @contextmanager
