@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from premia.llm._common import free_prefix, named, words, written
+from premia.llm._common import discard, free_prefix, named, words, written
 from premia.operators.charts import running
 
 ROWS_A_BUCKET = 2000
@@ -123,6 +123,7 @@ def mix(df: DataFrame, weigh=cycle_weights, repeats: int = 3) -> DataFrame:
     rows = written(df.withColumn(f"{p}row", F.monotonically_increasing_id()))
     decided = plan(rows, weigh, repeats, named(f"{p}row")).filter("copies > 0")
     decided = decided.select(F.col("row").alias(f"{p}row"), F.explode(F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), lambda e: F.col("finish") + e * F.col("source_size") / F.col("target"))).alias(f"{p}time"))
-    out = rows.join(decided, f"{p}row")
+    out = written(rows.join(decided, f"{p}row"))
+    discard(rows)
     out = out.repartitionByRange(named(f"{p}time"), named(f"{p}row")).sortWithinPartitions(f"{p}time", f"{p}row")
     return out.select(*(named(c) for c in df.columns))

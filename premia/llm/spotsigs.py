@@ -27,8 +27,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from premia.llm._common import bind, written
+from premia.llm._common import bind, settings, written
 from premia.llm.components import connected
+from premia.sources.scratch import PHASE
 
 ANCHORS = 200
 CHAIN = 2
@@ -46,7 +47,8 @@ def words(text: Column) -> Column:
 def common_words(df: DataFrame, text_col: str = "text", most: int = ANCHORS) -> list[str]:
     """The words that the most documents have, ties in the order of the words."""
     rows = df.select(F.explode(F.array_distinct(words(F.col(f"`{text_col}`")))).alias("w")).groupBy("w").count()
-    return [r["w"] for r in rows.orderBy(F.desc("count"), "w").limit(most).collect()]
+    with settings(df.sparkSession, PHASE):
+        return [r["w"] for r in rows.orderBy(F.desc("count"), "w").limit(most).collect()]
 
 
 def spots(text: Column, common: list[str]) -> Column:
