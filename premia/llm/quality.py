@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import bind, words, written
+from premia.llm._common import bind, free_prefix, named, words, written
 
 # Characters of the contract's symbol count.
 SYMBOLS = "[^#*$%&|<>]+"
@@ -74,7 +74,7 @@ def counts(text: Column) -> dict[str, Column]:
 def with_counts(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """df with the columns of COUNTS (after the prefix) and base_failed."""
     p = prefix
-    found = counts(F.col(f"`{text_col}`"))
+    found = counts(named(text_col))
     of = {"n_words": "of_words", "word_chars": "of_words", "n_repeat_words": "of_words", "n_distinct": "of_words", "n_lines": "of_lines", "n_dup_lines": "of_lines", "n_ended": "of_lines"}
     raw = df.withColumns({f"{p}__{k}": c for k, c in found.items()})
     out = raw.withColumns({f"{p}{k}": F.col(f"{p}__{of[k]}.{k}" if k in of else f"{p}__{k}") for k in COUNTS}).drop(*(f"{p}__{k}" for k in found))
@@ -167,9 +167,7 @@ def scores(df: DataFrame) -> DataFrame:
 
 def filter_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that the method keeps, with df's columns."""
-    p = "__q"
-    while any(c.startswith(p) for c in df.columns):
-        p += "_"
+    p = free_prefix(df.columns, "__q")
     counted = written(with_counts(df, text_col, p))
     model = fit_votes(counted, p)
-    return counted.filter(~F.col(f"{p}base_failed") & (posterior_column(model, p) >= KEEP)).select(*(F.col(f"`{c}`") for c in df.columns))
+    return counted.filter(~F.col(f"{p}base_failed") & (posterior_column(model, p) >= KEEP)).select(*(named(c) for c in df.columns))

@@ -1,8 +1,11 @@
 """The pipeline, stage by stage, against brute force on each stage's own input."""
 
 import hashlib
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from premia.llm import mixing, quality
 from premia.llm._common import written
@@ -55,3 +58,31 @@ def test_stages_on_an_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf))
     assert docs.count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in every column, repeated rows and ids, a very long text and clashing names, through all five stages."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+
+    def prose(n):
+        w = [rng.choice(vocabulary) for _ in range(n)]
+        return "\n".join(" ".join(w[i : i + 12]).capitalize() + "." for i in range(0, n, 12))
+
+    one, two, long = prose(120), prose(90), prose(60_000)
+    rows = [(1, one, "en", "s"), (1, one, "en", "s"), (2, one, "en", None), (None, two, None, "s"), (None, two, None, "s"), (3, two + "\n" + prose(60), "en", "t"), (4, long, "en", "t"), (5, long[:200_000] + prose(50), None, "u"), (6, None, "en", "s"), (7, "", None, None), (8, "x", "en", "s"), (None, None, None, None), (9, prose(100), "en", "s"), (9, prose(100), "de", "s"), ((1 << 63) - 1, prose(80), "en", "t"), (-4, prose(80), None, "t")]
+    docs = spark.createDataFrame([(i, t, g, s, None if t is None else len(t)) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["mix_row", "mix__time", "dedup_n", "Dedup_h", "cut_left", "cut_DOC", "__q_n_words", "__keep", "__row", "doc", "row", "size", "copies", "a.b", "s"]
+    docs = docs.withColumns({c: F.lit(None).cast("string") if k % 2 else F.lit(k) for k, c in enumerate(names)})
+    columns, kept = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, "unused"))
+        kept.append(docs.select("doc_id", "text").collect())
+        if name != "tokens":
+            assert docs.columns == columns
+    assert all(r["text"] for r in kept[0]) and len(kept[0]) == 12  # the texts with words stay, also as repeated rows
+    assert Counter(r["doc_id"] for r in kept[1]) == Counter([1, None, 3, 4, 5, 9, 9, (1 << 63) - 1, -4])
+    left = {r["doc_id"]: r["text"] for r in kept[2]}
+    assert left[4] == long and len(left[5]) < 1000 and len(kept[2]) == len(kept[1])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept[4]) == sorted((r["doc_id"] or 0, r["text"]) for r in kept[3]) and kept[3]
+
