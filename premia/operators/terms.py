@@ -469,6 +469,10 @@ class Spline(Term):
         return self.basis(self.binned(_num(data, self.column)))
 
     def design(self, data):
+        if self.discrete and self.support is None:  # one row of the table for each bin
+            width = (self.hi - self.lo) / self.n_bins
+            centres = self.lo + (np.arange(self.n_bins) + 0.5) * width
+            return (self.basis(centres) @ self.transform)[np.clip(np.floor((_num(data, self.column) - self.lo) / width), 0, self.n_bins - 1).astype(int)]
         return self.raw(data) @ self.transform
 
     def raw_penalties(self) -> list[np.ndarray]:
