@@ -98,8 +98,10 @@ def with_next(df: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
             at, fill = at + 1, 0
         table.append((c, at, by_id, by_hash))
         at, fill = (at + by_id * by_hash, 0) if c < 0 or parts > 1 else (at, fill + m)
-    cells = df.sparkSession.createDataFrame(table, "cell int, first long, by_id long, by_hash long")  # CELLS + 1 rows at most
-    rows = rows.join(cells, "cell")
+    of_cell = {c: each for c, *each in table}  # CELLS + 2 at most, as constants by the cell's number
+    for i, name in enumerate(("first", "by_id", "by_hash")):
+        values = ",".join(str(of_cell.get(c, (0, 1, 1))[i]) for c in range(-1, CELLS + 1))
+        rows = rows.withColumn(name, F.get(F.split(F.lit(values), ",").cast("array<bigint>"), F.col("cell") + 1))
     inside = F.coalesce(F.floor((F.col("doc_id") - lo - F.col("cell").cast("long") * width) * F.col("by_id") / F.lit(width)).cast("long"), F.lit(0))
     # within one id, lesser hashes come first, that is in the upper buckets
     upper = F.col("by_hash") - 1 - F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("by_hash") / F.lit(1 << 32)).cast("long")
@@ -111,7 +113,8 @@ def with_next(df: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     groups = heads.groupBy("g").agg(F.min("bucket").alias("least"))
     above = groups.select("g", F.lead("least").over(Window.orderBy("g")).alias("after"), F.min("least").over(Window.partitionBy()).alias("lowest"))
     up = F.lead("bucket").over(Window.partitionBy("g").orderBy("bucket"))
-    closes = heads.withColumn("up", up).join(above, "g").select(F.col("bucket").alias("b"), "top", F.coalesce("up", "after", "lowest").alias("closes"))
+    # written, so that the planner knows its size: small ones are broadcast, large ones are not
+    closes = written(heads.withColumn("up", up).join(above, "g").select(F.col("bucket").alias("b"), "top", F.coalesce("up", "after", "lowest").alias("closes")))
     closing = rows.withColumn("key", key).join(closes, (F.col("bucket") == F.col("b")) & (F.col("key") == F.col("top"))).dropDuplicates(["closes"])
     both = rows.withColumn("extra", F.lit(0)).unionByName(closing.select("doc_id", "text", "h", F.col("closes").alias("bucket"), F.lit(1).alias("extra")))
     order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "h")
