@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from premia.llm._common import discard, slices, words, written
+from premia.llm._common import SPLIT, discard, slices, written
 from premia.llm.components import connected
 from premia.llm.suffix_dedup import _dealt, _doc_part, _hash_part, _in_batches, _two_docs, _with_texts, unpack, with_texts
 
@@ -879,7 +879,8 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
             more = max(tasks, -(-pairs // CHUNK))
             every = cells.repartition(min(more, parts), "part").mapInArrow(lambda it: all_pairs(it, 4 * more), BLOB)
             found = written(found.unionByName(checked(every, 1, False, 4 * more, more)).distinct())
-    return rows.select("doc_id", "doc", (F.size(words(F.col("text"))) >= PASSAGE).alias("long_enough")), found
+    some = F.filter(F.split("text", SPLIT, PASSAGE + 2), lambda w: w != "")  # counting stops there
+    return rows.select("doc_id", "doc", (F.size(some) >= PASSAGE).alias("long_enough")), found
 
 
 def classes(df: DataFrame, text_col: str = "text") -> DataFrame:
