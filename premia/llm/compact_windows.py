@@ -11,8 +11,9 @@ Jaccard similarity of at least SIMILAR.
 2. Interval join within a text: a window stays if some passage in it has AGREE kept windows of different hashes. The
    words around such passages (*regions*) are all that is needed of the texts from here on.
 3. Interval join across texts: windows with one hash are joined as a star with the first of their texts; where the
-   windows of a pair of texts overlap AGREE times along about one diagonal, the passages there are a candidate. The
-   best place of each pair of texts is verified: both passages, and those up to half a window before and after, are
+   windows of a pair of texts overlap AGREE times along about one diagonal, the passages there are a candidate. Of
+   the centres of a text in one task only as many are tried as its shared stretches need. The best place of each pair
+   of texts is verified: both passages, and those up to half a window before and after, are
    taken from the regions and compared exactly. Verified pairs are connected.
 4. What the star leaves: passages with AGREE windows whose hash still has two classes. If two of them are near
    duplicates and of different classes, 4 in 5 of their shingles occur in another class; most passages fail that
@@ -325,17 +326,51 @@ def _open(a: np.ndarray, key: str = "hash") -> np.ndarray:
     return np.repeat(two, np.diff(np.append(begin, len(a))))
 
 
-def _star(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs of each window with the first of its hash, if that is of another class; the first ones)."""
+def _needed(centre: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a centre's window, a text's own) to try: for each text the centre that most of its windows
+    share, then others that have AGREE windows outside the stretches of those taken. What two centres would say of one
+    stretch is the same link twice, or is left to the later joins."""
+    order = np.lexsort((own["lo"], centre["doc"], own["doc"]))
+    c, o = centre[order], own[order]
+    begin = np.flatnonzero(np.concatenate([[True], (o["doc"][1:] != o["doc"][:-1]) | (c["doc"][1:] != c["doc"][:-1])]))
+    end = np.append(begin[1:], len(o))
+    lo, hi = o["lo"].astype(np.int64), o["lo"].astype(np.int64) + o["span"]
+    keep = np.zeros(len(o), bool)
+    by_text = np.lexsort((begin - end, o["doc"][begin]))
+    text, taken = None, []
+    for g in by_text.tolist():
+        b, e = int(begin[g]), int(end[g])
+        if o["doc"][b] != text:
+            text, taken = o["doc"][b], []
+        outside = np.ones(e - b, bool)
+        for first, last in taken:
+            outside &= (hi[b:e] < first) | (lo[b:e] > last)
+        if np.count_nonzero(outside) >= AGREE:
+            keep[b:e] = True
+            taken.append((int(lo[b:e][outside].min()), int(hi[b:e][outside].max())))
+    out = np.zeros(len(own), bool)
+    out[order] = keep
+    return out
+
+
+def _star(a: np.ndarray, need: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of each window with the first of its hash, if that is of another class; the first ones).
+
+    need: a holds all windows of its texts, so that of each text's centres only the needed ones are paired.
+    """
     rank = _mix(np.ascontiguousarray(a["doc"]).view(np.uint64))
     a = a[np.lexsort((a["lo"], a["doc"], rank, a["hash"]))]
     fresh = np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]])
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
     other = (a["doc"] != a["doc"][first]) & (a["label"] != a["label"][first])
-    return _ordered(_joined(a[first[other]], a[other])), a[fresh]
+    x, y = a[first[other]], a[other]
+    if need and len(x):
+        keep = _needed(x, y)
+        x, y = x[keep], y[keep]
+    return _ordered(_joined(x, y)), a[fresh]
 
 
-def local_stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def local_stars(batches: Iterator[pa.RecordBatch], parts: int, need: bool) -> Iterator[pa.RecordBatch]:
     """Stars within a task, dealt by pair of texts (kind 0), and their centres, dealt by hash (kind 1).
 
     However many texts have a hash, a task sends one of them on.
@@ -343,7 +378,7 @@ def local_stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
     a = _labelled(batches)
     a = a[a["row"] >= 0]
     if len(a):
-        p, centres = _star(a)
+        p, centres = _star(a, need)
         if len(p):
             yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
         yield _dealt(_hash_part(centres["hash"], parts), centres, 1)
@@ -861,7 +896,8 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
         return written(connected(found, "a", "b").select("node", "label").mapInArrow(lambda it: pack_labels(it, parts), BLOB))
 
     def starred(windows_: DataFrame, known: DataFrame | None) -> DataFrame:
-        own = written(dealt(windows_ if known is None else windows_.unionByName(known), lambda it: local_stars(it, parts)))
+        need = known is None  # rare shingles are few, and their stars settle what is left of a text
+        own = written(dealt(windows_ if need else windows_.unionByName(known), lambda it: local_stars(it, parts, need)))
         return own.filter("kind = 0").unionByName(dealt(own.filter("kind = 1"), lambda it: stars(it, parts)))
 
     found = checked(starred(kept, None), AGREE, True)
