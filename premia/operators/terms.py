@@ -315,6 +315,9 @@ class Categorical(Term):
 
     def codes(self, data) -> np.ndarray:
         x = data[self.column]
+        x = np.asarray(x)
+        if x.dtype == bool or (x.dtype == object and len(x) and isinstance(x[0], bool | np.bool_)):
+            x = np.where(x.astype(bool), "true", "false")  # as Spark writes them
         x = self.grouping.array(x) if self.grouping else np.asarray(x, object).astype(str)
         at = np.searchsorted(np.array(self.levels), x)
         if (at >= len(self.levels)).any() or (np.array(self.levels)[np.minimum(at, len(self.levels) - 1)] != x).any():

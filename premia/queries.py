@@ -293,11 +293,11 @@ def lift_chart(spark, sf_dir):
     return rounded(charts.lift(scored(spark, sf_dir), "y", "mu", "w", ties=["o_orderkey"]))
 
 
-@query("WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_quantity AS w, l_extendedprice AS y, 1000 + 900 * l_quantity AS model, 30000 + 100000 * l_discount AS cur FROM lineitem), t AS (SELECT *, model / cur AS s FROM s), " + _bins("s", "w", 5, "l_orderkey, l_linenumber, l_partkey, l_suppkey, y, l_shipdate", "t") + ", g AS (SELECT bin, count(*) AS n_rows, sum(w) AS e, sum(w * y) AS ty, sum(w * model) AS tm, sum(w * cur) AS tc, min(s) AS lo, median(s) AS mid, max(s) AS hi FROM binned GROUP BY 1) SELECT bin, n_rows, round(e, 6) AS exposure_sum, round(e / sum(e) OVER (), 6) AS exposure_share, round(ty, 1) AS target_sum, round(ty / e, 4) AS actual_avg, round(tm / e, 4) AS model_avg, round(tc / e, 4) AS current_avg, round((ty / e) / (sum(ty) OVER () / sum(e) OVER ()), 6) AS actual_index, round((tm / e) / (sum(tm) OVER () / sum(e) OVER ()), 6) AS model_index, round((tc / e) / (sum(tc) OVER () / sum(e) OVER ()), 6) AS current_index, round(lo, 6) AS sort_score_min, round(mid, 6) AS sort_score_median, round(hi, 6) AS sort_score_max FROM g")
+@query("WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_quantity AS w, l_extendedprice AS y, 1000 + 900 * l_quantity AS model, 30000 + 100000 * l_discount AS cur FROM lineitem), t AS (SELECT *, model / cur AS s FROM s), " + _bins("s", "w", 5, "l_orderkey, l_linenumber, l_partkey, l_suppkey, y, l_shipdate", "t") + ", g AS (SELECT bin, count(*) AS n_rows, sum(w) AS e, sum(w * y) AS ty, sum(w * model) AS tm, sum(w * cur) AS tc, min(s) AS lo, median(s) AS mid, max(s) AS hi FROM binned GROUP BY 1) SELECT bin, n_rows, round(e, 6) AS exposure_sum, round(e / sum(e) OVER (), 6) AS exposure_share, round(ty, 2) AS target_sum, round(ty / e, 4) AS actual_avg, round(tm / e, 4) AS model_avg, round(tc / e, 4) AS current_avg, round((ty / e) / (sum(ty) OVER () / sum(e) OVER ()), 6) AS actual_index, round((tm / e) / (sum(tm) OVER () / sum(e) OVER ()), 6) AS model_index, round((tc / e) / (sum(tc) OVER () / sum(e) OVER ()), 6) AS current_index, round(lo, 6) AS sort_score_min, round(mid, 6) AS sort_score_median, round(hi, 6) AS sort_score_max FROM g")
 def double_lift_chart(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").withColumns({"model": 1000 + 900 * F.col("l_quantity"), "cur": 30000 + 100000 * F.col("l_discount")})
     out = charts.double_lift(df, "l_extendedprice", "model", "cur", "l_quantity", n_bins=5, ties=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"])
-    digits = {"target_sum": 1, "actual_avg": 4, "model_avg": 4, "current_avg": 4}
+    digits = {"target_sum": 2, "actual_avg": 4, "model_avg": 4, "current_avg": 4}
     return out.select(F.col("bin").cast("long").alias("bin"), "n_rows", *(F.round(c, digits.get(c, 6)).alias(c) for c in out.columns[2:]))
 
 
