@@ -1,9 +1,11 @@
 import dataclasses
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from premia import queries
 from premia.functions import families, links, special
 from premia.model import Glm, violation
 from premia.operators import adequacy, charts, frame, splines
@@ -276,6 +278,16 @@ def test_monotone_fit_and_repair(data, kind):
     assert violation([r["log_relativity"] for r in fixed.term_curve("age")], kind) < 1e-6
 
 
+def test_monotone_repair_of_a_bend(spark, tmp_path):
+    """Means that bend far more than their line rises: the query is about the line, as its SQL is."""
+    rows = [(float(q), 1000.0 * (q - 25.5) ** 2 + q) for q in range(1, 51) for _ in range(40)]
+    spark.createDataFrame(rows, "l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in queries.QUERIES["monotone_repair"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == {(d, b, float(a)) for d, b, a in con.sql(queries.ORACLE_SQL["monotone_repair"]).fetchall()}
+
+
 def test_interactions_and_tensor(data):
     a, r = Spline("age", n_knots=4), Categorical("region")
     d = Polynomial("density", 2)
