@@ -7,11 +7,14 @@ similarity of the sets.
 
 `near_classes` connects all texts with a likeness of at least tau. Equal fingerprints are one class. Classes are
 partitioned by set length, so that only a partition and the next can reach tau; of a set, only the first
-n - ceil(tau n) + 1 spots, the rarest first, are looked up, one of which two like sets must share; lengths prune once
-more, and what is left is compared exactly. Only ids, lengths and spots travel until then. Rare is what falls into a
-light one of BUCKETS counters of all spots; any order that is the same everywhere will do, and this one puts the
+n - ceil(tau n) + 1 spots, the rarest first, are looked up, one of which two like sets must share. At the first spot
+that they share, both must have enough spots left for the overlap that their lengths ask for; so the shorter one is
+looked up by fewer still, and short texts that quote one passage do not meet in its spots. Parities of the sets prune
+once more, and what is left is compared exactly. Only ids, lengths and spots travel until then. Rare is what falls into
+a light one of BUCKETS counters of all spots; any order that is the same everywhere will do, and this one puts the
 spots of a line that many texts share last. Sets with one spot are first joined to one of them, which settles groups of
-copies, and then all with all between classes that are still different, crowded spots in parts of BLOCK.
+copies, then (TURNS times) to one drawn anew for each spot, which settles near copies that are not like the first, and
+then all with all between classes that are still different, crowded spots in parts of BLOCK.
 
 Defined results: null is the empty text; a text without any spot has one spot, the hash of the text, and the empty
 text has none; two empty fingerprints have likeness 1, an empty and another 0; equal texts have equal fingerprints;
@@ -27,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from premia.llm._common import bind, settings, written
+from premia.llm._common import bind, discard, settings, written
 from premia.llm.components import connected
 from premia.sources.scratch import PHASE
 
@@ -37,6 +40,7 @@ CELLS = 4096
 BUCKETS = 1 << 14
 BLOCK = 4096
 SPAN = 1024
+TURNS = 1
 
 
 def words(text: Column) -> Column:
@@ -132,11 +136,12 @@ def edited_fingerprints(df: DataFrame, tau: float = 0.8) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spots(F.col("text"), common).alias("own"), spots(F.col("edited"), common).alias("of_edited"), spots(F.col("next_text"), common).alias("of_next"))
-    rows = written(rows.select("doc_id", "n_chars", "edited_sha256", "own", written_out(F.col("of_edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"), F.xxhash64("own").alias("node")))
+    rows = rows.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), spots(F.col("text"), common).alias("own"), spots(F.col("edited"), common).alias("of_edited"), spots(F.col("next_text"), common).alias("of_next"))
+    # sets and hash stay in binary until the end: the rows are dealt by their class once more
+    rows = written(rows.select("doc_id", "n_chars", "sha", "own", "of_edited", likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"), F.xxhash64("own").alias("node")))
     classes = near_classes(rows.select("doc_id", F.col("own").alias("s"), "node"), tau)
     out = rows.join(classes, "node")
-    return out.select("doc_id", "n_chars", "edited_sha256", written_out(F.col("own")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "near_class")
+    return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), written_out(F.col("own")).alias("fingerprint"), written_out(F.col("of_edited")).alias("edited_fingerprint"), "near_edited", "near_next", "near_class")
 
 
 def near_classes(sets: DataFrame, tau: float = 0.8) -> DataFrame:
@@ -146,6 +151,7 @@ def near_classes(sets: DataFrame, tau: float = 0.8) -> DataFrame:
     for part in like_pairs(classes.select("node", "s"), tau):
         found = part
     label = written(classes.select("node", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    discard(classes)
     ids = written(label.groupBy("label").agg(F.min("least").alias("near_class")))
     return label.join(ids, "label").select("node", "near_class")
 
@@ -158,44 +164,91 @@ def light(classes: DataFrame) -> Column:
 
 
 def placed(classes: DataFrame, tau: float) -> DataFrame:
-    """p, spot, own, node, n: the sets looked up in each partition by each of their rarest spots.
+    """p, spot, own, short, node, n, left: the sets looked up in each partition by each of their rarest spots.
 
-    A set of partition p also visits p + 1 (own = false).
+    left: how many spots of a set are there from this one on. Like sets share at least tau / (1 + tau) of the sum of
+    their lengths, counted from the first spot they share: so the shorter of two finds it while a share of
+    2 tau / (1 + tau) is left (short), the longer while tau is. A set that may be the shorter in partition p also
+    visits p + 1 (own = false).
     """
     weight = light(classes)
     n = F.size("s")
     ranked = F.array_sort(F.transform("s", lambda x: F.struct(weight(x).alias("w"), x.alias("x"))))
     first = F.slice(ranked, 1, n - F.ceil(n * F.lit(tau) - 1e-9).cast("int") + 1)
     p = F.floor(F.log(n) / F.lit(-math.log(tau)) + 1e-9).cast("int")
-    rows = classes.filter(n > 0).select("node", n.alias("n"), p.alias("p"), F.explode(first).alias("f")).select("node", "n", "p", F.col("f.x").alias("spot"))
-    return rows.select(F.explode(F.array(F.struct(F.col("p").alias("p"), F.lit(True).alias("own")), F.struct((F.col("p") + 1).alias("p"), F.lit(False).alias("own")))).alias("v"), "spot", "node", "n").select("v.p", "spot", "v.own", "node", "n")
+    rows = classes.filter(n > 0).select("node", n.alias("n"), p.alias("p"), F.posexplode(first).alias("i", "f")).select("node", "n", "p", F.col("f.x").alias("spot"), (F.col("n") - F.col("i")).alias("left"))
+    rows = rows.withColumn("short", F.col("left") >= F.lit(2 * tau / (1 + tau)) * F.col("n") - 1e-9)
+    visits = F.when(F.col("short"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("v", F.explode(visits)).select((F.col("p") + F.col("v")).alias("p"), "spot", (F.col("v") == 0).alias("own"), "short", "node", "n", "left")
+
+
+def parities(s: Column) -> Column:
+    """256 bits, four longs: the parity of the spots in each of 256 classes. Two sets differ in as many spots at least as in bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    part = lambda k: F.filter(s, lambda x: F.floor(F.pmod(x, F.lit(256)) / 64) == k)
+    return F.array(*(F.aggregate(part(k), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x))) for k in range(4)))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, tau: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a likeness of tau or more, each once."""
+    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = one.join(classes.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(classes.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return both.filter(likeness(F.col("sa"), F.col("sb")) >= tau).select("a", "b")
 
 
 def like_pairs(classes: DataFrame, tau: float):
     """node, label tables, one after each turn: the last one connects all sets (node, s) with a likeness of tau or more."""
-    cells = written(placed(classes, tau))
+    placings = written(placed(classes, tau))
     at = ["p", "spot"]
-    star = F.min(F.when(F.col("own"), F.struct("node", "n")))
-    crowded = written(cells.groupBy(*at).agg(star.alias("star"), F.count("*").alias("m")).filter("m > 1 AND star IS NOT NULL"))
-    cells = written(cells.join(crowded, at))
-    fits = lambda a, b: F.least(a, b) >= F.lit(tau) * F.greatest(a, b) - 1e-9
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = one.join(classes.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        both = left.join(classes.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        return both.filter(likeness(F.col("sa"), F.col("sb")) >= tau).select("a", "b")
-
-    rays = cells.filter((F.col("node") != F.col("star.node")) & fits(F.col("n"), F.col("star.n"))).select(F.col("node").alias("a"), F.col("star.node").alias("b"))
-    found = written(connected(verified(rays), "a", "b"))
+    star = F.min(F.when(F.col("short"), F.struct("node", "n", "left")))
+    crowded = written(placings.groupBy(*at).agg(star.alias("star"), F.max("own").alias("any"), F.count("*").alias("m")).filter("m > 1 AND any AND star IS NOT NULL").drop("any"))
+    cells = written(placings.join(crowded, at))
+    discard(placings)
+
+    def fits(a: str, b: str) -> Column:
+        """Can the sets be alike if this spot is the first they share?"""
+        return F.least(F.col(f"{a}.left"), F.col(f"{b}.left")) >= F.lit(tau / (1 + tau)) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-9
+
+    def open_still(a: str, b: str) -> Column:
+        """Of different classes so far, fitting, and not apart by their parities alone."""
+        differ = sum(F.bit_count(F.get(f"{a}.bits", k).bitwiseXOR(F.get(f"{b}.bits", k))) for k in range(4))
+        few = differ <= F.lit((1 - tau) / (1 + tau)) * (F.col(f"{a}.n") + F.col(f"{b}.n")) + 1e-9
+        return (F.col(f"{a}.label") != F.col(f"{b}.label")) & fits(a, b) & few
+
+    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows with their labels, of cells with more than one; m: how many a cell has. The table rows goes."""
+        now = written(rows.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        mixed = written(now.groupBy(*at).agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).filter("l0 != l1").select(*at, "m"))
+        out = written(now.join(mixed, at))
+        for each in (rows, now, mixed):
+            discard(each)
+        return out
+
+    def linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        return written(connected(verified(pairs, classes, tau).unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b"))), "a", "b"))
+
+    rays = cells.alias("a").filter((F.col("a.node") != F.col("star.node")) & fits("a", "star")).select(F.col("a.node").alias("a"), F.col("star.node").alias("b"))
+    found = written(connected(verified(rays, classes, tau), "a", "b"))
+    yield found
+    sides = [*at, "own", "short", "node", "n", "left"]
+    rows = written(cells.select(*sides).join(classes.select("node", parities(F.col("s")).alias("bits")), "node"))
+    discard(cells)
+    discard(crowded)
+    rows = apart(rows, found)
+    for turn in range(TURNS):
+        star = F.min(F.when(F.col("short"), F.struct(F.xxhash64("node", "spot", F.lit(turn)).alias("h"), "node", "n", "left", "bits", "label")))
+        stars = written(rows.groupBy(*at).agg(star.alias("star")).filter("star IS NOT NULL"))
+        rays = rows.join(stars, at).alias("a").filter(open_still("a", "star")).select(F.col("a.node").alias("a"), F.col("star.node").alias("b"))
+        found = linked(rays, found)
+        yield found
+        discard(stars)
+        rows = apart(rows.drop("label", "m"), found)
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    a = rows.filter("short").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("a")
+    b = rows.filter("own").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
+    in_order = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
+    on = (F.col("a.p") == F.col("b.p")) & (F.col("a.spot") == F.col("b.spot")) & (F.col("a.part") == F.col("b.part")) & in_order & open_still("a", "b")
+    found = linked(a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), found)
+    discard(rows)
     yield found
-    now = cells.join(found, "node", "left").select(*at, "own", "node", "n", F.coalesce("label", "node").alias("label"))
-    now = written(now)
-    mixed = written(now.groupBy(*at).agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).filter("l0 != l1").select(*at, F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
-    now = written(now.join(mixed, at))
-    a = now.filter("own").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("a")
-    b = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    on = (F.col("a.p") == F.col("b.p")) & (F.col("a.spot") == F.col("b.spot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.label") != F.col("b.label")) & (~F.col("b.own") | (F.col("a.node") < F.col("b.node"))) & fits(F.col("a.n"), F.col("b.n"))
-    across = verified(a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    known = found.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    yield written(connected(across.unionByName(known), "a", "b"))

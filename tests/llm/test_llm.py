@@ -626,6 +626,21 @@ def test_spotsigs_turns(spark, monkeypatch):
     assert [got[r["node"]] for r in df.orderBy("doc_id").collect()] == whole
 
 
+def test_spotsigs_of_one_passage(spark, monkeypatch):
+    """Short texts that quote one passage and near copies of one text, unlike at 0.8: few are compared, all links are found."""
+    rng, own = random.Random(5), iter(range(10**6, 10**8, 37))
+    passage, text = list(range(10)), rng.sample(range(1000, 10**6), 72)
+    sets = [sorted([*passage, next(own), next(own)]) for _ in range(150)]
+    sets += [sorted([*rng.sample(text, 72 - k), *(next(own) for _ in range(k))]) for k in rng.choices(range(2, 11), k=150)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "doc_id long, s array<int>").withColumn("node", F.xxhash64("s"))
+    tried, verified = [], spotsigs.verified
+    monkeypatch.setattr(spotsigs, "verified", lambda pairs, *rest: tried.append(pairs.distinct().count()) or verified(pairs, *rest))
+    got = {r["node"]: r["near_class"] for r in spotsigs.near_classes(df).collect()}
+    whole = least([(a, b) for a in range(len(sets)) for b in range(a) if jaccard(set(sets[a]), set(sets[b])) >= 0.8], len(sets))
+    assert [got[r["node"]] for r in df.orderBy("doc_id").collect()] == whole and len(set(whole)) < len(sets)
+    assert sum(tried) < 6 * len(sets), tried
+
+
 # -- mixing ----------------------------------------------------------------------------------------------------------
 def shared_out(sizes, weights, budget, repeats=3):
     """Targets by filling up, round by round."""
