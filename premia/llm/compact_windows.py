@@ -19,8 +19,9 @@ Jaccard similarity of at least SIMILAR.
    duplicates and of different classes, 4 in 5 of their shingles occur in another class; most passages fail that
    count, as they only share a line or a short quotation. For those that pass, order the shingles by the number of
    classes that have them: near duplicates share one of the first few (6 of 46). The windows of these rare shingles,
-   narrow and short, are joined by shingle: once as stars, which settle groups of like texts, then all with all
-   between classes that are still different, and every place of every pair is verified.
+   narrow and short, are joined by shingle: as stars, which settle groups of like texts, again with other centres
+   while very many pairs would be left, then all with all between classes that are still different, and every place of
+   every pair is verified.
 
 So every pair of texts with AGREE windows in common is either found alike or compared exactly wherever it can be alike:
 nothing is cut off after some turns, at some size or at one place. The first star's work grows with the windows. The
@@ -58,6 +59,8 @@ from premia.llm.suffix_dedup import _dealt, _doc_part, _hash_part, _in_batches,
 
 PASSAGE, SHINGLE, SIMILAR = 50, 5, 0.8
 HASHES, AGREE = 8, 4
+TURNS = 2  # stars of rare windows before the last join, as long as that has more than MANY pairs a task
+MANY = 1 << 14
 BLOCK = 512  # windows of one hash that are joined all with all at once
 CHUNK = 1 << 19  # pairs of windows that are made, or grouped by pair of texts, at once
 REPEATS, PLAIN = -2, -1  # marks in `row`: windows of passages that repeat themselves, and others that are to meet those
@@ -353,12 +356,14 @@ def _needed(centre: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
-def _star(a: np.ndarray, need: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _star(a: np.ndarray, need: bool = False, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(pairs of each window with the first of its hash, if that is of another class; the first ones).
 
     need: a holds all windows of its texts, so that of each text's centres only the needed ones are paired.
+    turn: 0 has one order of texts for all hashes, later turns one for each hash, so that a text meets many centres.
     """
-    rank = _mix(np.ascontiguousarray(a["doc"]).view(np.uint64))
+    with np.errstate(over="ignore"):
+        rank = _mix(np.ascontiguousarray(a["doc"]).view(np.uint64) + (a["hash"] * _M[7] + np.uint64(turn) if turn else np.uint64(0)))
     a = a[np.lexsort((a["lo"], a["doc"], rank, a["hash"]))]
     fresh = np.concatenate([[True], a["hash"][1:] != a["hash"][:-1]])
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
@@ -370,7 +375,7 @@ def _star(a: np.ndarray, need: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return _ordered(_joined(x, y)), a[fresh]
 
 
-def local_stars(batches: Iterator[pa.RecordBatch], parts: int, need: bool) -> Iterator[pa.RecordBatch]:
+def local_stars(batches: Iterator[pa.RecordBatch], parts: int, need: bool, turn: int = 0) -> Iterator[pa.RecordBatch]:
     """Stars within a task, dealt by pair of texts (kind 0), and their centres, dealt by hash (kind 1).
 
     However many texts have a hash, a task sends one of them on.
@@ -378,17 +383,17 @@ def local_stars(batches: Iterator[pa.RecordBatch], parts: int, need: bool) -> It
     a = _labelled(batches)
     a = a[a["row"] >= 0]
     if len(a):
-        p, centres = _star(a, need)
+        p, centres = _star(a, need, turn)
         if len(p):
             yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
         yield _dealt(_hash_part(centres["hash"], parts), centres, 1)
 
 
-def stars(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def stars(batches: Iterator[pa.RecordBatch], parts: int, turn: int = 0) -> Iterator[pa.RecordBatch]:
     """The stars of the tasks' centres, dealt by pair of texts."""
     a = _read(batches, LABELLED)
     if len(a):
-        p, _ = _star(a)
+        p, _ = _star(a, turn=turn)
         if len(p):
             yield _dealt(_pair_part(p["a"], p["b"], parts), p, 0)
 
@@ -895,10 +900,10 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     def labels(found: DataFrame) -> DataFrame:
         return written(connected(found, "a", "b").select("node", "label").mapInArrow(lambda it: pack_labels(it, parts), BLOB))
 
-    def starred(windows_: DataFrame, known: DataFrame | None) -> DataFrame:
+    def starred(windows_: DataFrame, known: DataFrame | None, turn: int = 0) -> DataFrame:
         need = known is None  # rare shingles are few, and their stars settle what is left of a text
-        own = written(dealt(windows_ if need else windows_.unionByName(known), lambda it: local_stars(it, parts, need)))
-        return own.filter("kind = 0").unionByName(dealt(own.filter("kind = 1"), lambda it: stars(it, parts)))
+        own = written(dealt(windows_ if need else windows_.unionByName(known), lambda it: local_stars(it, parts, need, turn)))
+        return own.filter("kind = 0").unionByName(dealt(own.filter("kind = 1"), lambda it: stars(it, parts, turn)))
 
     found = checked(starred(kept, None), AGREE, True)
     known = labels(found)
@@ -907,10 +912,13 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     often = dealt(together(rest, known, around).mapInArrow(lambda it: ask_shingles(it, parts), BLOB), answers)
     rare = written(together(rest, often, around).mapInArrow(lambda it: rare_windows(it, parts), BLOB))
     if not rare.isEmpty():
-        found = written(found.unionByName(checked(starred(rare, known), 1, True)).distinct())
-        known = labels(found)
-        cells = written(dealt(dealt(rare.unionByName(known), lambda it: named(it, parts)), lambda it: spread(it, parts)))
-        pairs = cells.repartition(tasks, "part").mapInArrow(pair_counts, "n long").agg(F.sum("n")).first()[0] or 0
+        for turn in range(TURNS):
+            found = written(found.unionByName(checked(starred(rare, known, turn), 1, True)).distinct())
+            known = labels(found)
+            cells = written(dealt(dealt(rare.unionByName(known), lambda it: named(it, parts)), lambda it: spread(it, parts)))
+            pairs = cells.repartition(tasks, "part").mapInArrow(pair_counts, "n long").agg(F.sum("n")).first()[0] or 0
+            if pairs <= MANY * tasks:
+                break
         if pairs:
             more = max(tasks, -(-pairs // CHUNK))
             every = cells.repartition(min(more, parts), "part").mapInArrow(lambda it: all_pairs(it, 4 * more), BLOB)

@@ -529,6 +529,29 @@ def test_last_join_of_windows_is_whole(monkeypatch):
     assert sum(b.column(0)[0].as_py() for b in compact_windows.pair_counts(iter(cells))) >= len(want)
 
 
+def test_stars_of_later_turns_have_other_centres():
+    """Near copies meet one centre in all hashes at first, then one for each hash; either way a pair for each window at most."""
+    a = np.zeros(400, compact_windows.LABELLED)
+    a["hash"] = np.repeat(np.arange(1, 21), 20).astype(np.uint64) << np.uint64(16)
+    a["doc"] = a["label"] = np.tile(np.arange(20), 20)
+    for turn, centres in ((0, 1), (1, 8)):
+        pairs, first = compact_windows._star(a, turn=turn)
+        assert len(np.unique(first["doc"])) >= centres and (turn or len(np.unique(first["doc"])) == 1)
+        assert len(first) == 20 and len(pairs) == 380
+
+
+def test_compact_windows_by_many_stars(spark, monkeypatch):
+    """Near copies of one passage, of which not all are like the first; turns do not change the classes."""
+    rng, base = random.Random(3), ["n%d" % i for i in range(60)]
+    rows = [(k, " ".join(f"e{k}_{i}" if i in set(rng.sample(range(60), 1 + k % 2)) else x for i, x in enumerate(base)), None, None) for k in range(60)]
+    got = []
+    for many, turns in ((1 << 60, 1), (-1, 3)):
+        monkeypatch.setattr(compact_windows, "MANY", many)
+        monkeypatch.setattr(compact_windows, "TURNS", turns)
+        got.append({r["doc_id"]: r["class_id"] for r in compact_windows.classes(table(spark, rows)).collect()})
+    assert got[0] == got[1] and 1 < len(set(got[0].values())) < 60 or got[0] == got[1] == dict.fromkeys(range(60), 0)
+
+
 def test_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(4)
     s = rng.integers(0, 1 << 63, 300).astype(np.uint64)
