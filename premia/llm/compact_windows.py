@@ -59,7 +59,7 @@ from premia.llm.suffix_dedup import _dealt, _doc_part, _hash_part, _in_batches,
 
 PASSAGE, SHINGLE, SIMILAR = 50, 5, 0.8
 HASHES, AGREE = 8, 4
-TURNS = 2  # stars of rare windows before the last join, as long as that has more than MANY pairs a task
+TURNS = 3  # stars of rare windows before the last join, as long as that has more than MANY pairs a task
 MANY = 1 << 14
 BLOCK = 512  # windows of one hash that are joined all with all at once
 CHUNK = 1 << 19  # pairs of windows that are made, or grouped by pair of texts, at once
