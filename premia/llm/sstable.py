@@ -45,6 +45,11 @@ FOOTER = struct.Struct("<QQQQQQQQ")  # index place, length; filter place, length
 BLOCK = 1 << 16
 BITS_PER_KEY, PROBES = 10, 7
 MAX_WORDS = 800_000
+# A text of ASCII and Latin-1 letters in which no two white spaces meet, and its words: byte-level pre-splitting finds the
+# same in every Unicode version.
+PLAIN = re.compile("(?:[ \n]?+[!-~À-ÖØ-öø-ÿ]++)*+\n?").fullmatch
+PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\n").findall
+BYTES = {c: bytes([195, c - 64]).decode("latin-1").translate({x: x + 162 for x in range(127, 161)} | {173: 323}) for c in range(192, 256)}  # as byte-level tokenizers spell them
 # A space next to other white space on both sides, where cutting could change the pre-split.
 INNER = re.compile(r"\s \s|\s \Z").search
 # Letters, then plain punctuation or nothing: two words or one in every Unicode version.
@@ -195,7 +200,8 @@ class Shard:
 class LibraryEncoder:
     """The tokenizers library, asked once for each word that comes again.
 
-    Texts are cut at spaces between other characters, where byte-level pre-splitting always cuts; the library encodes
+    A plain text is cut into its words, which are looked up; those not seen before go to the library's model, many to a
+    call. Other texts are cut at spaces between other characters, where byte-level pre-splitting always cuts; the library encodes
     the pieces not seen before, in one batch, and their packed ids are joined. Texts with added special strings or
     with spaces inside longer white space go to the library whole.
     """
@@ -203,6 +209,7 @@ class LibraryEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -218,6 +225,10 @@ class LibraryEncoder:
         self.cache: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # words of plain texts: those of late, and those before that
+        self.older: dict[str, bytes] = {}
+        self.words = Tokenizer(self.lib.model)  # the same model, for words that are cut and spelt in bytes already
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -233,10 +244,53 @@ class LibraryEncoder:
             raw, width = ids.tobytes(), self.dtype.itemsize
             into.update((x, raw[a * width : (b - 1) * width]) for x, a, b in zip(some, cuts, cuts[1:], strict=False))
 
+    def _learn_pieces(self, missing: set[str]) -> None:
+        """Put the ids of words into pieces; short lists of them are fastest in the library."""
+        known, older, width = self.pieces, self.older, self.dtype.itemsize
+        known["\n"] = np.array(self.line, self.dtype).tobytes()
+        known.update((x, older[x]) for x in missing if x in older)
+        new = sorted((x for x in missing if x not in known), key=str.isascii)  # few lists have to be spelt in bytes
+        for i in range(0, len(new), 200):
+            some = new[i : i + 200]
+            spelt = "\n".join(some)
+            if not spelt.isascii():
+                spelt = spelt.translate(BYTES)
+            ids = np.array(self.words.encode_batch_fast([spelt.replace(" ", "Ġ").replace("\n", " Ċ ")], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(ids == self.line) * width).tolist()
+            if len(ends) != len(some) - 1:
+                raise AssertionError("a word was not encoded by itself")
+            raw = ids.tobytes()
+            known.update(zip(some, map(raw.__getitem__, map(slice, [0, *(x + width for x in ends)], [*ends, len(raw)])), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed little-endian in self.dtype."""
+        out: list[bytes] = [b""] * len(texts)
+        plain, other, missing = [], [], set()
+        if len(self.pieces) > MAX_WORDS // 2:
+            self.older, self.pieces = self.pieces, {}
+        for i, text in enumerate(texts):
+            if self.cuts and PLAIN(text) and not any(x in text for x in self.special):
+                packed = list(map(self.pieces.get, words := PIECES(text)))
+                new = {k: words[k] for k, ids in enumerate(packed) if ids is None}
+                missing.update(new.values())
+                plain.append((i, packed, new))
+            else:
+                other.append(i)
+        if missing:
+            self._learn_pieces(missing)
+        for i, packed, new in plain:
+            for k, x in new.items():
+                packed[k] = self.pieces[x]
+            out[i] = b"".join(packed)
+        for x in [x for x in missing if len(x) > 64]:
+            del self.pieces[x]
+        for i, ids in zip(other, self._encode_other([texts[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode_other(self, texts: list[str]) -> list[bytes]:
         cache, found, whole, missing = self.cache, [], [], set()
-        if len(cache) > MAX_WORDS:
+        if len(cache) > MAX_WORDS // 4:
             cache.clear()
         for i, text in enumerate(texts):
             if not self.cuts or INNER(text) or any(x in text for x in self.special):

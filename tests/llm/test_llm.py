@@ -722,3 +722,19 @@ def test_mixing_sql(spark, sf):
     assert got["taken"].tolist() == want["taken"].tolist() and np.allclose(got["target"], want["target"])
     near = got.assign(source=spark.read.parquet(f"{sf}/documents.parquet").toPandas().sort_values("doc_id")["source"].tolist()).groupby("source").agg(t=("target", "first"), k=("taken", "sum"), m=("size", "max"))
     assert ((near["k"] - near["t"]).abs() <= near["m"]).all() and abs(got["taken"].sum() - got["size"].sum()) <= got["size"].max()
+
+
+def test_sstable_words_of_plain_texts_go_to_the_model_once(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(sstable, "MAX_WORDS", 12)
+    e = sstable.LibraryEncoder(path)
+    texts = ["Une forêt (très) dense, 42.5 ha.\nForêt!", "don't 'tis it's ''s ÀÿØß", " x\n", "\n", "", "a  b", "x\ty", "a—b", "<|endoftext|> a", "Ġ Ċ"]
+    texts += [f"forêt (très) w{i}, dense {'z' * (60 + i)}" for i in range(9)]
+    whole = e.lib
+    for some in (texts, texts[::-1], *([x] for x in texts)):
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(some)] == [x.ids for x in whole.encode_batch(some, add_special_tokens=False)]
+    fresh = sstable.LibraryEncoder(path)
+    fresh.encode(texts[:1])
+    assert set(fresh.pieces) == {"Une", " forêt", " (", "très", ")", " dense", ",", " 42", ".", "5", " ha", "\n", "Forêt", "!"}
+    monkeypatch.setattr(fresh, "words", None)  # not asked again for what it has seen
+    fresh.encode(["Forêt dense, 42 forêt (très) ha."])
