@@ -61,6 +61,8 @@ PASSAGE, SHINGLE, SIMILAR = 50, 5, 0.8
 HASHES, AGREE = 8, 4
 TURNS = 3  # stars of rare windows before the last join, as long as that has more than MANY pairs a task
 MANY = 1 << 14
+AT_ONCE = 1 << 18  # links that one task connects; more are connected by rounds over the cluster
+FEW, PACKED = 12, 2 << 20  # tasks for the rare windows: at least, and bytes of them, packed, for one
 BLOCK = 512  # windows of one hash that are joined all with all at once
 CHUNK = 1 << 19  # pairs of windows that are made, or grouped by pair of texts, at once
 REPEATS, PLAIN = -2, -1  # marks in `row`: windows of passages that repeat themselves, and others that are to meet those
@@ -523,6 +525,17 @@ def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int((n[0] * (n[0] - 1) / 2 + n[1] * n[2]).sum())], pa.int64())], names=["n"])
 
 
+def pairs_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n: at most how many pairs the hashes with two classes of a partition give."""
+    a = _read(batches, LABELLED)
+    a = a[np.argsort(a["hash"], kind="stable")]
+    a = a[_open(a)] if len(a) else a
+    if len(a):
+        _, which = np.unique(a["hash"], return_inverse=True)
+        n, plain = np.bincount(which).astype(np.int64), np.bincount(which, a["row"] == PLAIN).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([int((n * (n - 1) // 2 - plain * (plain - 1) // 2).sum())], pa.int64())], names=["n"])
+
+
 def candidates(batches: Iterator[pa.RecordBatch], parts: int, need: int, best: bool) -> Iterator[pa.RecordBatch]:
     """Where the windows of a pair of texts overlap `need` times along near diagonals: asks for both passages.
 
@@ -876,10 +889,10 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     parts = 4 * tasks
     texts = rows.select("doc", "row", "bytes")
 
-    def dealt(src: DataFrame, fn) -> DataFrame:
+    def dealt(src: DataFrame, fn, tasks: int = tasks) -> DataFrame:
         return src.repartition(tasks, "part").mapInArrow(fn, BLOB)
 
-    def together(*src: DataFrame) -> DataFrame:
+    def together(*src: DataFrame, tasks: int = tasks) -> DataFrame:
         every = src[0]
         for x in src[1:]:
             every = every.unionByName(x)
@@ -892,35 +905,39 @@ def links(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
 
     def checked(pairs: DataFrame, need: int, best: bool, parts: int = parts, tasks: int = tasks) -> DataFrame:
         asks = pairs.repartition(tasks, "part").mapInArrow(lambda it: candidates(it, of_texts, need, best), BLOB)
-        got = together(asks, around).mapInArrow(lambda it: passages(it, parts), "part long, key long, side int, doc long, shingles binary")
-        return written(got.repartition(tasks, "part").sortWithinPartitions("key", "side").mapInArrow(verified, "a long, b long").distinct())
+        got = together(asks, around, tasks=tasks).mapInArrow(lambda it: passages(it, parts), "part long, key long, side int, doc long, shingles binary")
+        return got.repartition(tasks, "part").sortWithinPartitions("key", "side").mapInArrow(verified, "a long, b long")
 
     of_texts = parts
 
     def labels(found: DataFrame) -> DataFrame:
-        return written(connected(found, "a", "b").select("node", "label").mapInArrow(lambda it: pack_labels(it, parts), BLOB))
+        return written(connected(found, "a", "b", AT_ONCE).mapInArrow(lambda it: pack_labels(it, parts), BLOB))
 
-    def starred(windows_: DataFrame, known: DataFrame | None, turn: int = 0) -> DataFrame:
+    def starred(windows_: DataFrame, known: DataFrame | None, turn: int = 0, tasks: int = tasks) -> DataFrame:
         need = known is None  # rare shingles are few, and their stars settle what is left of a text
-        own = written(dealt(windows_ if need else windows_.unionByName(known), lambda it: local_stars(it, parts, need, turn)))
-        return own.filter("kind = 0").unionByName(dealt(own.filter("kind = 1"), lambda it: stars(it, parts, turn)))
+        own = written(dealt(windows_ if need else windows_.unionByName(known), lambda it: local_stars(it, parts, need, turn), tasks))
+        return own.filter("kind = 0").unionByName(dealt(own.filter("kind = 1"), lambda it: stars(it, parts, turn), tasks))
 
-    found = checked(starred(kept, None), AGREE, True)
+    found = written(checked(starred(kept, None), AGREE, True).distinct())
     known = labels(found)
     two = dealt(together(kept, known).mapInArrow(lambda it: ask_windows(it, parts), BLOB), answers)
     rest = written(together(kept, two).mapInArrow(lambda it: open_windows(it, parts), BLOB))
     often = dealt(together(rest, known, around).mapInArrow(lambda it: ask_shingles(it, parts), BLOB), answers)
     rare = written(together(rest, often, around).mapInArrow(lambda it: rare_windows(it, parts), BLOB))
-    if not rare.isEmpty():
+    packed = rare.agg(F.sum(F.length("blob"))).first()[0] or 0
+    if packed:
+        few = min(tasks, max(FEW, -(-packed // PACKED)))
         for turn in range(TURNS):
-            found = written(found.unionByName(checked(starred(rare, known, turn), 1, True)).distinct())
+            found = written(found.unionByName(checked(starred(rare, known, turn, few), 1, True, parts, few)).distinct())
             known = labels(found)
-            cells = written(dealt(dealt(rare.unionByName(known), lambda it: named(it, parts)), lambda it: spread(it, parts)))
-            pairs = cells.repartition(tasks, "part").mapInArrow(pair_counts, "n long").agg(F.sum("n")).first()[0] or 0
+            by_hash = dealt(rare.unionByName(known), lambda it: named(it, parts), few)
+            pairs = by_hash.repartition(few, "part").mapInArrow(pairs_left, "n long").agg(F.sum("n")).first()[0] or 0
             if pairs <= MANY * tasks:
                 break
         if pairs:
-            more = max(tasks, -(-pairs // CHUNK))
+            cells = written(dealt(by_hash, lambda it: spread(it, parts), few))
+            pairs = cells.repartition(few, "part").mapInArrow(pair_counts, "n long").agg(F.sum("n")).first()[0] or 0
+            more = max(few, -(-pairs // CHUNK))
             every = cells.repartition(min(more, parts), "part").mapInArrow(lambda it: all_pairs(it, 4 * more), BLOB)
             found = written(found.unionByName(checked(every, 1, False, 4 * more, more)).distinct())
     some = F.filter(F.split("text", SPLIT, PASSAGE + 2), lambda w: w != "")  # counting stops there
@@ -931,7 +948,7 @@ def classes(df: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, class_id of each row."""
     rows, found = links(df, text_col)
     rows = written(rows)
-    label = written(connected(found, "a", "b"))
+    label = written(connected(found, "a", "b", AT_ONCE))
     texts = rows.filter("long_enough").groupBy("doc").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     ids = texts.groupBy("label").agg(F.min("least").alias("class"))
     of_text = texts.join(ids, "label").select("doc", "class")

@@ -738,3 +738,26 @@ def test_sstable_words_of_plain_texts_go_to_the_model_once(monkeypatch):
     assert set(fresh.pieces) == {"Une", " forêt", " (", "très", ")", " dense", ",", " 42", ".", "5", " ha", "\n", "Forêt", "!"}
     monkeypatch.setattr(fresh, "words", None)  # not asked again for what it has seen
     fresh.encode(["Forêt dense, 42 forêt (très) ha."])
+
+
+def test_components_at_once(spark):
+    r = random.Random(5)
+    links = [(r.randrange(400) - 200, r.randrange(400) - 200) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1200)] + [(-(1 << 63), (1 << 63) - 1)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    by_rounds = sorted(map(tuple, connected(df, "a", "b").collect()))
+    for at_once in (len(links), 10):  # in one task, and too many for it
+        assert sorted(map(tuple, connected(df, "a", "b", at_once).collect())) == by_rounds
+    assert connected(df.limit(0), "a", "b", 10).count() == 0
+
+
+def test_compact_windows_counts_the_pairs_left():
+    def pairs(rows):
+        a = np.zeros(len(rows), compact_windows.LABELLED)
+        for i, (h, doc, label, row) in enumerate(rows):
+            a[i]["hash"], a[i]["doc"], a[i]["label"], a[i]["row"] = h, doc, label, row
+        blob = compact_windows._dealt(np.zeros(len(a), np.int64), a, 0)
+        return sum(b.column(0)[0].as_py() for b in compact_windows.pairs_left(iter([blob])))
+
+    plain = compact_windows.PLAIN
+    assert pairs([(1, 1, 1, 0), (1, 2, 2, 0), (1, 3, 3, 0), (2, 4, 4, 0), (2, 5, 4, 0)]) == 3  # the second hash has one class
+    assert pairs([(1, 1, 1, plain), (1, 2, 2, plain), (1, 3, 3, 0)]) == 2  # those marked PLAIN do not meet each other
