@@ -36,9 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids of each document, and the text that the ids decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
-    decoded = bpe.decode(encoded.drop("text"), tokenizer_path(), text_col="text")
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    made = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

@@ -339,6 +339,21 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     return arrow_map(keep, kernel, schema)
 
 
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """df with a column of token ids, and the text that they decode to in place of the text: one pass, one worker a task."""
+    keep = df.drop(ids_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{ids_col}` array<int>"
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a = load(path)
+        ids = [a.encode(t) for t in batch.column(text_col).to_pylist()]
+        text = pa.array([a.decode(x) for x in ids], pa.string())
+        columns = [text if name == text_col else column for name, column in zip(batch.schema.names, batch.columns, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, ids_col])
+
+    return arrow_map(keep, kernel, schema)
+
+
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text: encode, then decode, in one pass over the batch."""
 

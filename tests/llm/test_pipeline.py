@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from premia.llm import mixing, quality
+from premia.llm import bpe, mixing, quality
 from premia.llm._common import written
 from test_llm import WORDS, counts_of, fingerprint, least, removed
 
@@ -86,3 +86,12 @@ def test_stages_on_awkward_rows(spark):
     assert left[4] == long and len(left[5]) < 1000 and len(kept[2]) == len(kept[1])
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept[4]) == sorted((r["doc_id"] or 0, r["text"]) for r in kept[3]) and kept[3]
 
+
+
+def test_tokens_has_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "one two", "en", None), (2, None, None, "s"), (3, "", None, None), (None, "ünï\n x", "en", "s")], "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.tokens(spark, docs, "unused")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = bpe.decode(bpe.encode(docs, corpus_pipeline.tokenizer_path()).drop("text"), corpus_pipeline.tokenizer_path(), text_col="text")
+    want = two.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    assert out.dtypes == want.dtypes and Counter(map(str, out.collect())) == Counter(map(str, want.collect()))
